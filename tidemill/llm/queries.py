@@ -11,6 +11,25 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.token_file import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=0), with_ids=False)
+
+
+def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.packing import pack_documents
+
+    return pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1, with_ids=False).drop("ids")
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.quality_rules import line_quality
 
@@ -18,5 +37,7 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op5_first_fit_packing": op5_first_fit_packing,
     "op7_line_quality": op7_line_quality,
 }
