@@ -61,7 +61,7 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of df's size; it follows the input's files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, each: int = 32 << 20) -> int:
