@@ -24,6 +24,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=0), with_ids=False)
 
 
+def op3_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.media import describe_streams, store_streams
+
+    return describe_streams(store_streams(_documents(spark, sf_dir)), with_units=False).drop("units")
+
+
 def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.packing import pack_documents
 
@@ -38,6 +44,7 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_transport_streams": op3_transport_streams,
     "op5_first_fit_packing": op5_first_fit_packing,
     "op7_line_quality": op7_line_quality,
 }
