@@ -42,9 +42,16 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_documents(spark, sf_dir), with_text=False).drop("clean_text")
 
 
+def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.mixing import mixed_counts
+
+    return mixed_counts(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_transport_streams": op3_transport_streams,
     "op5_first_fit_packing": op5_first_fit_packing,
     "op7_line_quality": op7_line_quality,
+    "op9_block_mixing": op9_block_mixing,
 }
