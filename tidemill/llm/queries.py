@@ -36,6 +36,12 @@ def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1, with_ids=False).drop("ids")
 
 
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.language import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.quality_rules import line_quality
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_transport_streams": op3_transport_streams,
     "op5_first_fit_packing": op5_first_fit_packing,
+    "op6_ppm_language": op6_ppm_language,
     "op7_line_quality": op7_line_quality,
     "op9_block_mixing": op9_block_mixing,
 }
