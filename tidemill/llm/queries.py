@@ -30,6 +30,12 @@ def op3_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_streams(store_streams(_documents(spark, sf_dir)), with_units=False).drop("units")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.near_dups import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), words=2)
+
+
 def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.packing import pack_documents
 
@@ -57,6 +63,7 @@ def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_transport_streams": op3_transport_streams,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_first_fit_packing": op5_first_fit_packing,
     "op6_ppm_language": op6_ppm_language,
     "op7_line_quality": op7_line_quality,
