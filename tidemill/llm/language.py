@@ -224,4 +224,4 @@ def keep_known(docs: DataFrame, least_score: float = 0.5, **how) -> DataFrame:
             out += [lang != UNKNOWN and score >= least_score for lang, score in predicted(model.value, texts[i : i + 100])]
         return pd.Series(out, dtype=bool)
 
-    return docs.withColumn(verdict, known(F.col("text").cast("string"))).where(F.col(verdict)).drop(verdict)
+    return docs.withColumn(verdict, known.asNondeterministic()(F.col("text").cast("string"))).where(F.col(verdict)).drop(verdict)

@@ -124,14 +124,22 @@ def line_quality(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, with
 
 
 def keep_clean(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """The documents that pass, all columns as they came.
+    """The documents that pass, with the columns of docs; text is without the lines that failed, and n_chars follows it.
 
-    The verdict is an Arrow UDF's column under a name that docs doesn't have.
+    The cleaned text comes from an Arrow UDF, run once a row, under a name that docs doesn't have.
     """
-    verdict = fresh(docs, "quality_verdict")
+    clean = fresh(docs, "clean_text")
 
-    @F.pandas_udf("boolean")
-    def passes(text):
-        return text.map(lambda t: judged(t if isinstance(t, str) else None, max_lost_percent)[6])
+    def cleaned(text: str | None) -> str | None:
+        found = judged(text, max_lost_percent)
+        return found[10] if found[6] else None
 
-    return docs.withColumn(verdict, passes(F.col("text").cast("string"))).where(F.col(verdict)).drop(verdict)
+    @F.pandas_udf("string")
+    def cleaner(texts):
+        return texts.map(lambda t: cleaned(t if isinstance(t, str) else None))
+
+    out = docs.withColumn(clean, cleaner.asNondeterministic()(F.col("text").cast("string"))).where(F.col(clean).isNotNull())
+    out = out.withColumn("text", F.col(clean))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

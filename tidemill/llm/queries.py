@@ -60,6 +60,12 @@ def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_transport_streams": op3_transport_streams,
@@ -68,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ppm_language": op6_ppm_language,
     "op7_line_quality": op7_line_quality,
     "op9_block_mixing": op9_block_mixing,
+    "pipeline": pipeline,
 }
