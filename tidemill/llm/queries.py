@@ -54,6 +54,12 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_documents(spark, sf_dir), with_text=False).drop("clean_text")
 
 
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.weak_labels import weak_quality
+
+    return weak_quality(_documents(spark, sf_dir))
+
+
 def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.mixing import mixed_counts
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_first_fit_packing": op5_first_fit_packing,
     "op6_ppm_language": op6_ppm_language,
     "op7_line_quality": op7_line_quality,
+    "op8_weak_quality": op8_weak_quality,
     "op9_block_mixing": op9_block_mixing,
     "pipeline": pipeline,
 }
