@@ -66,6 +66,12 @@ def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(_documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.licenses import documents_as_files, license_scan
+
+    return license_scan(documents_as_files(_documents(spark, sf_dir)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_quality": op7_line_quality,
     "op8_weak_quality": op8_weak_quality,
     "op9_block_mixing": op9_block_mixing,
+    "op10_license_scan": op10_license_scan,
     "pipeline": pipeline,
 }
