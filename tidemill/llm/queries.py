@@ -18,6 +18,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.katz import katz_scores
+
+    return katz_scores(_documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.token_file import read_token_files, write_token_files
 
@@ -79,6 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_scores": op1_katz_scores,
     "op2_token_files": op2_token_files,
     "op3_transport_streams": op3_transport_streams,
     "op4_near_duplicates": op4_near_duplicates,
