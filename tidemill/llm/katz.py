@@ -199,6 +199,12 @@ class Known:
                 self.alpha[n] = np.concatenate([unpack(r["a"], np.float64) for r in rows])
                 self.scale[n] = np.concatenate([unpack(r["b"], np.float64) for r in rows])
 
+        for n in range(1, len(block.levels) + 1):  # a block of empty texts has no long n-grams
+            self.counts.setdefault(n, np.zeros(0, np.int64))
+            self.own.setdefault(n, np.zeros(0, bool))
+            self.alpha.setdefault(n, np.zeros(0))
+            self.scale.setdefault(n, np.zeros(0))
+
     def context_of(self, n: int) -> np.ndarray:
         """For each distinct n-gram, its context among the distinct (n - 1)-grams."""
         level = self.block.levels[n - 1]
