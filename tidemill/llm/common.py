@@ -56,7 +56,14 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
         with contextlib.suppress(Exception):
             spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing will read again."""
+    _remove(df.sparkSession, df.staged_at)
 
 
 def input_bytes(df: DataFrame) -> int:

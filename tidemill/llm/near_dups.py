@@ -3,13 +3,15 @@
 1. A document's set of word shingles is hashed by one function; its sketch is
    the K least hashes. Documents of equal sets form a class, one of which goes
    on.
-2. Retained values form inverted lists. Two sets of Jaccard 0.8 or more share
-   at least T values of their sketches (exactly so where the sets are at most K; else but
-   for odds under 1e-5 at 0.8 in the worst case, one set inside the other, and
-   far less above), so they share one of the K - T + 1 that are rarest in the
-   corpus. Only those are listed; a value that one class holds makes no list.
-3. A list's members are compared with its pivot (one star a list, never all pairs).
-   Links found are joined into components; in lists whose members are still in
+2. Retained values form inverted lists. Sets of n and m shingles with Jaccard 0.8 or more share
+   so many values of their sketches, T (exactly so where the sets are at most K;
+   else the greater of a sure bound and one that fails with odds of 1e-5 for a pair that
+   is just at 0.8), that they share one of the size - T + 1 that are rarest in the
+   corpus. Only those are listed, for each band of sizes that a partner may have, so that
+   T is close; a value that one class holds makes no list. Copies that are a little too
+   far apart to link so mostly meet in no list.
+3. A list's members are compared with its pivot, the one whose values most others hold (one star a list,
+   never all pairs). Links found are joined into components; in lists whose members are still in
    different ones, other pivots follow, only across components; at the
    last, every remaining pair across components, so that no link is lost.
 4. A pair passes if the sketch of the union estimates a Jaccard near the threshold or above;
@@ -18,19 +20,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fresh, map_rows, staged
+from tidemill.llm.common import discard, fresh, map_rows, staged
 from tidemill.llm.graph import components
 
-WORDS, PERCENT, K, PIVOT_ROUNDS = 5, 80, 128, 2
-#: Shared sketch values that a linked pair has at least, and how far under the threshold an estimate may lie.
-SHARED_OF_K, MARGIN = 0.65, 0.15
+WORDS, PERCENT, K, PIVOT_ROUNDS = 5, 80, 160, 2
+#: Standard deviations that shared sketch values may lie under their mean, ratio of a size band's ends, and how far under the threshold an estimate may lie.
+SIGMAS, BAND, MARGIN = 4.3, 1.05, 0.15
 
 SKETCHES = "rid long, doc_id long, n_shingles long, sig binary, sketch array<long>"
 
@@ -60,21 +64,57 @@ def _sketch(words: int, k: int, whole: bool):
     return rows
 
 
-def needed(n, percent: int, k: int):
-    """Sketch values that a set of n shares at least with any set it links to."""
-    return F.least(F.ceil(n * percent / 100), F.lit(int(SHARED_OF_K * k))).cast("int")
+def needed(n: int, m: int, percent: int, k: int) -> int:
+    """Sketch values that linked sets of n and m shingles share at least."""
+    common, most = -(-percent * (n + m) // (100 + percent)), max(n, m)
+    if most <= k:
+        return common
+    part = common / most
+    spread = math.sqrt(k * part * (1 - part) * (1 - k / most))
+    return max(1, common - (most - k), int(k * part - SIGMAS * spread))
+
+
+def band(n: int) -> int:
+    return int(math.log(n) / math.log(BAND) + 1e-9)
+
+
+@lru_cache(100_000)
+def partner_bands(n: int, percent: int, k: int) -> tuple[tuple[int, int], ...]:
+    """(band, values to list) for each band of sizes that a partner of a set of n may have."""
+    least, most = -(-percent * n // 100), 100 * n // percent
+    first, last = band(least), band(most)
+    out = []
+    for b in range(first, last + 1):
+        lo = max(least, math.ceil(BAND**b - 1e-9) - 1)
+        hi = min(most, math.floor(BAND ** (b + 1)) + 1)  # a little more than the band, whose ends are rounded
+        if lo <= hi:
+            out.append((b, min(n, k) - min(needed(n, m, percent, k) for m in {lo, hi, min(max(n, lo), hi)}) + 1))
+    return tuple(out)
+
+
+def _listed(percent: int, k: int):
+    def rows(classes: Iterable[tuple]) -> Iterator[tuple]:
+        for cid, n, common in classes:
+            size, mine = min(n, k), band(n)
+            lone = size - len(common)
+            central = sum(c["df"] for c in common) / size
+            for other, most in partner_bands(n, percent, k):
+                side = 0 if other == mine else 1 if mine < other else 2
+                pair = f"{min(mine, other)}:{max(mine, other)}:"
+                for c in common[: max(0, most - lone)]:
+                    yield cid, xxhash.xxh3_64_intdigest(f"{pair}{c['value']}") - (1 << 63), side, central
+
+    return rows
 
 
 def listed(reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """(value, cid) for the values that each class lists: its rarest, as many as a link can't miss all of."""
+    """(cid, value, side, central): the lists (a value and a pair of size bands) that each class is in, and how common its values are."""
     values = reps.select("cid", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     rows = values.join(shared, "value")
-    size = F.least(F.col("n_shingles"), F.lit(k)).cast("int")
     by_class = rows.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))  # K values at most
     joined = by_class.join(reps.select("cid", "n_shingles"), "cid")
-    most = size - needed(F.col("n_shingles"), percent, k) + 1 - (size - F.size("common"))
-    return joined.where(most > 0).select("cid", F.explode(F.slice("common", F.lit(1), most)).alias("v")).select("cid", F.col("v.value").alias("value"))
+    return map_rows(joined.select("cid", "n_shingles", "common"), _listed, "cid long, value long, side int, central double", percent, k)
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -97,18 +137,27 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: i
     """
     number = F.col(rid) if rid else F.monotonically_increasing_id()
     rows = docs.select(number.cast("long").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    passing: list[DataFrame] = []  # staged tables that the result doesn't need
+
+    def staged_here(df: DataFrame, tag: str) -> DataFrame:
+        passing.append(staged(df, tag))
+        return passing[-1]
+
     s = staged(map_rows(rows, _sketch, SKETCHES, words, k, False), "sketches")
     classes = staged(s.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("cid")), "classes")
     reps = staged(s.join(classes.select("cid"), s["rid"] == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "doc_id", "n_shingles", "sig", "sketch"), "classes")
-    lists = staged(listed(reps, percent, k), "lists")
-    lists = staged(lists.join(lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value"), "value", "left_semi"), "lists")
+    everything, s = s, staged(s.drop("sketch"), "rows")
+    discard(everything)
+    lists = staged_here(listed(reps, percent, k), "lists")
+    lists = staged_here(lists.join(lists.groupBy("value").agg(F.count("*").alias("m"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("m > 1 and (hi = 0 or lo <> hi)").select("value"), "value", "left_semi"), "lists")
 
     involved = lists.select("cid").distinct()
-    sketches = staged(reps.join(involved, "cid", "left_semi"), "involved")
+    sketches = staged_here(reps.join(involved, "cid", "left_semi"), "involved")
+    discard(reps)
     wanted = sketches.select(F.col("doc_id").alias("wanted")).distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     hashed = map_rows(texts, _sketch, "sig binary, set array<long>", words, k, True)
-    sets = staged(hashed.join(sketches.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+    sets = staged_here(hashed.join(sketches.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set")), "sets")
     sketches = sketches.select("cid", "sketch")
 
     roots = None
@@ -117,26 +166,26 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: i
         if roots is None:
             now = lists.withColumn("root", F.col("cid"))
         else:
-            now = lists.join(roots, lists["cid"] == roots["id"], "left").select("value", "cid", F.coalesce("root", "cid").alias("root"))
+            now = lists.join(roots, lists["cid"] == roots["id"], "left").select("value", "cid", "side", "central", F.coalesce("root", "cid").alias("root"))
             now = now.join(now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value"), "value", "left_semi")
         if step <= PIVOT_ROUNDS:
-            turn = F.struct(F.col("cid").alias("o")) if step == 0 else F.struct(F.xxhash64("cid", "value", F.lit(step)).alias("o"))
-            pivots = now.groupBy("value").agg(F.min(F.struct(turn.alias("turn"), F.col("cid").alias("pivot"), F.col("root").alias("pivot_root"))).alias("p")).select("value", "p.pivot", "p.pivot_root")
-            met = now.join(pivots, "value").where("root <> pivot_root").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
+            turn = F.struct((-F.col("central")).alias("o")) if step == 0 else F.struct(F.xxhash64("cid", "value", F.lit(step)).alias("o"))
+            pivots = now.groupBy("value").agg(F.min(F.struct(turn.alias("turn"), F.col("cid").alias("pivot"), F.col("root").alias("pivot_root"), F.col("side").alias("pivot_side"))).alias("p")).select("value", "p.pivot", "p.pivot_root", "p.pivot_side")
+            met = now.join(pivots, "value").where("root <> pivot_root and (side = 0 or side <> pivot_side)").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
         else:
-            now = staged(now, "unsettled")
-            other = now.select("value", F.col("cid").alias("other"), F.col("root").alias("other_root"))
-            met = now.join(other, "value").where("cid < other and root <> other_root").select(F.col("cid").alias("a"), F.col("other").alias("b"))
+            now = staged_here(now, "unsettled")
+            other = now.select("value", F.col("cid").alias("other"), F.col("side").alias("other_side"), F.col("root").alias("other_root"))
+            met = now.join(other, "value").where("cid < other and root <> other_root and (side = 0 or side <> other_side)").select(F.col("cid").alias("a"), F.col("other").alias("b"))
         pairs = met.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
+        pairs = staged_here(pairs, "pairs")
         if pairs.isEmpty():
             if step == PIVOT_ROUNDS + 1 or step == 0:
                 break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = staged(_verified(pairs, sketches, sets, percent, k), "links")
+        links = staged_here(_verified(pairs, sketches, sets, percent, k), "links")
         if links.isEmpty():
             continue
         if roots is None:
@@ -145,10 +194,12 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: i
         # links between roots merge what is known
         of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
         between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        merged = staged(components(between), "roots").select(F.col("id").alias("old"), F.col("root").alias("new"))
+        merged = staged_here(components(between), "roots").select(F.col("id").alias("old"), F.col("root").alias("new"))
         moved = roots.join(merged, roots["root"] == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root"))
         added = merged.join(roots, merged["old"] == roots["id"], "left_anti").select(F.col("old").alias("id"), F.col("new").alias("root"))
         roots = staged(moved.unionByName(added), "roots")
+    for table in passing:
+        discard(table)
     by_sig = classes if roots is None else classes.join(roots, classes["cid"] == roots["id"], "left").select("sig", F.coalesce("root", "cid").alias("cid"))
     return s.select("rid", "doc_id", "n_shingles", "sig").join(by_sig, "sig", "left").select("rid", "doc_id", "n_shingles", F.col("cid").alias("component"))
 
