@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import SPACES, WORD_RE, fresh, map_rows, parts_for, staged
+from tidemill.llm.common import SPACES, WORD_RE, discard, fresh, map_rows, parts_for, staged
 
 WEIGHTS, TOTAL, MOST, BLOCK, SHARD_SLOTS, MAX_SHARDS, SEED = (5, 2, 1), 1.5, 2, 256, 4096, 10_000, 17
 
@@ -154,12 +154,13 @@ def _slots(block: int, seed: int):
 
 @dataclass
 class Mix:
-    """slots: shard, slot, source_key, block, epoch, words. spans: rid, epoch, from_word, to_word drawn. sources: source_key, source_size, target. lines: rid, source_key, size, start."""
+    """slots: shard, slot, source_key, block, epoch, words. spans: rid, epoch, from_word, to_word drawn. sources: source_key, source_size, target. lines: rid, source_key, size, start. running: the staged table behind spans and lines."""
 
     slots: DataFrame
     spans: DataFrame
     sources: DataFrame
     lines: DataFrame
+    running: DataFrame
 
 
 def source_key(source: str = "source"):
@@ -197,8 +198,8 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     end = F.col("start") + F.col("size")
     cells = lines.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     lo, hi = F.greatest(F.col("start"), F.col("block") * block), F.least(end, F.col("block") * block + F.col("words"))
-    spans = cells.join(slots.select("source_key", "block", "epoch", "words"), ["source_key", "block"]).where(hi > lo).select("rid", "epoch", (lo - F.col("start")).alias("from_word"), (hi - F.col("start")).alias("to_word"))
-    return Mix(slots, spans, sources, lines)
+    spans = cells.join(slots.select("source_key", "block", "epoch", "words").hint("merge"), ["source_key", "block"]).where(hi > lo).select("rid", "epoch", (lo - F.col("start")).alias("from_word"), (hi - F.col("start")).alias("to_word"))
+    return Mix(slots, spans, sources, lines, running)
 
 
 def mixed_counts(docs: DataFrame, **how) -> DataFrame:
@@ -245,6 +246,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     kept = staged(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
     m = mix(kept.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source_key"), n_words().alias("size"), F.col(rid).alias("rid")), **how)
     drawn = m.spans.groupBy("rid", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias(spans)).select(F.col("rid").alias(rid), spans)
+    drawn = staged(drawn, "mix-spans")
+    discard(m.running)
 
     @F.pandas_udf("string")
     def cut(texts, wanted):
