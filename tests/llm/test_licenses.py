@@ -49,3 +49,25 @@ def test_notices_of_documents(spark):
 def test_odd_rows(odd_docs, empty_docs):
     assert license_scan(documents_as_files(odd_docs)).count() == odd_docs.count()
     assert license_scan(documents_as_files(empty_docs)).count() == 0
+
+
+def test_all_words_have_their_frequencies(spark, monkeypatch):
+    import tidemill.llm.licenses as m
+
+    monkeypatch.setattr(m, "FREQUENT", 2)
+    texts = ["some about thing Released under the MIT License."] + [f"some about thing word{i} and so on" for i in range(199)] + [None]
+    files = [(i, f"f/{i}", x) for i, x in enumerate(texts)]
+    rows = license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), all_words=True).orderBy("doc_id").collect()
+    df = Counter(t for x in texts for t in set(tokens(x or "")))
+    idf = lambda t: math.log((1 + len(texts)) / (1 + df[t])) + 1
+    vector = lambda words: {t: (1 + math.log(c)) * idf(t) for t, c in Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    best = 0.0
+    for p in passages(texts[0]):
+        for fs in TEMPLATES.values():
+            for f in fs:
+                a, b = vector(p), vector(tokens(f))
+                best = max(best, sum(a[t] * b.get(t, 0) for t in a) / (norm(a) * norm(b)))
+    assert abs(rows[0].similarity - best) < 1e-9 and best > 0.9
+    assert (rows[0].licence, rows[0].how) == ("MIT", "own") and len(rows) == len(texts)
+    assert all(r.similarity == 0 for r in rows[1:])

@@ -3,7 +3,8 @@
 A file's passages are its header (the first lines) and the surroundings of every line
 with a licence word; the whole file is one more passage where it is short. Passages and templates
 are sparse TF-IDF vectors; the inverse document frequencies of the templates'
-words are counted over all files (a word of no template counts as in one file). A
+words are counted over all files. With all_words those of every word in a passage are (as op10 does),
+else a word of no template counts as in one file. A
 file's licence is the template of highest cosine, if it is high enough. Where the passage
 makes up most of a file, or the file's name says so, it is a licence file, and
 speaks for its directory: files without a licence of their own take that of
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import map_rows
+from tidemill.llm.common import map_rows, staged
 
 HEADER_LINES, SHORT_WORDS, LEAST, FILE_SHARE = 12, 400, 0.6, 0.5
+#: Words whose document frequencies every task has; those of the others are joined.
+FREQUENT = 10_000
 #: Notices and opening clauses of common licences.
 TEMPLATES = {
     "Apache-2.0": (
@@ -96,13 +99,19 @@ def passages(text: str) -> list[list[str]]:
 class Matcher:
     """Cosines to the templates under document frequencies."""
 
-    def __init__(self, df: dict[str, int], files: int):
+    def __init__(self, df: dict[str, int], files: int, more: Iterable[tuple[str, int]] = ()):
+        self.files = files
+        self.more, self.own = self.know(more), {}
         self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
         self.other = math.log((1 + files) / 2) + 1
         self.forms = [(name, *self.vector(tokens(form))) for name in sorted(TEMPLATES) for form in TEMPLATES[name]]
 
+    def know(self, df: Iterable[tuple[str, int]]) -> dict[str, float]:
+        """Weights of further words by their document frequencies."""
+        return {t: math.log((1 + self.files) / (1 + n)) + 1 for t, n in df}
+
     def vector(self, words: list[str]) -> tuple[dict[str, float], float]:
-        v = {t: (1 + math.log(c)) * self.idf.get(t, self.other) for t, c in Counter(words).items()}
+        v = {t: (1 + math.log(c)) * (self.idf.get(t) or self.more.get(t) or self.own.get(t, self.other)) for t, c in Counter(words).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
     def best(self, text: str) -> tuple[str | None, float, int]:
@@ -143,13 +152,50 @@ def _scan(least: float, share: float, model):
     return rows
 
 
+def _all_frequencies():
+    def rows(files: Iterable[tuple]) -> Iterator[tuple]:
+        df: Counter = Counter()
+        for (text,) in files:
+            df[""] += 1
+            df.update(set(_TOKEN.findall((text or "").lower())))
+            if len(df) > 1 << 18:
+                yield from df.items()
+                df.clear()
+        yield from df.items()
+
+    return rows
+
+
+def _candidates(known: frozenset):
+    def rows(files: Iterable[tuple]) -> Iterator[tuple]:
+        for digest, text in files:
+            if found := passages(text):
+                yield digest, text, sorted({t for p in found for t in p} - known)
+
+    return rows
+
+
+def _match(least: float, share: float, model):
+    def rows(files: Iterable[tuple]) -> Iterator[tuple]:
+        matcher = Matcher(*model)
+        for digest, text, words in files:
+            matcher.own = matcher.know((w["t"], w["n"]) for w in words or ())
+            name, cosine, size = matcher.best(text)
+            name = name if cosine >= least else None
+            yield digest, name, cosine, bool(name) and size >= share * len(tokens(text))
+
+    return rows
+
+
 def directory(path):
     """The directory of a path; '' at the top."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE) -> DataFrame:
+def scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE, all_words: bool = False) -> DataFrame:
     """files (doc_id, path, text) as doc_id, path, licence of its own (null if none), similarity, is_licence_file."""
+    if all_words:
+        return _scan_all_words(files, least, share)
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     counts = {r["t"]: int(r["n"]) for r in map_rows(rows.select("text"), _frequencies, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop("", 0)  # at most as many counts as the templates have words
@@ -157,6 +203,30 @@ def scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE) -> D
     return map_rows(rows.select("doc_id", "path", named, "text"), _scan, "doc_id long, path string, licence string, similarity double, is_licence_file boolean", least, share, (counts, total))
 
 
+def _scan_all_words(files: DataFrame, least: float, share: float) -> DataFrame:
+    """scan with the document frequencies of all words.
+
+    Frequencies of all words are a table; those of the templates' words and of the FREQUENT most frequent ones
+    go to every task, those of the other words by a join with the words of the texts that have passages. Equal texts are matched once.
+    """
+    text = F.col("text").cast("string")
+    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), text.alias("text"), F.sha2(text, 256).alias("digest"))
+    counts = staged(map_rows(rows.select("text"), _all_frequencies, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")), "licence-words")
+    known = {r["t"]: int(r["n"]) for r in counts.where(F.col("t").isin("", *sorted(VOCABULARY))).collect()}
+    total = known.pop("", 0)
+    more = [(r["t"], int(r["n"])) for r in counts.where("t != ''").orderBy(F.desc("n"), "t").limit(FREQUENT).collect()]
+    joined = frozenset(t for t, _ in more) | VOCABULARY
+    found = map_rows(rows.where("text is not null").select("digest", "text"), _candidates, "digest string, text string, words array<string>", joined)
+    found = staged(found.dropDuplicates(["digest"]), "licence-texts")
+    rare = found.select("digest", F.explode("words").alias("t")).join(counts, "t").groupBy("digest").agg(F.collect_list(F.struct("t", "n")).alias("words"))
+    matched = map_rows(found.select("digest", "text").join(rare, "digest", "left"), _match, "digest string, licence string, similarity double, most boolean", least, share, (known, total, more))
+    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    out = rows.select("doc_id", "path", "digest").join(matched, "digest", "left").select(
+        "doc_id", "path", "licence", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), (F.col("licence").isNotNull() & (named | F.coalesce("most", F.lit(False)))).alias("is_licence_file")
+    )
+    return staged(out, "licence-scan")
+
+
 def inherited(scanned: DataFrame) -> DataFrame:
     """Adds licence_dir (where the licence comes from) and how: own, inherited or none.
 
@@ -181,13 +251,13 @@ def inherited(scanned: DataFrame) -> DataFrame:
     )
 
 
-def license_scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE) -> DataFrame:
+def license_scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE, all_words: bool = False) -> DataFrame:
     """One row per file (doc_id, path, text): its licence and where it comes from.
 
     A null text is empty and has no licence of its own; a null path has no
     directory and inherits nothing. Repeated rows are files of their own. An empty table gives no rows.
     """
-    return inherited(scan(files, least, share))
+    return inherited(scan(files, least, share, all_words))
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.licenses import documents_as_files, license_scan
 
-    return license_scan(documents_as_files(_documents(spark, sf_dir)))
+    return license_scan(documents_as_files(_documents(spark, sf_dir)), all_words=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
