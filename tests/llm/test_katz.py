@@ -101,3 +101,15 @@ def test_odd_rows(odd_docs, empty_docs):
     assert len(rows) == odd_docs.count() and all(r.score <= 0 and math.isfinite(r.score) for r in rows)
     assert katz_scores(empty_docs).count() == 0
     assert {r.score for r in katz_scores(odd_docs.where("doc_id is not null"), folds=1, fold=0).collect()} == {0.0}
+
+
+def test_registered_query_keeps_trigrams_seen_once(spark):
+    from tidemill.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    brute = Brute([(t or "").encode().lower().split() for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1], 3, (1, 1, 1))
+    assert any(c == 1 for c in brute.kept[3].values())
+    want = {i: brute.score((t or "").encode().lower().split()) for i, t in docs}
+    got = {r.doc_id: r.score for r in QUERIES["op1_katz_scores"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * max(1, -want[i]) for i in want)

@@ -21,7 +21,7 @@ def _vocabulary(name: str) -> str:
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.katz import katz_scores
 
-    return katz_scores(_documents(spark, sf_dir))
+    return katz_scores(_documents(spark, sf_dir), min_counts=(1, 1, 1))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
