@@ -71,3 +71,36 @@ def test_all_words_have_their_frequencies(spark, monkeypatch):
     assert abs(rows[0].similarity - best) < 1e-9 and best > 0.9
     assert (rows[0].licence, rows[0].how) == ("MIT", "own") and len(rows) == len(texts)
     assert all(r.similarity == 0 for r in rows[1:])
+
+
+NOTICES = {
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary",
+}
+
+
+def test_all_notices_of_documents(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cue = "(?i)licen[cs]ed? |copyright|rights reserved|creative commons"
+    lines = {r.line for r in docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(cue)).distinct().collect()}
+    assert lines <= NOTICES.keys() and "Licensed under CC BY-NC 4.0." in lines
+    got = {r.doc_id: r.licence for r in license_scan(documents_as_files(docs), all_words=True).where("how = 'own'").collect()}
+    want = {r.doc_id: {n for line, n in NOTICES.items() if line in (r.text or "").split("\n")} for r in docs.collect()}
+    want = {d: x for d, x in want.items() if x}
+    assert got.keys() == want.keys() and all(got[d] in x for d, x in want.items())
+
+
+def test_versions_and_kinds_agree():
+    header = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    bsd = "Copyright 2020 X. All rights reserved.\n" + TEMPLATES["BSD-3-Clause"][1]
+    m = Matcher({}, 1000)
+    for text, want in (
+        *NOTICES.items(), (header.format(2), "GPL-2.0"), (header.format(3), "GPL-3.0"), (header.format(1), None), (header.format(2).replace("GNU General", "GNU Library General"), None),
+        (header.format("2.1").replace("GNU General", "GNU Lesser General"), "LGPL-2.1"), (header.format(3).replace("GNU General", "GNU Affero General"), "AGPL-3.0"), ("Licensed under CC BY 3.0.", None),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under the Zlib License.", None),
+        (bsd, "BSD-2-Clause"), (bsd + "\nNeither the name of X may be used to endorse or promote products.", "BSD-3-Clause"),
+    ):
+        name, cosine, _ = m.best(text)
+        assert name == want, (text, name, cosine)

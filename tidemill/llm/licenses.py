@@ -5,7 +5,8 @@ with a licence word; the whole file is one more passage where it is short. Passa
 are sparse TF-IDF vectors; the inverse document frequencies of the templates'
 words are counted over all files. With all_words those of every word in a passage are (as op10 does),
 else a word of no template counts as in one file. A
-file's licence is the template of highest cosine, if it is high enough. Where the passage
+file's licence is the template of highest cosine, if it is high enough and the passage has the
+template's version, kind and name too. Where the passage
 makes up most of a file, or the file's name says so, it is a licence file, and
 speaks for its directory: files without a licence of their own take that of
 the nearest directory above them that has one, by joining paths.
@@ -29,11 +30,20 @@ HEADER_LINES, SHORT_WORDS, LEAST, FILE_SHARE = 12, 400, 0.6, 0.5
 FREQUENT = 10_000
 #: Notices and opening clauses of common licences.
 TEMPLATES = {
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -42,10 +52,15 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
     ),
+    "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
+    "CC-BY-NC-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."),
+    "CC-BY-NC-SA-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."),
+    "CC-BY-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."),
     "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
     "CC0-1.0": ("CC0 1.0 Universal. To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     ),
     "GPL-3.0": (
@@ -54,7 +69,16 @@ TEMPLATES = {
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -76,6 +100,36 @@ def tokens(text: str) -> list[str]:
 VOCABULARY = frozenset(t for forms in TEMPLATES.values() for form in forms for t in tokens(form))
 
 
+#: Words that tell licences of one family apart, and names that a form's passage must have too.
+_KINDS = {
+    "CC": {"nc": "nc", "noncommercial": "nc", "commercial": "nc", "nd": "nd", "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd", "sa": "sa", "sharealike": "sa", "alike": "sa"},
+    "GNU": {"affero": "affero", "agpl": "affero", "lesser": "lesser", "lgpl": "lesser", "library general": "library"},
+}
+_NAMES = ({"mit"}, {"apache"}, {"mozilla"}, {"bsd"}, {"gnu"}, {"cc", "creative"}, {"cc0"}, {"rights"})
+_FAMILY = {"CC": "CC", "GPL": "GNU", "LGPL": "GNU", "AGPL": "GNU"}
+_OF_NAME = {"AGPL": {"affero"}, "LGPL": {"lesser"}, "NC": {"nc"}, "ND": {"nd"}, "SA": {"sa"}}
+
+
+def agrees(name: str, form: set[str], words: list[str], of_file: set[str]) -> bool:
+    """Whether a passage has the version, the kind and the name that a template of this licence has.
+
+    The clause on endorsement anywhere in the file tells BSD-3-Clause from BSD-2-Clause where the form has no number.
+    """
+    there = set(words)
+    if any(n & form and not n & there for n in _NAMES):
+        return False
+    parts = name.split("-")
+    if parts[0] == "BSD":
+        return parts[1] in there if parts[1] in form else ("endorse" in of_file) == (parts[1] == "3")
+    version = parts[-1]
+    if version[0].isdigit() and parts[0] != "CC0" and there.isdisjoint({version, version.removesuffix(".0")}):
+        return False
+    if family := _KINDS.get(_FAMILY.get(parts[0], "")):
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        return {k for w, k in family.items() if w in there or w in pairs} == set().union(*(_OF_NAME.get(x, set()) for x in parts))
+    return True
+
+
 def passages(text: str) -> list[list[str]]:
     """Token lists of the header, of each cue's line and of it with the lines after, and of a short text as a whole."""
     lines = text.split("\n")
@@ -114,18 +168,36 @@ class Matcher:
         v = {t: (1 + math.log(c)) * (self.idf.get(t) or self.more.get(t) or self.own.get(t, self.other)) for t, c in Counter(words).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
-    def best(self, text: str) -> tuple[str | None, float, int]:
-        """Licence, cosine and passage length of the best passage; of equal cosines the first name, then the longest passage."""
-        found: tuple[str | None, float, int] = (None, 0.0, 0)
+    def best(self, text: str, least: float = LEAST) -> tuple[str | None, float, int]:
+        """Licence, cosine and passage length of the best passage; of equal cosines the first name, then the longest passage.
+
+        Only a cosine of at least least to a template that agrees with the passage gives a licence, and Proprietary only where
+        no other does; else the name is null and the cosine the highest of all.
+        """
+        nearest: tuple[str | None, float, int] = (None, 0.0, 0)
+        found: dict[bool, tuple[str, float, int]] = {}
+        of_file: set[str] | None = None
         for words in passages(text):
             v, norm = self.vector(words)
             for name, form, size in self.forms:
                 if norm and size:
                     small, large = (v, form) if len(v) < len(form) else (form, v)
                     cosine = min(1.0, sum(x * large[t] for t, x in small.items() if t in large) / (norm * size))
-                    if cosine > found[1] + 1e-12 or (abs(cosine - found[1]) <= 1e-12 and name == found[0] and len(words) > found[2]):
-                        found = name, cosine, len(words)
-        return found
+                    if cosine > nearest[1]:
+                        nearest = None, cosine, len(words)
+                    if cosine >= least:
+                        of_file = set(tokens(text)) if of_file is None else of_file
+                        own = name == "Proprietary"
+                        if agrees(name, set(form), words, of_file):
+                            found[own] = _better(found.get(own), (name, cosine, len(words)))
+        return found.get(False) or found.get(True) or nearest
+
+
+def _better(a: tuple[str, float, int] | None, b: tuple[str, float, int]) -> tuple[str, float, int]:
+    """The higher cosine; of equal ones the first name, then the longest passage."""
+    if a is None or b[1] > a[1] + 1e-12:
+        return b
+    return b if abs(b[1] - a[1]) <= 1e-12 and (b[0], -b[2]) < (a[0], -a[2]) else a
 
 
 def _frequencies():
@@ -144,9 +216,7 @@ def _scan(least: float, share: float, model):
         matcher = Matcher(*model)
         for doc_id, path, named, text in files:
             text = text or ""
-            name, cosine, size = matcher.best(text)
-            if cosine < least:
-                name = None
+            name, cosine, size = matcher.best(text, least)
             yield doc_id, path, name, cosine, bool(name) and (bool(named) or size >= share * len(tokens(text)))
 
     return rows
@@ -180,8 +250,7 @@ def _match(least: float, share: float, model):
         matcher = Matcher(*model)
         for digest, text, words in files:
             matcher.own = matcher.know((w["t"], w["n"]) for w in words or ())
-            name, cosine, size = matcher.best(text)
-            name = name if cosine >= least else None
+            name, cosine, size = matcher.best(text, least)
             yield digest, name, cosine, bool(name) and size >= share * len(tokens(text))
 
     return rows
