@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF cosine of notices and licence files to templates, then inheritance by directory.
 
 A file's passages are its header (the first lines) and the surroundings of every line
-with a licence word; the whole file is one more passage where it is short. Passages and templates
+with a licence word; the whole file is one more passage where it is short. Around every licence word each
+window of a template's length is compared with that template, and the whole file, however long, with whole licence
+texts (but the CC ones, which aren't here). Passages and templates
 are sparse TF-IDF vectors; the inverse document frequencies of the templates'
 words are counted over all files. With all_words those of every word in a passage are (as op10 does),
 else a word of no template counts as in one file. A
@@ -16,8 +18,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from importlib import resources
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +95,11 @@ TEMPLATES = {
 }
 CUE = re.compile(r"licen[cs]e|copyright|all rights reserved|public domain|creative commons|\bCC0\b|permission (?:is|to)|redistribution and use|free software", re.I)
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
+#: A cue with anything between its words, as notices are wrapped and commented out.
+_WRAPPED = re.compile(CUE.pattern.replace(" ", r"[^a-z0-9]+"), re.I)
+#: Licences whose whole texts are in license_texts; AGPL-3.0 is GPL-3.0's text but for its names and section 13. HEAD words hold a text's title.
+FULL = {n: n for n in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")} | {"AGPL-3.0": "GPL-3.0"}
+HEAD = 60
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
 
 
@@ -97,6 +107,8 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+FULL_TEXTS = {name: tokens((resources.files("tidemill.llm") / "license_texts" / f"{file}.txt").read_text("utf-8")) for name, file in FULL.items()}
+FULL_WORDS = frozenset(t for words in FULL_TEXTS.values() for t in words)
 VOCABULARY = frozenset(t for forms in TEMPLATES.values() for form in forms for t in tokens(form))
 
 
@@ -150,6 +162,12 @@ def passages(text: str) -> list[list[str]]:
     return out
 
 
+def cues(words: list[str]) -> list[int]:
+    """Places of the tokens that a cue begins in."""
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    return sorted({bisect_right(starts, m.start()) - 1 for m in CUE.finditer(" ".join(words))})
+
+
 class Matcher:
     """Cosines to the templates under document frequencies."""
 
@@ -159,6 +177,8 @@ class Matcher:
         self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
         self.other = math.log((1 + files) / 2) + 1
         self.forms = [(name, *self.vector(tokens(form))) for name in sorted(TEMPLATES) for form in TEMPLATES[name]]
+        self.lengths = [len(tokens(form)) for name in sorted(TEMPLATES) for form in TEMPLATES[name]]
+        self.full = None
 
     def know(self, df: Iterable[tuple[str, int]]) -> dict[str, float]:
         """Weights of further words by their document frequencies."""
@@ -168,15 +188,58 @@ class Matcher:
         v = {t: (1 + math.log(c)) * (self.idf.get(t) or self.more.get(t) or self.own.get(t, self.other)) for t, c in Counter(words).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
+    def cosine(self, words: list[str], form: dict[str, float], size: float) -> float:
+        v, norm = self.vector(words)
+        small, large = (v, form) if len(v) < len(form) else (form, v)
+        return min(1.0, sum(x * large[t] for t, x in small.items() if t in large) / (norm * size)) if norm and size else 0.0
+
+    def windows(self, words: list[str], least: float) -> Iterator[tuple[str, dict[str, float], float, list[str]]]:
+        """Template, cosine and words of every window of a template's length around a cue that has at least that cosine.
+
+        A template is left out at a cue where even a window of just its words that stand nearby would have less.
+        """
+        at = cues(words)
+        for (name, form, size), length in zip(self.forms, self.lengths):
+            done = 0
+            for c in at:
+                first, last = max(0, c - length + 1), min(c, max(0, len(words) - length))
+                near = sum(form[t] ** 2 for t in set(words[first : c + length]) if t in form)
+                if math.sqrt(near) < (least - 1e-9) * size:
+                    continue
+                for i in range(max(first, done), last + 1):
+                    window = words[i : i + length]
+                    if (cosine := self.cosine(window, form, size)) >= least:
+                        yield name, form, cosine, window
+                done = max(done, last + 1)
+
+    def whole(self, words: list[str], of_file: set[str], least: float) -> tuple[str, float, int] | None:
+        """The full licence text that the file as a whole is."""
+        if self.full is None:
+            self.full = [(name, *self.vector(text)) for name, text in sorted(FULL_TEXTS.items())]
+        out = None
+        for name, form, size in self.full:
+            if agrees(name, set(), words[:HEAD], of_file) and (cosine := self.cosine(words, form, size)) >= least:
+                out = _better(out, (name, cosine, len(words)))
+        return out
+
     def best(self, text: str, least: float = LEAST) -> tuple[str | None, float, int]:
         """Licence, cosine and passage length of the best passage; of equal cosines the first name, then the longest passage.
 
         Only a cosine of at least least to a template that agrees with the passage gives a licence, and Proprietary only where
-        no other does; else the name is null and the cosine the highest of all.
+        no other does; else the name is null and the cosine that of the nearest passage. Windows and the whole text count as
+        passages where they give a licence; the length is the file's if its whole text is that of the licence found.
         """
         nearest: tuple[str | None, float, int] = (None, 0.0, 0)
+        if not _WRAPPED.search(text):
+            return nearest
         found: dict[bool, tuple[str, float, int]] = {}
-        of_file: set[str] | None = None
+        all_of = tokens(text)
+        of_file = set(all_of)
+
+        def take(name: str, form: dict[str, float], cosine: float, words: list[str]) -> None:
+            if agrees(name, set(form), words, of_file):
+                found[name == "Proprietary"] = _better(found.get(name == "Proprietary"), (name, cosine, len(words)))
+
         for words in passages(text):
             v, norm = self.vector(words)
             for name, form, size in self.forms:
@@ -186,10 +249,13 @@ class Matcher:
                     if cosine > nearest[1]:
                         nearest = None, cosine, len(words)
                     if cosine >= least:
-                        of_file = set(tokens(text)) if of_file is None else of_file
-                        own = name == "Proprietary"
-                        if agrees(name, set(form), words, of_file):
-                            found[own] = _better(found.get(own), (name, cosine, len(words)))
+                        take(name, form, cosine, words)
+        for name, form, cosine, words in self.windows(all_of, least):
+            take(name, form, cosine, words)
+        if full := self.whole(all_of, of_file, least):
+            found[False] = best = _better(found.get(False), full)
+            if best[0] == full[0]:
+                found[False] = *best[:2], full[2]
         return found.get(False) or found.get(True) or nearest
 
 
@@ -236,11 +302,18 @@ def _all_frequencies():
     return rows
 
 
+def _among(words: frozenset):
+    def rows(counted: Iterable[tuple]) -> Iterator[tuple]:
+        return (r for r in counted if r[0] in words)
+
+    return rows
+
+
 def _candidates(known: frozenset):
     def rows(files: Iterable[tuple]) -> Iterator[tuple]:
         for digest, text in files:
-            if found := passages(text):
-                yield digest, text, sorted({t for p in found for t in p} - known)
+            if _WRAPPED.search(text):
+                yield digest, text, sorted(set(tokens(text)) - known)
 
     return rows
 
@@ -281,9 +354,11 @@ def _scan_all_words(files: DataFrame, least: float, share: float) -> DataFrame:
     text = F.col("text").cast("string")
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), text.alias("text"), F.sha2(text, 256).alias("digest"))
     counts = staged(map_rows(rows.select("text"), _all_frequencies, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")), "licence-words")
-    known = {r["t"]: int(r["n"]) for r in counts.where(F.col("t").isin("", *sorted(VOCABULARY))).collect()}
+    own = VOCABULARY | FULL_WORDS
+    known = {r["t"]: int(r["n"]) for r in map_rows(counts.select("t", "n"), _among, "t string, n long", own | {""}).collect()}
     total = known.pop("", 0)
-    more = [(r["t"], int(r["n"])) for r in counts.where("t != ''").orderBy(F.desc("n"), "t").limit(FREQUENT).collect()]
+    more = [(t, known.get(t, 0)) for t in sorted(own - VOCABULARY)]
+    more += [(r["t"], int(r["n"])) for r in counts.where("t != ''").orderBy(F.desc("n"), "t").limit(FREQUENT).collect()]
     joined = frozenset(t for t, _ in more) | VOCABULARY
     found = map_rows(rows.where("text is not null").select("digest", "text"), _candidates, "digest string, text string, words array<string>", joined)
     found = staged(found.dropDuplicates(["digest"]), "licence-texts")
