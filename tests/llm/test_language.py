@@ -64,3 +64,32 @@ def test_odd_rows(odd_docs, empty_docs):
     kept = keep_known(odd_docs)
     assert kept.columns == odd_docs.columns and {2, 3, 4}.isdisjoint(r.doc_id for r in kept.collect())
     assert normal("AÉ") == "aé".encode()
+
+
+def test_long_documents_are_learnt_from_in_pieces(spark):
+    rng = np.random.default_rng(3)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(300)] for lang, letters in (("a", "abcdefgh"), ("b", "ijklmnop"))}
+    make = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(i, make("a", 5000), "a") for i in range(20)] + [(100 + i, make("b", 40), "b") for i in range(900)]  # all of a is long
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = 120_000
+    from tidemill.llm.language import learn
+
+    trees = learn(docs, sample)
+    assert trees.languages == ["a", "b"]
+    assert all(lang == r[2] for r, (lang, _) in zip(rows, predicted(trees, [r[1] for r in rows])))
+    got = identify(docs, sample_bytes=sample).collect()
+    assert all(r.lang_pred == ("a" if r.doc_id < 100 else "b") for r in got)
+    # each language has its share, though many take part
+    many = spark.createDataFrame([(i, make("ab"[i % 2], 5000), f"{'ab'[i % 2]}{i % 40}") for i in range(80)], docs.schema)
+    assert len(learn(many, sample).languages) == 40
+
+
+def test_sample_has_each_share(spark, monkeypatch):
+    import tidemill.llm.language as m
+
+    rows = [(i, "abc " * n, lang) for i, (n, lang) in enumerate([(9000, "long")] * 3 + [(50, "short")] * 800 + [(10, "little")] * 3)]
+    seen = {}
+    monkeypatch.setattr(m, "frozen", lambda counts: seen.update({k: v[1].sum() for k, v in counts.items()}))
+    m.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 60_000)
+    assert seen["little"] >= 120 and 20_000 <= seen["long"] <= 21_500 and 20_000 <= seen["short"] <= 21_500

@@ -21,12 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.llm.common import fresh, map_rows, texts_of
 
 ORDER, UNKNOWN = 3, "und"
 #: Bytes of labelled text to learn from, over all languages; each gets an equal share of it, or all it has.
 SAMPLE_BYTES = 8 << 20
+#: Most characters of a piece of a text that is learnt from in part.
+PIECE = 4096
 _SEPARATOR = b"\n" * ORDER
 
 
@@ -135,8 +138,9 @@ def remainder(n: int = 5):
 def learn(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
     """Trees from rows with text and lang; None if there are none.
 
-    Each language's share of sample_bytes is taken from its documents by a hash of doc_id, all of them
-    where it has less; a document of over a tenth of the share is not learnt from unless all are. Counts, not texts,
+    A language with less than its share of sample_bytes is learnt from whole. Of the others' texts pieces are taken by a hash of
+    doc_id and piece number, in the hash's order until they make up the share, so long documents take part as short ones do.
+    Twice the share is drawn first, in at least 128 expected pieces, so that it is there to be cut. Counts, not texts,
     go to the driver: as many as the sample has distinct windows.
     """
     rows = texts_of(labelled, "lang").where("text is not null and lang is not null and doc_id is not null")
@@ -144,12 +148,20 @@ def learn(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Trees | None
     if not sizes:
         return None
     share = sample_bytes // len(sizes)
-    most = 1 << 32
-    chosen = F.lit(False)
+    piece = max(64, min(PIECE, share // 64))
+    most, limit = 1 << 32, F.lit(0)
     for lang, n in sizes.items():
-        part = F.lit(True) if n <= share else (F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(most)) < int(most * share / n)) & (F.octet_length("text") * 10 <= share)
-        chosen = F.when(F.col("lang") == lang, part).otherwise(chosen)
-    counts = map_rows(rows.where(chosen).select("lang", "text"), _count, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
+        limit = F.when(F.col("lang") == lang, F.lit(most if n <= share else min(most, int(most * 2 * share / n)))).otherwise(limit)
+    small = [lang for lang, n in sizes.items() if n <= share]
+    whole = rows.where(F.col("lang").isin(small)).select("lang", "text")
+    drawn = lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit("ppm")), F.lit(most))
+    pieces = rows.where(~F.col("lang").isin(small)).withColumn("limit", limit)
+    pieces = pieces.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.floor((F.length("text") + (piece - 1)) / piece).cast("int") - 1), lambda i: drawn(i) < F.col("limit"))))
+    pieces = pieces.where("length(text) > 0").select("lang", drawn(F.col("i")).alias("at"), F.col("text").substr(F.col("i") * piece + 1, F.lit(piece)).alias("text"))
+    before = Window.partitionBy("lang").orderBy("at", "text").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < share)
+    chosen = whole if len(small) == len(sizes) else pieces.select("lang", "text").unionByName(whole)
+    counts = map_rows(chosen, _count, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     if not len(found):
         return None
