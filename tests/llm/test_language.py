@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tidemill.llm.language import ORDER, code_lengths, frozen, identify, keep_known, normal, predicted, windows_of
 
@@ -93,3 +94,27 @@ def test_sample_has_each_share(spark, monkeypatch):
     monkeypatch.setattr(m, "frozen", lambda counts: seen.update({k: v[1].sum() for k, v in counts.items()}))
     m.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 60_000)
     assert seen["little"] >= 120 and 20_000 <= seen["long"] <= 21_500 and 20_000 <= seen["short"] <= 21_500
+
+
+def test_texts_of_no_learnt_language_go(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 300")
+    rng = np.random.default_rng(4)
+    noise = [(10**6 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 600)), None) for i in range(20)]
+    more = spark.createDataFrame(noise, "doc_id long, text string, lang string")
+    for left_out in ("de", "fr"):
+        given = docs.select("doc_id", "text", F.when(F.col("lang") != left_out, F.col("lang")).alias("lang")).unionByName(more)
+        got = {r.doc_id for r in keep_known(given).select("doc_id").collect()}
+        lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+        assert max(got) < 10**6 and sum(lang[d] == left_out for d in got) < 0.02 * len(got)
+        others = [d for d, x in lang.items() if x not in (None, left_out)]
+        assert sum(d in got for d in others) > 0.95 * len(others)
+    one = docs.where("lang = 'en'").select("doc_id", "text", "lang").unionByName(more)
+    assert max(r.doc_id for r in keep_known(one).select("doc_id").collect()) < 10**6
+
+
+def test_all_stay_if_nothing_can_be_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "cast(null as string) as lang")
+    with pytest.warns(UserWarning, match="no language"):
+        assert keep_known(docs).count() == docs.count() > 0

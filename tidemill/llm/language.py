@@ -15,6 +15,7 @@ goes on to the next shorter table.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ ORDER, UNKNOWN = 3, "und"
 SAMPLE_BYTES = 8 << 20
 #: Most characters of a piece of a text that is learnt from in part.
 PIECE = 4096
+#: A text is in a learnt language if its code is at most MOST_RATE times as long as is typical of the language, and SLACK bits; about RATED documents of each say what is typical.
+MOST_RATE, SLACK, RATED = 1.5, 64, 400
 _SEPARATOR = b"\n" * ORDER
 
 
@@ -180,19 +183,53 @@ def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def predicted(trees: Trees | None, texts: list[str | None]) -> list[tuple[str, float]]:
-    """Language and score of each text; UNKNOWN and 0 where it is null or has no letter."""
-    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+def coded(trees: Trees | None, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+    """Language and score of each text, its bits under that language and its bytes; UNKNOWN and zeros where it is null or has no letter."""
+    out: list[tuple[str, float, float, int]] = [(UNKNOWN, 0.0, 0.0, 0)] * len(texts)
     use = [i for i, t in enumerate(texts) if t and trees and any(map(str.isalpha, t))]
     if use:
-        bits = code_lengths(trees, [normal(texts[i]) for i in use])
+        data = [normal(texts[i]) for i in use]
+        bits = code_lengths(trees, data)
         best = bits.argmin(1)
         share = 1 / np.exp2(np.minimum(0, bits.min(1, keepdims=True) - bits)).sum(1)
-        for i, b, s in zip(use, best.tolist(), share.tolist()):
-            out[i] = trees.languages[b], s
+        for i, d, b, s, n in zip(use, data, best.tolist(), share.tolist(), bits.min(1).tolist()):
+            out[i] = trees.languages[b], s, n, len(d)
     return out
 
 
+def predicted(trees: Trees | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text; UNKNOWN and 0 where it is null or has no letter."""
+    return [c[:2] for c in coded(trees, texts)]
+
+
+def _rates(model):
+    def rows(docs: Iterable[tuple]) -> Iterator[tuple]:
+        trees = model.value
+        for lang, text in docs:
+            if data := normal(text):
+                yield lang, float(code_lengths(trees, [data])[0, trees.languages.index(lang)]) / len(data)
+
+    return rows
+
+
+def typical_rates(unseen: DataFrame, trees: Trees, model) -> dict[str, float]:
+    """Median bits a byte of each learnt language's labelled documents that weren't learnt from, over about RATED of them, drawn by hash.
+
+    A language without such a document gets the highest rate of the others; without any at all none has a rate.
+    """
+    rows = texts_of(unseen, "lang").where(F.col("lang").isin(trees.languages) & F.col("text").rlike(r"\p{L}"))
+    many = {r["lang"]: int(r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most, limit = 1 << 32, F.lit(0)
+    for lang, n in many.items():
+        limit = F.when(F.col("lang") == lang, F.lit(min(most, most * RATED // n))).otherwise(limit)
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("rate")), F.lit(most)) < limit).select("lang", F.substring("text", 1, PIECE).alias("text"))
+    found: dict[str, list[float]] = {}
+    for r in map_rows(some, _rates, "lang string, rate double", model).collect():
+        found.setdefault(r["lang"], []).append(r["rate"])
+    out = {lang: float(np.median(x)) for lang, x in found.items()}
+    return {lang: out.get(lang, max(out.values())) for lang in trees.languages} if out else {}
+
+
 def _predict(model):
     def rows(docs: Iterable[tuple]) -> Iterator[tuple]:
         kept: list[tuple] = []
@@ -221,10 +258,19 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, folds: int = 5,
     return map_rows(rows, _predict, "doc_id long, held_out boolean, lang_pred string, score double", model)
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.5, **how) -> DataFrame:
-    """The documents whose language is recognised with at least that score, all columns as they came."""
-    trees = learn(docs.where(remainder(how.get("folds", 5)) != 0), how.get("sample_bytes", SAMPLE_BYTES))
+def keep_known(docs: DataFrame, least_score: float = 0.5, most_rate: float = MOST_RATE, **how) -> DataFrame:
+    """The documents whose language is recognised, all columns as they came.
+
+    The language's score is at least least_score, and the text's code at most most_rate times as long as is typical of that
+    language (and SLACK bits for short texts), so a text in a language that wasn't learnt goes. If no language could be learnt all documents stay, with a warning.
+    """
+    held = remainder(how.get("folds", 5)) == 0
+    trees = learn(docs.where(~held), how.get("sample_bytes", SAMPLE_BYTES))
+    if trees is None:
+        warnings.warn("no language could be learnt: all documents are kept", stacklevel=2)
+        return docs
     model = docs.sparkSession.sparkContext.broadcast(trees)
+    rates = typical_rates(docs.where(held), trees, model)
     verdict = fresh(docs, "language_known")
 
     @F.pandas_udf("boolean")
@@ -233,7 +279,8 @@ def keep_known(docs: DataFrame, least_score: float = 0.5, **how) -> DataFrame:
 
         texts, out = [t if isinstance(t, str) else None for t in text], []
         for i in range(0, len(texts), 100):
-            out += [lang != UNKNOWN and score >= least_score for lang, score in predicted(model.value, texts[i : i + 100])]
+            for lang, score, bits, n in coded(model.value, texts[i : i + 100]):
+                out.append(lang != UNKNOWN and score >= least_score and (lang not in rates or bits <= most_rate * rates[lang] * n + SLACK))
         return pd.Series(out, dtype=bool)
 
     return docs.withColumn(verdict, known.asNondeterministic()(F.col("text").cast("string"))).where(F.col(verdict)).drop(verdict)
