@@ -45,3 +45,16 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in plan("top_3_orders")
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan("latest_error_per_user")
     assert "LeftAnti" in plan("orders_without_lines") and "Python" not in plan("redacted_digests")
+
+
+def test_reach_over_long_chains(spark):
+    from tidemill.operators.compare import reachable
+
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(66)], "src long, dst long")
+        got = {(r.src, r.dst): r.hops for r in reachable(spark, edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got == {(i, j): j - i for i in range(67) for j in range(i + 1, 67)}

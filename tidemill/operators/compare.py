@@ -50,8 +50,8 @@ def present(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     return expected.join(found.select(*on), on, "left_semi")
 
 
-def reachable(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str = "dst", most_hops: int = 64) -> DataFrame:
-    """(src, dst, hops): everything that each node reaches, with the least number of hops; cycles end.
+def reachable(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str = "dst", most_hops: int | None = None) -> DataFrame:
+    """(src, dst, hops): everything that each node reaches, with the least number of hops; cycles end. Only a given most_hops bounds the hops.
 
     One join a hop over the newly found pairs; each round goes to the checkpoint folder.
     """
@@ -62,7 +62,9 @@ def reachable(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
-    for hops in range(2, most_hops + 1):
+    hops = 1
+    while most_hops is None or hops < most_hops:
+        hops += 1
         nxt = step.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
         step = nxt.join(found.select("src", "dst"), ["src", "dst"], "left_anti").checkpoint()
         if step.isEmpty():
