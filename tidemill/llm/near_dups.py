@@ -5,7 +5,7 @@
    on.
 2. Retained values form inverted lists. Sets of n and m shingles with Jaccard 0.8 or more share
    so many values of their sketches, T (exactly so where the sets are at most K;
-   else the greater of a sure bound and one that fails with odds of 1e-5 for a pair that
+   else the greater of a sure bound and one that fails with odds of 6e-5 at most for a pair that
    is just at 0.8), that they share one of the size - T + 1 that are rarest in the
    corpus. Only those are listed, for each band of sizes that a partner may have, so that
    T is close; a value that one class holds makes no list. Copies that are a little too
