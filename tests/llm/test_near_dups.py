@@ -2,6 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
+from tidemill.llm import near_dups
 from tidemill.llm.graph import components
 from tidemill.llm.near_dups import near_duplicates, shingle_hashes, without_duplicates
 
@@ -77,6 +80,32 @@ def test_against_all_pairs(spark):
         assert sorted((tuple(r) for r in got), key=str) == _brute(rows, words)
 
 
+def _near_copies(seed, n):
+    """A group of copies at distances around the threshold, most of them just under it to each other."""
+    rnd = random.Random(seed)
+    rows = []
+    for size in (90, 260):
+        base = [f"b{size}_{i}" for i in range(size)]
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rnd.randint(size // 50, size // 13)):
+                w[rnd.randrange(size)] = f"m{rnd.randrange(40 * n)}"
+            rows.append((len(rows), " ".join(w[: rnd.randint(size - 8, size)])))
+    return rows
+
+
+@pytest.mark.parametrize(("rounds", "chunk"), [(3, 2048), (0, 2048), (0, 16), (1, 40)])
+def test_near_copies_around_the_threshold(spark, monkeypatch, rounds, chunk):
+    """Stars, pairs inside tasks and chunks of long lists find the same links, none is lost."""
+    monkeypatch.setattr(near_dups, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dups, "CHUNK", chunk)
+    rows = _near_copies(7, 130)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    want = _brute(rows, 2)
+    assert 3 < sum(k for *_, k in want) < len(rows) - 100
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_odd_rows(odd_docs, empty_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = near_duplicates(odd_docs, words=2).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import staged
+from tidemill.llm.common import discard, staged
 
 
 def _mark(df: DataFrame) -> tuple:
@@ -13,11 +13,11 @@ def _mark(df: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links of longs as (id, root), root being the least id that id reaches.
+    """(a, b) links of longs as (id, root), root being the least id that id reaches; a staged table.
 
     Ids without links to others are absent. Each round halves paths, roughly; the rows of a
-    round are at most the links. A node with very many links is only ever grouped with
-    partial minima or joined, which splits.
+    round are at most the links, and the round before is removed. A node with very many links is only ever grouped with
+    partial minima or joined with one row a node, a join whose large partitions Spark splits.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(now)
@@ -27,9 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = staged(small, "links")
+        before, now = now, staged(small, "links")
+        discard(before)
         after = _mark(now)
         if after == mark:
             break
         mark = after
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    roots = staged(now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()), "roots")
+    discard(now)
+    return roots

@@ -8,14 +8,14 @@
    else the greater of a sure bound and one that fails with odds of 6e-5 at most for a pair that
    is just at 0.8), that they share one of the size - T + 1 that are rarest in the
    corpus. Only those are listed, for each band of sizes that a partner may have, so that
-   T is close; a value that one class holds makes no list. Copies that are a little too
-   far apart to link so mostly meet in no list.
-3. A list's members are compared with its pivot, the one whose values most others hold (one star a list,
-   never all pairs). Links found are joined into components; in lists whose members are still in
-   different ones, other pivots follow, only across components; at the
-   last, every remaining pair across components, so that no link is lost.
-4. A pair passes if the sketch of the union estimates a Jaccard near the threshold or above;
-   the exact figure on the full sets decides.
+   T is close; a value that one class holds makes no list.
+3. Rounds of stars: each list names a pivot, and each class is compared with PIVOTS pivots of its lists at most (the most
+   central ones, then those of its shortest lists). Links are joined into components; only
+   lists whose members are in different ones go on.
+4. After the rounds, the members of each list left are compared across components inside tasks: by overlap counts
+   of their sketches against T and by the sketch of the union against the threshold. Long lists are cut into
+   chunks, each pair of chunks being one group. Only survivors leave a task, each from the first list that it shares.
+5. The exact figure on the full sets decides on every pair that passes. No pair goes unproved.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import discard, fresh, map_rows, staged
 from tidemill.llm.graph import components
 
-WORDS, PERCENT, K, PIVOT_ROUNDS = 5, 80, 160, 2
+WORDS, PERCENT, K, ROUNDS, PIVOTS = 5, 80, 160, 3, 4
+#: Members of a list that meet in one task at most (twice as many where two chunks meet).
+CHUNK = 2048
 #: Standard deviations that shared sketch values may lie under their mean, ratio of a size band's ends, and how far under the threshold an estimate may lie.
 SIGMAS, BAND, MARGIN = 4.3, 1.05, 0.15
 
@@ -120,6 +123,7 @@ def listed(reps: DataFrame, percent: int, k: int) -> DataFrame:
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
     side = lambda df, x: df.select(*(F.col(c).alias(x if c == "cid" else f"{c}_{x}") for c in df.columns))
+    sketches = sketches.select("cid", "sketch")
     near = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
     union = F.slice(F.array_sort(F.transform(F.array_union("sketch_a", "sketch_b"), lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))), 1, k)
     both = F.transform(F.array_intersect("sketch_a", "sketch_b"), lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
@@ -130,78 +134,213 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     return full.where(F.col("n") * 100 >= (F.col("sum") - F.col("n")) * percent).select("a", "b")
 
 
+class _Part:
+    """Members of a list, or of two chunks of one: pairs across components that may link."""
+
+    def __init__(self, rows: pa.RecordBatch, percent: int, k: int):
+        number = lambda c: rows.column(c).to_numpy()
+        arrays = lambda c: (rows.column(c).offsets.to_numpy().astype(np.int64), rows.column(c).values.to_numpy())
+        self.value, self.cid, self.root, self.side, self.chunk, self.size = map(number, ("value", "cid", "root", "side", "chunk", "n_shingles"))
+        (self.ends, values), (self.list_ends, self.lists) = arrays("sketch"), arrays("lists")
+        _, self.ranks = np.unique(values[self.ends[0] : self.ends[-1]].view(np.uint64), return_inverse=True)  # ranks keep the order of values
+        self.ends = self.ends - self.ends[0]
+        self.percent, self.k = percent, k
+
+    def here(self, i: int, j: int) -> bool:
+        """Whether this list is the first in which i and j may meet: a pair leaves once. Two of a size band share lists for other bands too, which don't count."""
+        of = lambda x: self.lists[self.list_ends[x] : self.list_ends[x + 1]]
+        shared = np.intersect1d(of(i), of(j), assume_unique=True)
+        return shared[(shared & 1) == (self.side[i] != 0)][0] == self.value[i]
+
+    def enough(self, i: int, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Which overlaps of sketches are at least needed()."""
+        n = self.size[i] + self.size[others]
+        most = np.maximum(self.size[i], self.size[others])
+        least = -(-self.percent * n // (100 + self.percent))
+        part = least / most
+        spread = np.sqrt(self.k * part * (1 - part) * np.maximum(0, 1 - self.k / most))
+        beyond = np.maximum(np.maximum(1, least - (most - self.k)), np.floor(self.k * part - SIGMAS * spread))
+        return common >= np.where(most <= self.k, least, beyond)
+
+    def near(self, i: int, j: int) -> bool:
+        """By the sketch of the union, where sketches aren't whole sets."""
+        if max(self.size[i], self.size[j]) <= self.k:
+            return True
+        a, b = (self.ranks[self.ends[x] : self.ends[x + 1]] for x in (i, j))
+        union = np.sort(np.concatenate([a, b]), kind="stable")
+        twice = np.flatnonzero(union[1:] == union[:-1])  # values of both
+        distinct = len(union) - len(twice)
+        size = min(self.k, distinct)
+        # of the values of both, those among the union's least `size`: the t-th of them has place twice[t] - t
+        return np.count_nonzero(twice - np.arange(len(twice)) < size) >= size * (self.percent / 100 - MARGIN)
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        root, size = self.root.copy(), self.size
+        _, of, members = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((self.cid, root, members[of]))  # the largest component last: its members are only partners
+        own = np.zeros(self.ranks.max(initial=0) + 1, bool)
+        for at, i in enumerate(order.tolist()):
+            others = order[at + 1 :]
+            others = others[(root[others] != root[i]) & ((self.side[others] != self.side[i]) | (self.side[i] == 0))]
+            if self.chunk[i]:
+                others = others[self.chunk[others] != self.chunk[i]]
+            others = others[(100 * size[others] >= self.percent * size[i]) & (100 * size[i] >= self.percent * size[others])]
+            if not len(others):
+                continue
+            mine = self.ranks[self.ends[i] : self.ends[i + 1]]
+            own[mine] = True
+            sums = np.concatenate([[0], np.cumsum(own[self.ranks])])
+            own[mine] = False
+            common = sums[self.ends[1:]] - sums[self.ends[:-1]]
+            for j in others[self.enough(i, others, common[others])].tolist():
+                if root[i] != root[j] and self.near(i, j) and self.here(i, j):
+                    yield (int(self.cid[i]), int(self.cid[j])) if self.cid[i] < self.cid[j] else (int(self.cid[j]), int(self.cid[i]))
+                    if max(size[i], size[j]) <= self.k:  # whole sets: they do link
+                        root[root == root[j]] = root[i]
+
+
+def _compared(percent: int, k: int):
+    """Batches of the columns that _Part reads, sorted by part, to pairs (a, b) that may link."""
+
+    def done(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        part = rows.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        found = [p for a, b in zip(cuts, cuts[1:]) for p in _Part(rows.slice(a, b - a), percent, k).pairs()]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part").to_numpy()
+            if kept and kept[-1].column("part")[-1].as_py() != part[0].item():
+                yield done(kept)
+                kept = []
+            before = np.flatnonzero(part != part[-1])
+            cut = int(before[-1]) + 1 if len(before) else 0  # rows from here on may go on in the next batch
+            if cut:
+                yield done([*kept, batch.slice(0, cut)])
+                kept = []
+            kept.append(batch.slice(cut))
+        if kept:
+            yield done(kept)
+
+    return parts
+
+
+class _Search:
+    """Links found so far, as roots: (id, root) of classes that link with others."""
+
+    def __init__(self, sketches: DataFrame, sets: DataFrame, percent: int, k: int):
+        self.sketches, self.sets, self.percent, self.k = sketches, sets, percent, k
+        self.roots: DataFrame | None = None
+
+    def unsettled(self, lists: DataFrame) -> DataFrame:
+        """Of (value, cid, side, central): the lists with members in different components, with root and the list's size m."""
+        now = lists.select("value", "cid", "side", "central")
+        if self.roots is None:
+            now = now.withColumn("root", F.col("cid"))
+        else:
+            now = now.join(self.roots, now["cid"] == self.roots["id"], "left").withColumn("root", F.coalesce("root", "cid")).drop("id")
+        sizes = now.groupBy("value").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+        return now.join(sizes.where("r0 < r1 and (s1 = 0 or s0 <> s1)").select("value", "m"), "value")
+
+    def rounds(self, lists: DataFrame) -> DataFrame | None:
+        """Rounds of stars; the lists that are still unsettled, None if there are none. lists is discarded."""
+        for step in range(ROUNDS + 1):
+            now = staged(self.unsettled(lists), "unsettled")
+            discard(lists)
+            if now.isEmpty():
+                discard(now)
+                return None
+            if step == ROUNDS:
+                return now
+            self.star(now, step)
+            lists = now
+
+    def star(self, now: DataFrame, step: int) -> None:
+        """Compare each class with a few pivots of other components: the most central ones at step 0, else those of its shortest lists."""
+        place = F.struct((-F.col("central")).alias("o"), "cid") if step == 0 else F.struct(F.xxhash64("cid", F.lit(step)).cast("double").alias("o"), "cid")
+        pivots = now.groupBy("value").agg(F.min(F.struct(place.alias("place"), F.struct("root", "side").alias("of"))).alias("p"))
+        pivots = pivots.select("value", F.col("p.place.o").alias("o"), F.col("p.place.cid").alias("pivot"), F.col("p.of.root").alias("pivot_root"), F.col("p.of.side").alias("pivot_side"))
+        met = now.join(pivots, "value").where("root <> pivot_root and (side = 0 or side <> pivot_side)")
+        met = met.groupBy("cid", "pivot").agg(F.min("o").alias("o"), F.min("m").alias("m"))
+        best = F.struct("o", "pivot") if step == 0 else F.struct("m", "o", "pivot")
+        met = met.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(best)), 1, PIVOTS).alias("best")).select("cid", F.explode("best.pivot").alias("pivot"))
+        self.link(met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct())
+
+    def rest(self, now: DataFrame) -> None:
+        """Compare all members of each list across components."""
+        chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK)).cast("int")
+        now = now.withColumn("value", F.when(F.col("side") == 0, F.col("value").bitwiseAND(F.lit(-2))).otherwise(F.col("value").bitwiseOR(F.lit(1))))  # odd: for two bands
+        lists = now.groupBy("cid").agg(F.array_sort(F.collect_set("value")).alias("lists"))  # K times the size bands at most
+        rows = now.join(self.sketches.join(lists, "cid"), "cid").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.select(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "value", "cid", "root", "side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("chunk"), "n_shingles", "sketch", "lists")
+        rows = rows.repartition("part").sortWithinPartitions("part", "cid")
+        self.link(rows.mapInArrow(_compared(self.percent, self.k), "a long, b long"))
+
+    def link(self, pairs: DataFrame) -> None:
+        """Test pairs (a, b) and join the components of those that link."""
+        pairs = staged(pairs, "pairs")
+        links = staged(_verified(pairs, self.sketches, self.sets, self.percent, self.k), "links")
+        discard(pairs)
+        if not links.isEmpty():
+            old = self.roots
+            if old is None:
+                self.roots = components(links)
+            else:
+                of = lambda x: old.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+                between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+                new = components(between)
+                merged = new.select(F.col("id").alias("old"), F.col("root").alias("new"))
+                moved = old.join(merged, old["root"] == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root"))
+                added = merged.join(old, merged["old"] == old["id"], "left_anti").select(F.col("old").alias("id"), F.col("new").alias("root"))
+                self.roots = staged(moved.unionByName(added), "roots")
+                discard(old)
+                discard(new)
+        discard(links)
+
+
 def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, rid: str | None = None) -> DataFrame:
-    """rid, doc_id, n_shingles and component (the least rid that links reach; null for an empty set) of every row.
+    """rid, doc_id, n_shingles and component (the least rid that links reach; null for an empty set) of every row, as a staged table.
 
     rid names a column of unique longs; without it rows are numbered.
     """
     number = F.col(rid) if rid else F.monotonically_increasing_id()
     rows = docs.select(number.cast("long").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passing: list[DataFrame] = []  # staged tables that the result doesn't need
-
-    def staged_here(df: DataFrame, tag: str) -> DataFrame:
-        passing.append(staged(df, tag))
-        return passing[-1]
-
-    s = staged(map_rows(rows, _sketch, SKETCHES, words, k, False), "sketches")
-    classes = staged(s.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("cid")), "classes")
-    reps = staged(s.join(classes.select("cid"), s["rid"] == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "doc_id", "n_shingles", "sig", "sketch"), "classes")
-    everything, s = s, staged(s.drop("sketch"), "rows")
+    everything = staged(map_rows(rows, _sketch, SKETCHES, words, k, False), "sketches")
+    classes = staged(everything.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("cid")), "classes")
+    s = staged(everything.drop("sketch"), "rows")
+    reps = staged(everything.join(classes.select("cid"), everything["rid"] == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "doc_id", "n_shingles", "sig", "sketch"), "representatives")
     discard(everything)
-    lists = staged_here(listed(reps, percent, k), "lists")
-    lists = staged_here(lists.join(lists.groupBy("value").agg(F.count("*").alias("m"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("m > 1 and (hi = 0 or lo <> hi)").select("value"), "value", "left_semi"), "lists")
+    drawn = staged(listed(reps, percent, k), "lists")
+    meeting = drawn.groupBy("value").agg(F.count("*").alias("m"), F.min("side").alias("s0"), F.max("side").alias("s1")).where("m > 1 and (s1 = 0 or s0 <> s1)").select("value")
+    lists = staged(drawn.join(meeting, "value", "left_semi"), "lists")
+    discard(drawn)
 
-    involved = lists.select("cid").distinct()
-    sketches = staged_here(reps.join(involved, "cid", "left_semi"), "involved")
+    involved = staged(reps.join(lists.select("cid").distinct(), "cid", "left_semi"), "involved")
     discard(reps)
-    wanted = sketches.select(F.col("doc_id").alias("wanted")).distinct()
+    wanted = involved.select(F.col("doc_id").alias("wanted")).distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     hashed = map_rows(texts, _sketch, "sig binary, set array<long>", words, k, True)
-    sets = staged_here(hashed.join(sketches.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set")), "sets")
-    sketches = sketches.select("cid", "sketch")
-
-    roots = None
-    tried = None
-    for step in range(PIVOT_ROUNDS + 2):
-        if roots is None:
-            now = lists.withColumn("root", F.col("cid"))
-        else:
-            now = lists.join(roots, lists["cid"] == roots["id"], "left").select("value", "cid", "side", "central", F.coalesce("root", "cid").alias("root"))
-            now = now.join(now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value"), "value", "left_semi")
-        if step <= PIVOT_ROUNDS:
-            turn = F.struct((-F.col("central")).alias("o")) if step == 0 else F.struct(F.xxhash64("cid", "value", F.lit(step)).alias("o"))
-            pivots = now.groupBy("value").agg(F.min(F.struct(turn.alias("turn"), F.col("cid").alias("pivot"), F.col("root").alias("pivot_root"), F.col("side").alias("pivot_side"))).alias("p")).select("value", "p.pivot", "p.pivot_root", "p.pivot_side")
-            met = now.join(pivots, "value").where("root <> pivot_root and (side = 0 or side <> pivot_side)").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
-        else:
-            now = staged_here(now, "unsettled")
-            other = now.select("value", F.col("cid").alias("other"), F.col("side").alias("other_side"), F.col("root").alias("other_root"))
-            met = now.join(other, "value").where("cid < other and root <> other_root and (side = 0 or side <> other_side)").select(F.col("cid").alias("a"), F.col("other").alias("b"))
-        pairs = met.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged_here(pairs, "pairs")
-        if pairs.isEmpty():
-            if step == PIVOT_ROUNDS + 1 or step == 0:
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = staged_here(_verified(pairs, sketches, sets, percent, k), "links")
-        if links.isEmpty():
-            continue
-        if roots is None:
-            roots = staged(components(links), "roots")
-            continue
-        # links between roots merge what is known
-        of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
-        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        merged = staged_here(components(between), "roots").select(F.col("id").alias("old"), F.col("root").alias("new"))
-        moved = roots.join(merged, roots["root"] == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root"))
-        added = merged.join(roots, merged["old"] == roots["id"], "left_anti").select(F.col("old").alias("id"), F.col("new").alias("root"))
-        roots = staged(moved.unionByName(added), "roots")
-    for table in passing:
-        discard(table)
-    by_sig = classes if roots is None else classes.join(roots, classes["cid"] == roots["id"], "left").select("sig", F.coalesce("root", "cid").alias("cid"))
-    return s.select("rid", "doc_id", "n_shingles", "sig").join(by_sig, "sig", "left").select("rid", "doc_id", "n_shingles", F.col("cid").alias("component"))
+    sets = staged(hashed.join(involved.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+
+    search = _Search(involved.select("cid", "n_shingles", "sketch"), sets, percent, k)
+    lists = search.rounds(lists)
+    if lists is not None:
+        search.rest(lists)
+        discard(lists)
+    discard(involved)
+    discard(sets)
+    by_sig = classes if search.roots is None else classes.join(search.roots, classes["cid"] == search.roots["id"], "left").select("sig", F.coalesce("root", "cid").alias("cid"))
+    found = staged(s.join(by_sig, "sig", "left").select("rid", "doc_id", "n_shingles", F.col("cid").alias("component")), "components")
+    for table in (s, classes, search.roots):
+        if table is not None:
+            discard(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -211,7 +350,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     with nothing. Repeated rows link with each other (unless empty); as kept compares ids, rows that repeat a kept id are
     all kept. A null doc_id counts as larger than any: alone it has a null component_id and is kept.
     """
-    rows = staged(classes_of(docs, words, percent, k), "components")
+    rows = classes_of(docs, words, percent, k)
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"))
     out = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("low")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
