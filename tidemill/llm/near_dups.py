@@ -95,17 +95,38 @@ def partner_bands(n: int, percent: int, k: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
+def _mixed(values: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Numbers of the lists of values for a pair of size bands."""
+    x = values.view(np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(f"{low}:{high}"))
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
 def _listed(percent: int, k: int):
-    def rows(classes: Iterable[tuple]) -> Iterator[tuple]:
-        for cid, n, common in classes:
-            size, mine = min(n, k), band(n)
-            lone = size - len(common)
-            central = sum(c["df"] for c in common) / size
-            for other, most in partner_bands(n, percent, k):
-                side = 0 if other == mine else 1 if mine < other else 2
-                pair = f"{min(mine, other)}:{max(mine, other)}:"
-                for c in common[: max(0, most - lone)]:
-                    yield cid, xxhash.xxh3_64_intdigest(f"{pair}{c['value']}") - (1 << 63), side, central
+    """Batches of (cid, n_shingles, df, value), a class's shared values in order of their frequency, to the lists it is in."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, sizes = batch.column("cid").to_numpy(), batch.column("n_shingles").to_numpy()
+            ends = batch.column("value").offsets.to_numpy().tolist()
+            values, dfs = batch.column("value").values.to_numpy(), batch.column("df").values.to_numpy()
+            keys: list[np.ndarray] = []
+            of: list[tuple[int, int, int]] = []  # row, side, entries
+            for i, n in enumerate(sizes.tolist()):
+                mine, lone = band(n), min(n, k) - (ends[i + 1] - ends[i])
+                for other, most in partner_bands(n, percent, k):
+                    if most > lone:
+                        keys.append(_mixed(values[ends[i] : min(ends[i] + most - lone, ends[i + 1])], min(mine, other), max(mine, other)))
+                        of.append((i, 0 if other == mine else 1 if mine < other else 2, len(keys[-1])))
+            if not of:
+                continue
+            row, side, entries = np.array(of, np.int64).T
+            central = np.array([dfs[a:b].sum() for a, b in zip(ends, ends[1:])]) / np.minimum(sizes, k)
+            for lo in range(0, len(of), 4096):
+                some = slice(lo, lo + 4096)
+                at = np.repeat(row[some], entries[some])
+                out = (cids[at], np.concatenate(keys[some]), np.repeat(side[some], entries[some]).astype(np.int32), central[at])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["cid", "value", "side", "central"])
 
     return rows
 
@@ -114,10 +135,9 @@ def listed(reps: DataFrame, percent: int, k: int) -> DataFrame:
     """(cid, value, side, central): the lists (a value and a pair of size bands) that each class is in, and how common its values are."""
     values = reps.select("cid", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    rows = values.join(shared, "value")
-    by_class = rows.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))  # K values at most
-    joined = by_class.join(reps.select("cid", "n_shingles"), "cid")
-    return map_rows(joined.select("cid", "n_shingles", "common"), _listed, "cid long, value long, side int, central double", percent, k)
+    by_class = values.join(shared, "value").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))  # K values at most
+    joined = by_class.join(reps.select("cid", "n_shingles"), "cid").select("cid", "n_shingles", F.col("common.df").alias("df"), F.col("common.value").alias("value"))
+    return joined.mapInArrow(_listed(percent, k), "cid long, value long, side int, central double")
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -135,12 +155,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
 
 
 class _Part:
-    """Members of a list, or of two chunks of one: pairs across components that may link."""
+    """Members of a list, or of two chunks of one: pairs across components that may link, as (part, a, b)."""
 
     def __init__(self, rows: pa.RecordBatch, percent: int, k: int):
         number = lambda c: rows.column(c).to_numpy()
         arrays = lambda c: (rows.column(c).offsets.to_numpy().astype(np.int64), rows.column(c).values.to_numpy())
-        self.value, self.cid, self.root, self.side, self.chunk, self.size = map(number, ("value", "cid", "root", "side", "chunk", "n_shingles"))
+        self.part, self.value, self.cid, self.root, self.side, self.chunk, self.size = map(number, ("part", "value", "cid", "root", "side", "chunk", "n_shingles"))
         (self.ends, values), (self.list_ends, self.lists) = arrays("sketch"), arrays("lists")
         _, self.ranks = np.unique(values[self.ends[0] : self.ends[-1]].view(np.uint64), return_inverse=True)  # ranks keep the order of values
         self.ends = self.ends - self.ends[0]
@@ -174,7 +194,7 @@ class _Part:
         # of the values of both, those among the union's least `size`: the t-th of them has place twice[t] - t
         return np.count_nonzero(twice - np.arange(len(twice)) < size) >= size * (self.percent / 100 - MARGIN)
 
-    def pairs(self) -> Iterator[tuple[int, int]]:
+    def pairs(self) -> Iterator[tuple[int, int, int]]:
         root, size = self.root.copy(), self.size
         _, of, members = np.unique(root, return_inverse=True, return_counts=True)
         order = np.lexsort((self.cid, root, members[of]))  # the largest component last: its members are only partners
@@ -194,20 +214,40 @@ class _Part:
             common = sums[self.ends[1:]] - sums[self.ends[:-1]]
             for j in others[self.enough(i, others, common[others])].tolist():
                 if root[i] != root[j] and self.near(i, j) and self.here(i, j):
-                    yield (int(self.cid[i]), int(self.cid[j])) if self.cid[i] < self.cid[j] else (int(self.cid[j]), int(self.cid[i]))
+                    yield int(self.part[i]), int(self.cid[i]), int(self.cid[j])
                     if max(size[i], size[j]) <= self.k:  # whole sets: they do link
                         root[root == root[j]] = root[i]
 
 
-def _compared(percent: int, k: int):
-    """Batches of the columns that _Part reads, sorted by part, to pairs (a, b) that may link."""
+class _Sets:
+    """Members of a part with their whole sets: the pairs (part, cid, partner) of it that link."""
+
+    def __init__(self, rows: pa.RecordBatch, percent: int, k: int):
+        self.part, self.cid = rows.column("part")[0].as_py(), rows.column("cid").to_numpy()
+        sets, self.partners = rows.column("set"), rows.column("partners").to_pylist()
+        self.ends, self.values, self.percent = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64), percent
+
+    def pairs(self) -> Iterator[tuple[int, int, int]]:
+        place = {c: i for i, c in enumerate(self.cid.tolist())}
+        of = lambda i: self.values[self.ends[i] : self.ends[i + 1]]
+        for i, others in enumerate(self.partners):
+            for other in others or ():
+                a, b = of(i), of(place[other])
+                both = np.sort(np.concatenate([a, b]), kind="stable")
+                common = np.count_nonzero(both[1:] == both[:-1])
+                if 100 * common >= self.percent * (len(both) - common):
+                    yield self.part, int(self.cid[i]), other
+
+
+def _by_part(of: type[_Part] | type[_Sets], percent: int, k: int):
+    """Batches sorted by part to the pairs that `of` makes of each part."""
 
     def done(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
         part = rows.column("part").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        found = [p for a, b in zip(cuts, cuts[1:]) for p in _Part(rows.slice(a, b - a), percent, k).pairs()]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        found = [p for a, b in zip(cuts, cuts[1:]) for p in of(rows.slice(a, b - a), percent, k).pairs()]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(3)], ["part", "a", "b"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -273,20 +313,34 @@ class _Search:
 
     def rest(self, now: DataFrame) -> None:
         """Compare all members of each list across components."""
-        chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK)).cast("int")
         now = now.withColumn("value", F.when(F.col("side") == 0, F.col("value").bitwiseAND(F.lit(-2))).otherwise(F.col("value").bitwiseOR(F.lit(1))))  # odd: for two bands
         lists = now.groupBy("cid").agg(F.array_sort(F.collect_set("value")).alias("lists"))  # K times the size bands at most
-        rows = now.join(self.sketches.join(lists, "cid"), "cid").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+        rows = now.drop("m").join(self.sketches.join(lists, "cid"), "cid")
+        sizes = now.join(self.sketches.select("cid", "n_shingles"), "cid").groupBy("value").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("all"))
+        chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("all") / (CHUNK * 1024))).cast("int")
+        rows = rows.join(sizes.select("value", chunks.alias("chunks")), "value").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.select(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "value", "cid", "root", "side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("chunk"), "n_shingles", "sketch", "lists")
-        rows = rows.repartition("part").sortWithinPartitions("part", "cid")
-        self.link(rows.mapInArrow(_compared(self.percent, self.k), "a long, b long"))
+        chunk = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        rows = rows.select(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "value", "cid", "root", "side", chunk.alias("chunk"), "n_shingles", "sketch", "lists")
+        sorted_parts = lambda df: df.repartition("part").sortWithinPartitions("part", "cid")
+        pairs = staged(sorted_parts(rows).mapInArrow(_by_part(_Part, self.percent, self.k), "part long, a long, b long"), "pairs")
+        # each set goes once to a part, however many of the part's pairs it is in
+        ends = pairs.groupBy("part", F.col("a").alias("cid")).agg(F.collect_list("b").alias("partners"))  # a part's members at most
+        others = pairs.select("part", F.col("b").alias("cid")).distinct()
+        members = ends.join(others, ["part", "cid"], "full_outer").join(self.sets, "cid").select("part", "cid", "set", "partners")
+        links = staged(sorted_parts(members).mapInArrow(_by_part(_Sets, self.percent, self.k), "part long, a long, b long").select("a", "b"), "links")
+        discard(pairs)
+        self.merge(links)
 
     def link(self, pairs: DataFrame) -> None:
         """Test pairs (a, b) and join the components of those that link."""
         pairs = staged(pairs, "pairs")
         links = staged(_verified(pairs, self.sketches, self.sets, self.percent, self.k), "links")
         discard(pairs)
+        self.merge(links)
+
+    def merge(self, links: DataFrame) -> None:
+        """Join the components of staged links (a, b), and remove their table."""
         if not links.isEmpty():
             old = self.roots
             if old is None:
