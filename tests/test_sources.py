@@ -64,6 +64,14 @@ def test_ledger_and_sums(spark, tmp_path):
     ledger.append_ledger(rows.where("_corrupt_record is null").select("edit_id", "action", "outcome"), str(tmp_path / "out"))
     ledger.append_ledger(rows.limit(1).select("edit_id", "action", "outcome"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 4
+    more = spark.createDataFrame([("e9", "apply", "ok")], "edit_id string, action string, outcome string")
+    ledger.append_ledger(more, str(tmp_path / "out"))
+    again = ledger.read_ledger(spark, str(tmp_path / "out"))
+    assert again.count() == 5 and ledger.last_entry(again).first().edit_id == "e9" and ledger.last_entry(again, "revert").first().edit_id == "e1"
+    (tmp_path / "seq.jsonl").write_text('{"edit_id": "late", "seq": 7}\n{"edit_id": "early", "seq": 3}\n{"edit_id": "none"}\n')
+    assert ledger.last_entry(ledger.read_ledger(spark, str(tmp_path / "seq.jsonl"))).first().edit_id == "late"
+    (tmp_path / "manifest.jsonl").write_text('{"edit_id": "e1", "files": [{"path": "a", "sha256": "x"}, {"path": "b", "sha256": "y"}]}\n')
+    assert {tuple(r) for r in ledger.read_manifest(spark, str(tmp_path / "manifest.jsonl")).collect()} == {("e1", "a", "x"), ("e1", "b", "y")}
     (tmp_path / "d").mkdir()
     for n in "abc":
         (tmp_path / "d" / n).write_text(n)
@@ -73,7 +81,37 @@ def test_ledger_and_sums(spark, tmp_path):
     states = compare.verified(found, ledger.read_sums(spark, str(tmp_path / "SUMS")))
     assert {r.path: r.state for r in states.collect()} == {"a": "ok", "b": "changed", "c": "extra", "q": "missing"}
     lines = spark.createDataFrame([("v", 0, "checking"), ("v", 1, '{"status": "WARN", "files": 3, "errors": 0, "warns": 1}'), ("v", 2, "{bad")], "file string, pos int, line string")
-    assert [(r.status, r.files) for r in ledger.read_results(lines).collect()] == [("WARN", 3)]
+    assert [(r.status, r.files, r.agrees) for r in ledger.read_results(lines).collect()] == [("WARN", 3, None)]
+    said = ["VALIDATION_STATUS: PASS", 'VALIDATION_JSON: {"status": "PASS", "files": 2, "errors": 0, "warns": 0}', 'VALIDATION_JSON: {"status": "FAIL", "files": 2, "errors": 1, "warns": 0}']
+    lines = spark.createDataFrame([("v", i, x) for i, x in enumerate(said)], "file string, pos int, line string")
+    assert [(r.status, r.agrees) for r in ledger.read_results(lines).orderBy("pos").collect()] == [("PASS", True), ("FAIL", False)]
+
+
+def test_session_lists(spark):
+    table = ["| Date | Decision | Rationale |", "|---|---|---|", "| soon | undated 1 | |", "| 2029-03-01 | far | |", "| 2024-01-01 | old | |", "| later | undated 2 | |", "| 2029-03-01 | far too | |"]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(table)], "file string, pos int, line string")
+    causes = spark.createDataFrame([("f", "style", "WARN", f"w{i}") for i in range(4)] + [("f", "files", "FAIL", "gone"), ("f", "files", "FAIL", "lost")], flows.FINDING)
+    rows = flows.session_status(lines, lines.limit(0), causes).orderBy("list", "pos").collect()
+    assert [r.text for r in rows if r.list == "decisions"] == ["far too", "far", "old"]
+    assert [r.text for r in rows if r.list == "causes"] == ["gone", "lost", "w0", "w1", "w2"]
+    assert [r.text for r in rows if r.list in ("goals", "doing", "next")] == ["(none)"] * 3
+
+
+def test_schema_coherence_and_flags(spark):
+    texts = spark.createDataFrame([("a.md", "---\ntitle: A\n---\n- see [b](b.md) and [c](c.md) and [w](https://x.org)"), ("b.md", "# B\nprose"), ("old/z.md", "")], "file string, text string")
+    assert {(r.file, r.message) for r in flows.schema_findings(texts, ["title", "owners"]).collect()} == {("a.md", "owners"), ("b.md", "no front matter"), ("old/z.md", "no front matter")}
+    assert [(r.file, r.message) for r in flows.coherence_findings(texts).collect()] == [("a.md", "c.md")]
+    assert [r.t for r in texts.select(tx.tier(F.col("file")).alias("t")).collect()] == ["canonical", "canonical", "historical"]
+    body = texts.select(tx.bullets_first(F.regexp_replace("text", "(?s)^---.*---", "")).alias("b"))
+    assert [r.b for r in body.collect()] == [True, False, None]
+    assets = spark.createDataFrame([("a", "mature", []), ("b", "mature", ["x"]), ("c", "scaffold", []), ("d", "growth", None)], "path string, stage string, consumers array<string>")
+    assert [r.path for r in assets.where(tx.to_deprecate(F.col("stage"), F.col("consumers"))).collect()] == ["a", "d"]
+    assert [tx_ for tx_ in spark.createDataFrame([(3, True), (1, True), (3, None)], "n int, ai boolean").select(tx.to_yaml_report(F.col("n"), F.col("ai")).alias("y")).toPandas().y] == [True, False, False]
+    moves = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("p", "q"), ("q", "p")], "old_path string, new_path string")
+    refs = spark.createDataFrame([("a",), ("c",), ("z",)], "path string")
+    assert sorted(r.path for r in compare.rewritten(refs, compare.followed(moves)).collect()) == ["d", "d", "z"]
+    edges = spark.createDataFrame([("std", "lint"), ("std", "book")], "asset string, consumer string")
+    assert markdown.domain_view(edges, "asset", "std") == "index_std" and spark.table("index_std").count() == 2
 
 
 def test_snapshots_and_notes(spark, tmp_path):

@@ -30,13 +30,34 @@ def scope(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"(?:^|/)std-(global|project)-", 1), F.lit(""))
 
 
+def tier(path: Column) -> Column:
+    """historical for archived, old or legacy paths and names, else canonical."""
+    return F.when(path.rlike(r"(?i)(^|[/_.-])(archive[sd]?|old|legacy|historical|deprecated)([/_.-]|$)"), "historical").otherwise("canonical")
+
+
+def to_deprecate(stage: Column, consumers: Column) -> Column:
+    """Whether an asset is a candidate to deprecate: past its scaffold stage it has no consumer."""
+    return (F.coalesce(F.size(consumers), F.lit(0)) <= 0) & (stage != "scaffold")
+
+
+def to_yaml_report(n_sections: Column, ai_facing: Column) -> Column:
+    """Whether a report becomes YAML: several sections, and read by tools."""
+    return (n_sections > 1) & F.coalesce(ai_facing, F.lit(False))
+
+
+def bullets_first(text: Column) -> Column:
+    """Whether the first line that isn't empty or a heading is a bullet; null if there is none."""
+    body = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*#"))
+    return F.get(body, F.lit(0)).rlike(r"^\s*[-*]\s")
+
+
 def prefixed(name: Column, prefix: str) -> Column:
     return name.startswith(prefix)
 
 
 def redact(text: Column) -> Column:
     """Mail addresses, keys and long digit runs replaced by marks."""
-    text = F.regexp_replace(text, r"[\w.+-]+@[\w-]+(\.[\w-]+)+", "[mail]")
+    text = F.regexp_replace(text, r"(?<![\w.+-])[\w.+-]++@[\w-]+(\.[\w-]+)+", "[mail]")  # one try a run of such characters
     text = F.regexp_replace(text, r"(?i)\b(token|secret|password|api[_-]?key)\s*[:=]\s*\S+", "$1=[secret]")
     return F.regexp_replace(text, r"\b\d{12,19}\b", "[number]")
 

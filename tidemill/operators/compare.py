@@ -23,8 +23,21 @@ def difference(before: DataFrame, after: DataFrame, key: str, value: str | None
     return out.select(key, "change", *([F.col("_bv").alias("before"), F.col("_av").alias("after")] if value else []))
 
 
+def followed(moves: DataFrame) -> DataFrame:
+    """A move manifest (old_path, new_path) with chains of moves followed to their ends; a round doubles how far. Moves in a circle end somewhere in it."""
+    now, before = moves.select("old_path", "new_path"), None
+    while True:
+        ahead = now.select(F.col("old_path").alias("new_path"), F.col("new_path").alias("_next"))
+        step = now.join(ahead, "new_path", "left").where("_next is not null and _next <> new_path")
+        n = step.count()
+        if n == 0 or n == before:  # only circles are left
+            return now
+        now = now.join(ahead, "new_path", "left").select("old_path", F.coalesce("_next", "new_path").alias("new_path"))
+        before = n
+
+
 def rewritten(refs: DataFrame, moves: DataFrame, path: str = "path") -> DataFrame:
-    """References with paths as the move manifest (old_path, new_path) has them; a path without a move stays."""
+    """References with paths as the move manifest (old_path, new_path) has them; a path without a move stays. See followed() for chains."""
     return refs.join(moves, refs[path] == moves["old_path"], "left").withColumn(path, F.coalesce("new_path", F.col(path))).drop("old_path", "new_path")
 
 
@@ -53,12 +66,14 @@ def present(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
 def reachable(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str = "dst", most_hops: int | None = None) -> DataFrame:
     """(src, dst, hops): everything that each node reaches, with the least number of hops; cycles end. Only a given most_hops bounds the hops.
 
-    One join a hop over the newly found pairs; each round goes to the checkpoint folder.
+    One join a hop over the newly found pairs, which go to the checkpoint folder once.
     """
     now = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
     step = now
     found = now.withColumn("hops", F.lit(1))
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
@@ -69,5 +84,5 @@ def reachable(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str
         step = nxt.join(found.select("src", "dst"), ["src", "dst"], "left_anti").checkpoint()
         if step.isEmpty():
             break
-        found = found.unionByName(step.withColumn("hops", F.lit(hops))).checkpoint()
+        found = found.unionByName(step.withColumn("hops", F.lit(hops)))
     return found

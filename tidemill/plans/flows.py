@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.functions.text import leftover_level, style
 from tidemill.operators import compare, latest, rollup
 from tidemill.sources import markdown
 
 FINDING = "file string, check string, level string, message string"
+_SCALARS = ["title", "status", "version", "summary", "updated", "legacy_source"]
 #: Most entries shown of each list.
 CAPS = {"goals": 5, "doing": 5, "next": 5, "decisions": 3, "causes": 5}
 
@@ -30,6 +32,21 @@ def findings(texts: DataFrame, required: DataFrame, headings: DataFrame, limit:
     return files.unionByName(heads).unionByName(styles).unionByName(left)
 
 
+def schema_findings(texts: DataFrame, fields: list[str]) -> DataFrame:
+    """The schema family: front matter fields that a file with front matter lacks, and files without any."""
+    meta = markdown.front_matter(texts).withColumn("bare", F.coalesce(*(F.col(f).cast("string") for f in _SCALARS)).isNull())
+    lacking = F.filter(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
+    rows = meta.select("file", F.explode(F.when(F.col("bare"), F.array(F.lit("no front matter"))).otherwise(lacking)).alias("what"))
+    return _found(rows, "schema", F.lit("WARN"), F.col("what"))
+
+
+def coherence_findings(texts: DataFrame) -> DataFrame:
+    """The coherence family (as read here): relative links '[..](path)' to files that aren't among the texts."""
+    links = texts.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"\]\((?![a-z]+:|#)([^)#\s]+)"), 1)).alias("target")).distinct()
+    known = texts.select(F.col("file").alias("target"))
+    return _found(compare.missing(links, known, ["target"]), "coherence", F.lit("WARN"), F.col("target"))
+
+
 def validation(findings_: DataFrame, n_files: int) -> DataFrame:
     """The one-row result: status, files, errors, warns. No findings: PASS."""
     out = rollup.checks_rollup(findings_, [], F.col("level") == "FAIL", F.col("level") == "WARN")
@@ -40,13 +57,30 @@ def root_causes(findings_: DataFrame) -> DataFrame:
     return findings_.where(F.col("level").isin("WARN", "FAIL"))
 
 
-def session_status(lines: DataFrame, validator_lines: DataFrame) -> DataFrame:
-    """(list, rank, text): goals, doing, next, latest decisions, and the validator's last two lines, capped."""
-    items = markdown.checklist(lines).select("file", F.lower("section").alias("list"), "pos", "text").where("list in ('doing', 'next')")
-    goals = markdown.bullets(lines).where(F.lower("section").contains("goal")).select("file", F.lit("goals").alias("list"), "pos", "text")
-    made = markdown.decisions(lines).select("file", F.lit("decisions").alias("list"), (-F.datediff("date", F.lit("1970-01-01")) * 100_000 - F.col("pos")).alias("pos"), F.col("decision").alias("text"))
-    shown = latest.capped(items.unionByName(goals).unionByName(made), CAPS, "list", "pos")
-    ends = latest.last_lines(validator_lines, 2).select("file", F.lit("validator").alias("list"), "pos", F.col("line").alias("text"))
+def _first(rows: DataFrame, name: str, text: str, *order: Column) -> DataFrame:
+    """The first rows of a list by an order, numbered by pos; the window is over those few rows."""
+    top = rows.orderBy(*order).limit(CAPS[name])
+    return top.select("file", F.lit(name).alias("list"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"), F.col(text).alias("text"))
+
+
+def session_status(lines: DataFrame, validator_lines: DataFrame, findings_: DataFrame | None = None) -> DataFrame:
+    """(list, rank, text): goals, doing, next, latest decisions, root causes, and the validator's last two lines, capped.
+
+    Decisions go by date, undated ones last, of equal dates the lower in the file first. Root causes are those of findings_, FAIL
+    before WARN. A list without entries has one row, '(none)'.
+    """
+    items = markdown.checklist(lines).select("file", F.lower("section").alias("list"), F.col("pos").cast("long").alias("pos"), "text").where("list in ('doing', 'next')")
+    goals = markdown.bullets(lines).where(F.lower("section").contains("goal")).select("file", F.lit("goals").alias("list"), F.col("pos").cast("long").alias("pos"), "text")
+    made = _first(markdown.decisions(lines), "decisions", "decision", F.desc_nulls_last("date"), F.desc("pos"), F.asc("file"))
+    shown = latest.capped(items.unionByName(goals), CAPS, "list", "pos").unionByName(made)
+    names = ["goals", "doing", "next", "decisions"]
+    if findings_ is not None:
+        names.append("causes")
+        shown = shown.unionByName(_first(root_causes(findings_), "causes", "message", F.asc("level"), F.asc("file"), F.asc("check"), F.asc("message")))
+    spine = lines.sparkSession.createDataFrame([(x,) for x in names], "list string")
+    empty = spine.join(shown, "list", "left_anti").select(F.lit(None).cast("string").alias("file"), "list", F.lit(0).cast("long").alias("pos"), F.lit("(none)").alias("text"))
+    shown = shown.unionByName(empty)
+    ends = latest.last_lines(validator_lines, 2).select("file", F.lit("validator").alias("list"), F.col("pos").cast("long").alias("pos"), F.col("line").alias("text"))
     return shown.unionByName(ends)
 
 

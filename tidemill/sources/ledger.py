@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.functions.text import stamp_of
 
@@ -12,9 +13,16 @@ RESULT = "status string, files int, errors int, warns int"
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Entries in file order by pos; a broken line has its text in _corrupt_record and nulls elsewhere."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("pos", "line")).where("trim(line) <> ''")
-    return lines.select("pos", F.from_json("line", LEDGER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e")).select("pos", "e.*")
+    """Entries with their place, by which later ones are greater; a broken line has its text in _corrupt_record and nulls elsewhere.
+
+    The place is an entry's seq, then its file's modification time and name, the part of the file, and the line's number
+    within that part (a part is read from its start by one task). Entries without seq are so in the order of files and lines, before any with one.
+    """
+    at = ["_metadata.file_modification_time", "_metadata.file_name", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select("value", F.struct(*at, F.monotonically_increasing_id().alias("line")).alias("at")).where("trim(value) <> ''")
+    entry = F.from_json("value", LEDGER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.select("at", entry.alias("e")).select("at", "e.*")
+    return rows.select(F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "at.*").alias("place"), *rows.columns[1:])
 
 
 def append_ledger(entries: DataFrame, path: str) -> None:
@@ -27,7 +35,7 @@ def last_entry(ledger: DataFrame, action: str | None = None) -> DataFrame:
     rows = ledger.where(F.col("_corrupt_record").isNull())
     rows = rows.where(F.col("action") == action) if action else rows
     names = ["edit_id", "action", "outcome", "revert_method"]
-    return rows.agg(F.max_by(F.struct("pos", *names), "pos").alias("e")).where("e is not null").select("e.*")
+    return rows.agg(F.max_by(F.struct("place", *names), "place").alias("e")).where("e is not null").select("e.*")
 
 
 def read_sums(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +50,22 @@ def file_sums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(lines: DataFrame) -> DataFrame:
-    """Validation results (RESULT) among lines of validator output; other lines are passed over."""
-    return lines.where(F.col("line").rlike(r"^\s*\{")).select("file", "pos", F.from_json("line", RESULT).alias("r")).select("file", "pos", "r.*").where("status in ('PASS', 'WARN', 'FAIL')")
+    """Validation results (RESULT) among lines of validator output, 'VALIDATION_JSON: {...}' or a bare object; other lines are passed over.
+
+    agrees says whether the nearest status line ('VALIDATION_STATUS: PASS') before it names the same status; null without one.
+    """
+    body = F.regexp_extract("line", r"^\s*(?:VALIDATION_JSON:)?\s*(\{.*)$", 1)
+    said = F.nullif(F.regexp_extract("line", r"^\s*VALIDATION_STATUS:\s*(\w+)", 1), F.lit(""))
+    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumn("said", F.last(said, ignorenulls=True).over(before)).where(body != "")
+    out = rows.select("file", "pos", "said", F.from_json(body, RESULT).alias("r")).where("r.status in ('PASS', 'WARN', 'FAIL')")
+    return out.select("file", "pos", "r.*", (F.col("said") == F.col("r.status")).alias("agrees"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(edit_id, path, sha256) of backup manifests: JSON lines with edit_id and files of path and sha256."""
+    rows = spark.read.schema("edit_id string, files array<struct<path: string, sha256: string>>").json(path)
+    return rows.select("edit_id", F.explode("files").alias("f")).select("edit_id", "f.*")
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:

@@ -115,6 +115,15 @@ def yaml_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_texts(spark, path).select(F.explode(F.udf(parse, f"array<struct<{schema}>>")("text")).alias("r")).select("r.*")
 
 
+def domain_view(index: DataFrame, column: str, domain: str) -> str:
+    """Makes a temporary view of one domain's rows of an index, named index_<domain>; returns its name."""
+    import re
+
+    name = "index_" + re.sub(r"\W+", "_", domain).lower()
+    index.where(F.col(column) == domain).createOrReplaceTempView(name)
+    return name
+
+
 def to_yaml(rows: DataFrame) -> DataFrame:
     """One YAML document a row (file, value), made at the edge."""
 
