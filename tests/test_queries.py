@@ -1,11 +1,13 @@
 """Every described query against the same question in DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
-from tidemill.queries import ORACLES, QUERIES
+from tidemill.record_queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
