@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import discard, fresh, map_rows, staged
 from tidemill.llm.graph import components
 
-WORDS, PERCENT, K, ROUNDS, PIVOTS = 5, 80, 160, 3, 4
+WORDS, PERCENT, K, ROUNDS, PIVOTS = 5, 80, 160, 2, 4
 #: Members of a list that meet in one task at most (twice as many where two chunks meet).
 CHUNK = 2048
 #: Standard deviations that shared sketch values may lie under their mean, ratio of a size band's ends, and how far under the threshold an estimate may lie.
@@ -141,17 +141,22 @@ def listed(reps: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+    """The pairs (a, b) of classes that link, as a staged table."""
     side = lambda df, x: df.select(*(F.col(c).alias(x if c == "cid" else f"{c}_{x}") for c in df.columns))
-    sketches = sketches.select("cid", "sketch")
     near = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
     union = F.slice(F.array_sort(F.transform(F.array_union("sketch_a", "sketch_b"), lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))), 1, k)
     both = F.transform(F.array_intersect("sketch_a", "sketch_b"), lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
-    near = near.where(F.size(F.array_intersect(union, both)) >= F.size(union) * (percent / 100 - MARGIN)).select("a", "b")
-    full = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    estimate = F.size(F.array_intersect(union, both)) >= F.size(union) * (percent / 100 - MARGIN)
+    n, total = F.size(F.array_intersect("sketch_a", "sketch_b")), F.col("n_shingles_a") + F.col("n_shingles_b")
+    whole = F.greatest("n_shingles_a", "n_shingles_b") <= k  # such sketches are the sets
+    near = staged(near.select("a", "b", whole.alias("whole"), F.when(whole, n * 100 >= (total - n) * percent).otherwise(estimate).alias("ok")).where("ok").select("a", "b", "whole"), "near")
+    full = near.where("not whole").join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     full = full.select("a", "b", common.alias("n"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-    return full.where(F.col("n") * 100 >= (F.col("sum") - F.col("n")) * percent).select("a", "b")
+    full = full.where(F.col("n") * 100 >= (F.col("sum") - F.col("n")) * percent).select("a", "b")
+    links = staged(near.where("whole").select("a", "b").unionByName(full), "links")
+    discard(near)
+    return links
 
 
 class _Part:
@@ -315,11 +320,10 @@ class _Search:
         """Compare all members of each list across components."""
         now = now.withColumn("value", F.when(F.col("side") == 0, F.col("value").bitwiseAND(F.lit(-2))).otherwise(F.col("value").bitwiseOR(F.lit(1))))  # odd: for two bands
         lists = now.groupBy("cid").agg(F.array_sort(F.collect_set("value")).alias("lists"))  # K times the size bands at most
-        rows = now.drop("m").join(self.sketches.join(lists, "cid"), "cid")
         sizes = now.join(self.sketches.select("cid", "n_shingles"), "cid").groupBy("value").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("all"))
         chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("all") / (CHUNK * 1024))).cast("int")
-        rows = rows.join(sizes.select("value", chunks.alias("chunks")), "value").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = now.drop("m").join(sizes.select("value", chunks.alias("chunks")), "value").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(self.sketches.join(lists, "cid"), "cid")
         chunk = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         rows = rows.select(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "value", "cid", "root", "side", chunk.alias("chunk"), "n_shingles", "sketch", "lists")
         sorted_parts = lambda df: df.repartition("part").sortWithinPartitions("part", "cid")
@@ -335,7 +339,7 @@ class _Search:
     def link(self, pairs: DataFrame) -> None:
         """Test pairs (a, b) and join the components of those that link."""
         pairs = staged(pairs, "pairs")
-        links = staged(_verified(pairs, self.sketches, self.sets, self.percent, self.k), "links")
+        links = _verified(pairs, self.sketches, self.sets, self.percent, self.k)
         discard(pairs)
         self.merge(links)
 
@@ -380,7 +384,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: i
     wanted = involved.select(F.col("doc_id").alias("wanted")).distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     hashed = map_rows(texts, _sketch, "sig binary, set array<long>", words, k, True)
-    sets = staged(hashed.join(involved.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+    sets = staged(hashed.join(involved.select("sig", "cid"), "sig").groupBy("sig").agg(F.first("cid").alias("cid"), F.first("set").alias("set")).select("cid", "set"), "sets")
 
     search = _Search(involved.select("cid", "n_shingles", "sketch"), sets, percent, k)
     lists = search.rounds(lists)
