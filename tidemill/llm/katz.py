@@ -13,7 +13,7 @@ ask). Counts up to ``CUTOFF`` are discounted by Good-Turing estimates from the c
 counts; counts under ``MIN_COUNTS`` are not kept (the usual cutoff for trigrams), which leaves
 their mass to the back-off. A second exchange, by context, adds up the discounted mass and
 the lower-order probability of the words seen after each context, once for each n-gram (by the
-first block that holds it), and gives the weight
+first block that holds it; the mass as whole numbers of n-grams by count), and gives the weight
 
     alpha(context) = (1 - sum of discounted shares) / (1 - sum of lower-order probabilities)
 
@@ -189,27 +189,27 @@ class Known:
         by_step: dict[int, list[dict]] = {}
         for a in answers:
             by_step.setdefault(a["step"], []).append(a)
-        for step, rows in by_step.items():
-            rows.sort(key=lambda r: r["bucket"])
-            n = (step + 1) // 2
-            if step % 2:
-                self.counts[n] = np.concatenate([unpack(r["a"], np.int64) for r in rows])
-                self.own[n] = np.concatenate([unpack(r["b"], np.uint8) for r in rows]).astype(bool)
-            else:
-                self.alpha[n] = np.concatenate([unpack(r["a"], np.float64) for r in rows])
-                self.scale[n] = np.concatenate([unpack(r["b"], np.float64) for r in rows])
-
-        for n in range(1, len(block.levels) + 1):  # a block of empty texts has no long n-grams
-            self.counts.setdefault(n, np.zeros(0, np.int64))
-            self.own.setdefault(n, np.zeros(0, bool))
-            self.alpha.setdefault(n, np.zeros(0))
-            self.scale.setdefault(n, np.zeros(0))
+        answered = lambda step, c, kind: np.concatenate([unpack(r[c], kind) for r in sorted(by_step.get(step, []), key=lambda r: r["bucket"])] or [np.zeros(0, kind)])  # noqa: E731  a block of empty texts has no long n-grams
+        for n in range(1, len(block.levels) + 1):
+            self.counts[n] = answered(2 * n - 1, "a", np.int64)
+            self.own[n] = answered(2 * n - 1, "b", np.uint8).astype(bool)
+        for n in range(1, len(block.levels)):
+            self.scale[n] = answered(2 * n, "b", np.float64)
+            self.alpha[n] = np.zeros(len(self.scale[n]))
+            if len(self.scale[n]):
+                self.alpha[n][self.wanted(n + 1)] = answered(2 * n, "a", np.float64)
 
     def context_of(self, n: int) -> np.ndarray:
         """For each distinct n-gram, its context among the distinct (n - 1)-grams."""
         level = self.block.levels[n - 1]
         return self.block.levels[n - 2].at[level.first - 1]
 
+    def wanted(self, n: int) -> np.ndarray:
+        """Which contexts have an n-gram here that isn't kept: only their alphas are sent."""
+        out = np.zeros(len(self.block.levels[n - 2].keys), bool)
+        out[self.context_of(n)[self.counts[n] == 0]] = True
+        return out
+
     def shares(self, n: int) -> np.ndarray:
         """Discounted share of each n-gram after its context; 0 where it isn't kept."""
         c = self.counts[n]
@@ -334,23 +334,31 @@ def _ask_weights(n: int, buckets: int, stats: list[Stats]):
             own = known.own[n]
             context = known.context_of(n)[own]
             keys = block.levels[n - 2].keys
-            mass = np.bincount(context, known.shares(n)[own], len(keys))
+            counts = known.counts[n][own]
+            # the discounted mass as whole numbers: n-grams of each small count, and the sum of the large counts
+            sums = [np.bincount(context[counts == r], minlength=len(keys)) for r in range(1, CUTOFF + 1)]
+            large = counts > CUTOFF
+            sums.append(np.bincount(context[large], counts[large], len(keys)).astype(np.int64))
             low = np.bincount(context, lower[own], len(keys))
-            total = known.counts[n - 1].astype(np.int64)
+            asked = known.counts[n - 1].astype(np.int64) << 1 | known.wanted(n)
             for b, s in bucket_slices(keys, buckets):
-                out.append((b, row["block"], pack_keys(keys[s]), pack(mass[s]), pack(low[s]), pack(total[s])))
+                out.append((b, row["block"], pack_keys(keys[s]), pack(np.concatenate([x[s] for x in sums]).astype(np.int64)), pack(low[s]), pack(asked[s])))
         return _table(out, SENT)
 
     return rows
 
 
-def _weigh(step: int):
+def _weigh(step: int, stats: Stats):
     def reduce(sent: pa.Table) -> pa.Table:
         rows, distinct, inverse, slices = _merged(sent)
         put = lambda c, kind: np.concatenate([unpack(r[c], kind) for r in rows])
-        mass, low = np.bincount(inverse, put("a", np.float64), len(distinct)), np.bincount(inverse, put("b", np.float64), len(distinct))
+        low, asked = np.bincount(inverse, put("b", np.float64), len(distinct)), put("c", np.int64)
+        wanted = (asked & 1).astype(bool)
         total = np.zeros(len(distinct), np.int64)
-        total[inverse] = put("c", np.int64)
+        total[inverse] = asked >> 1
+        sums = np.concatenate([unpack(r["a"], np.int64).reshape(CUTOFF + 1, -1) for r in rows], axis=1)
+        sums = np.array([np.bincount(inverse, x, len(distinct)) for x in sums])
+        mass = (sums[:-1].T @ (np.arange(1, CUTOFF + 1) * stats.discounts[1 : CUTOFF + 1]) + sums[-1]) / np.maximum(total, 1)
         full = mass > 1 - 1e-9
         scale = np.where(full, total / (total + 1.0), 1.0)
         left = np.where(full, 1 / (total + 1.0), 1 - mass)
@@ -359,7 +367,7 @@ def _weigh(step: int):
         scale = np.where(all_seen, 1 / np.where(all_seen, mass, 1.0), scale)
         bucket, some = rows[0]["bucket"], mass > 0
         out = [(True, None, step, bucket, pack_keys(distinct[some]), pack(alpha[some]), pack(scale[some]))]
-        out += [(False, r["block"], step, bucket, None, pack(alpha[inverse[s]]), pack(scale[inverse[s]])) for r, s in zip(rows, slices)]
+        out += [(False, r["block"], step, bucket, None, pack(alpha[inverse[s][wanted[s]]]), pack(scale[inverse[s]])) for r, s in zip(rows, slices)]
         return _table(out, ANSWERS)
 
     return reduce
@@ -430,7 +438,7 @@ def katz(docs: DataFrame, held_out: Column, order: int = ORDER, min_counts: tupl
         stats.append(Stats(n, sums[: CUTOFF + 1], sums[-2], sums[-1], good_turing(sums[: CUTOFF + 1], least)))
         if n > 1:
             asked = blocks.groupBy("block").cogroup(answers()).applyInArrow(_ask_weights(n, buckets, list(stats)), SENT)
-            tables.append(staged(asked.groupBy("bucket").applyInArrow(_weigh(2 * n - 2), ANSWERS), f"katz-weights-{n}", "none"))
+            tables.append(staged(asked.groupBy("bucket").applyInArrow(_weigh(2 * n - 2, stats[-1]), ANSWERS), f"katz-weights-{n}", "none"))
     return Katz(tables, stats, blocks.groupBy("block").cogroup(answers()).applyInArrow(_score(order, list(stats)), SCORES))
 
 
