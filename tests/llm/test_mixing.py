@@ -3,13 +3,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemill.llm.mixing import cut_words, mixed_counts, mixed_documents, permuted, quota, shard_counts, targets
+from tidemill.llm.mixing import SEED, cut_words, mix, mixed_counts, mixed_documents, n_words, pass_key, permuted, quota, shard_counts, source_key, targets
 
 
 def test_permutations_and_quotas():
     for n in (1, 2, 3, 5, 17, 256, 1000):
         assert sorted(permuted(np.arange(n), n, n * 7 + 1).tolist()) == list(range(n))
+        assert permuted(permuted(np.arange(n), n, n + 5), n, n + 5, back=True).tolist() == list(range(n))
     assert permuted(np.arange(50), 50, 1).tolist() != permuted(np.arange(50), 50, 2).tolist()
     for size in (1, 5, 16, 17, 100, 1001):
         for target in (0, 0.5, 1, size * 0.7, size, size * 1.3, size * 2):
@@ -68,6 +70,40 @@ def test_mix_of_documents(spark, odd_docs, empty_docs):
     assert mixed_counts(empty_docs).count() == 0 and mixed_documents(empty_docs).count() == 0
 
 
+def _taken_by_hand(rows, block, seed):
+    """Words of each (place of row) by walking shards, slots, passes and blocks one by one over each source's line of words."""
+    by_source = defaultdict(list)
+    for i, (doc_id, size, source) in enumerate(rows):
+        by_source["1" if source is None else "0" + source].append((doc_id, i, size))
+    names = sorted(by_source)
+    line = {}
+    for s in names:
+        line[s] = [i for _, i, n in sorted(by_source[s]) for _ in range(n)]
+    goals = targets([len(line[s]) for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
+    taken = Counter()
+    for s, goal in zip(names, goals):
+        words, n, slot = 0, -(-len(line[s]) // block), 0
+        while n and words < int(goal):
+            epoch, place = divmod(slot, n)
+            b = int(permuted(np.array([place]), n, pass_key(seed, s, epoch))[0])
+            piece = line[s][b * block : (b + 1) * block][: int(goal) - words]
+            taken.update(piece)
+            words, slot = words + len(piece), slot + 1
+    return taken
+
+
+def test_taken_against_slots_by_hand(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(int(d), int(rnd.integers(0, 90)), [None, "a", "b", "c"][int(rnd.integers(0, 4))]) for d in rnd.permutation(120)]
+    docs = spark.createDataFrame([(d, " ".join(["w"] * n), s) for d, n, s in rows], "doc_id long, text string, source string")
+    for block in (16, 7):
+        sized = docs.select("doc_id", source_key().alias("source_key"), n_words().alias("size"), F.col("doc_id").alias("rid"))
+        m = mix(sized, block=block)
+        got = {r.rid: r.n for r in m.spans.groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()}
+        want = _taken_by_hand(rows, block, SEED)
+        assert got == {rows[i][0]: n for i, n in want.items()}
+
+
 def test_cut_words():
     t = " a  b\nc d "
     assert cut_words(t, [(0, 4)]) == t

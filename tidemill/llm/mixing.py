@@ -47,8 +47,8 @@ def targets(sizes: list[int], weights: list[float], total: float = TOTAL, most:
     return out
 
 
-def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
-    """The pseudorandom permutation of 0..n-1 that key names, at the given places."""
+def permuted(at: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """The pseudorandom permutation of 0..n-1 that key names, at the given places; back: its inverse, the places of given blocks."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     at = at.astype(np.uint64)
@@ -56,10 +56,12 @@ def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> np.uint64(half), x & mask
-        for k in keys:
-            mixed = (right + k) * np.uint64(0xFF51AFD7ED558CCD)
+        for k in reversed(keys) if back else keys:
+            known = left if back else right
+            mixed = (known + k) * np.uint64(0xFF51AFD7ED558CCD)
             mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53)
-            left, right = right, left ^ (mixed >> np.uint64(32)) & mask
+            bits = (mixed >> np.uint64(32)) & mask
+            left, right = (right ^ bits, left) if back else (right, left ^ bits)
         return left << np.uint64(half) | right
 
     at = once(at)
@@ -93,13 +95,10 @@ def quota(source: str, size: int, target: float, block: int, seed: int) -> Quota
     if not rest:
         return Quota(source, n, tail, passes * n, 0)
     slots, short, key = -(-rest // block), block - tail, pass_key(seed, source, passes)
-    place = -1  # of the short block, if it is among the slots
-    for first in range(0, slots, 1 << 20):
-        hit = np.flatnonzero(permuted(np.arange(first, min(first + (1 << 20), slots)), n, key) == n - 1)
-        place = first + int(hit[0]) if len(hit) else place
-    if place >= 0 and slots * block - short < rest:
+    place = int(permuted(np.array([n - 1]), n, key, back=True)[0])  # of the short block
+    if place < slots and slots * block - short < rest:
         slots += 1
-    before = (slots - 1) * block - (short if 0 <= place < slots - 1 else 0)
+    before = (slots - 1) * block - (short if place < slots - 1 else 0)
     return Quota(source, n, tail, passes * n + slots, rest - before)
 
 

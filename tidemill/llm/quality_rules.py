@@ -36,9 +36,9 @@ BOILERPLATE = (
     "newsletter", "privacy policy", "read more", "share this", "sign up", "skip to content", "subscribe now",
     "terms of service", "terms of use",
 )
-#: Regular expressions in the common subset of Python, Java and RE2.
-END_RE = r"[.!?\x{2026}][\"'\x{201D}\x{2019}\x{BB})\]]*$"
-INSIDE_RE = r"[.!?\x{2026}][\"'\x{201D}\x{2019}\x{BB})\]]*[ \t]"
+#: Marks that end a sentence, those of Chinese, Japanese, Hindi, Arabic and Urdu prose too. Regular expressions in the common subset of Python, Java and RE2.
+END_RE = r"[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{FF0E}\x{964}\x{965}\x{61F}\x{6D4}][\"'\x{201D}\x{2019}\x{BB})\]\x{300D}\x{300F}\x{FF09}]*$"
+INSIDE_RE = r"[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{FF0E}\x{964}\x{965}\x{61F}\x{6D4}][\"'\x{201D}\x{2019}\x{BB})\]\x{300D}\x{300F}\x{FF09}]*[ \t]"
 SEPARATOR_RE = r"[|>\x{BB}\x{203A}\x{2022}\x{B7}]"
 UPPER_RE, LOWER_RE = r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]", r"[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]"
 
