@@ -29,6 +29,54 @@ def test_faults_are_found():
     assert demux(b"")["packets"] == 0
 
 
+def _packet(pid, data, counter, begins=False, field=None):
+    """A packet made by hand: the header, an adaptation field (or stuffing) and data."""
+    head = bytes([0x47, (0x40 if begins else 0) | pid >> 8, pid & 255])
+    room = 184 - len(data)
+    if field is None and not room:
+        return head + bytes([0x10 | counter]) + data
+    body = (field or b"\0").ljust(room - 1, b"\xff") if room > 1 else b""
+    return head + bytes([0x30 | counter, room - 1]) + body + data
+
+
+def _section(table, extension, body, number=0, last=0):
+    head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255]) + extension.to_bytes(2, "big") + bytes([0xC1, number, last])
+    crc = crc32_mpeg(head + body)
+    return head + body + crc.to_bytes(4, "big")
+
+
+def _hand_made(n_streams):
+    """A stream whose programme map has many elementary streams, over two packets, with one unit in the last of them."""
+    pat = _packet(0, b"\0" + _section(0, 1, bytes([0, 1, 0xE1, 0x00])), 0, True)
+    body = bytes([0xE1, 0x40, 0xF0, 0x00]) + b"".join(bytes([6, 0xE0 | (0x140 + i) >> 8, (0x140 + i) & 255, 0xF0, 0]) for i in range(n_streams))
+    pmt = b"\0" + _section(2, 1, body)
+    maps = [_packet(0x100, pmt[i : i + 184], i // 184, i == 0) for i in range(0, len(pmt), 184)]
+    pts = 123_456_789
+    stamp = bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 255, pts >> 14 & 0xFE | 1, pts >> 7 & 255, pts << 1 & 0xFE | 1])
+    pes = b"\0\0\1\xbd" + (8 + 50).to_bytes(2, "big") + b"\x80\x80\x05" + stamp + b"z" * 50
+    return pat + b"".join(maps) + _packet(0x140 + n_streams - 1, pes, 0, True, b"\x40") + _packet(0x140, b"", 0, field=b"\0") * 2, maps
+
+
+def test_packets_made_by_hand():
+    for n in (1, 30, 40, 90):
+        ts, maps = _hand_made(n)
+        assert len(ts) % PACKET == 0 and (len(maps) > 1) == (n > 30)
+        got = demux(ts)
+        assert got["streams"] == [(0x140 + i, 6) for i in range(n)] and got["bad_tables"] == got["damaged"] == 0
+        assert got["units"] == [(0x140 + n - 1, 123_456_789, 0, 50, True)] and got["payload"][0x140 + n - 1] == b"z" * 50
+
+
+def test_sync_is_found_again():
+    data = random.Random(5).randbytes(20_000)
+    ts = mux(data)
+    whole = demux(ts)
+    for stray in (b"\0", b"G", b"\0" * 100):
+        got = demux(stray + ts)
+        assert got["units"] == whole["units"] and got["payload"] == whole["payload"] and got["damaged"] >= 1
+    inside = demux(ts[: PACKET * 40] + b"stray" + ts[PACKET * 40 :])
+    assert b"".join(inside["payload"].values()) == data and inside["damaged"] == 1 and inside["continuity_errors"] == 0
+
+
 def test_streams_of_documents(odd_docs, empty_docs):
     rows = describe_streams(store_streams(odd_docs)).collect()
     texts = sorted((r.doc_id is not None, r.doc_id, r.text or "") for r in odd_docs.collect())

@@ -108,27 +108,51 @@ def _stuffed(field: bytes, size: int) -> bytes:
     return (field or b"\0" * (size > 1)).ljust(size - 1, b"\xff")
 
 
-def _programmes(section: bytes, table: int) -> bytes | None:
-    """The body of a section, or None if it isn't the table or its CRC is wrong."""
-    if not section or len(section) < section[0] + 4:
+def _body(section: bytes, table: int) -> tuple[int, int, bytes] | None:
+    """A table's section as its number, the last number and its body; None if its CRC or size is wrong."""
+    size = (section[1] & 0x0F) << 8 | section[2]
+    if size < 9 or len(section) < size + 3 or crc32_mpeg(section[: size + 3]):
         return None
-    s = section[1 + section[0] :]
-    size = (s[1] & 0x0F) << 8 | s[2]
-    if s[0] != table or len(s) < size + 3 or size < 9 or crc32_mpeg(s[: size + 3]):
-        return None
-    return s[8 : size - 1]
+    return section[6], section[7], section[8 : size - 1]
+
+
+def _packets(stream: bytes) -> tuple[np.ndarray, int]:
+    """A stream's packets as rows, and how often the sync was lost.
+
+    Where a sync byte is missing, the next packet's place is tried; if that fails too, bytes are
+    passed over up to one from which three packets (or all that are left) begin with a sync byte.
+    """
+    n = len(stream)
+    grid = np.frombuffer(stream, np.uint8, n // PACKET * PACKET).reshape(-1, PACKET)
+    if (grid[:, 0] == 0x47).all():
+        return grid, int(n % PACKET > 0)
+    data = np.frombuffer(stream, np.uint8)
+    sync = data == 0x47
+    holds = lambda p: p + PACKET <= n and all(sync[q] for q in range(p, min(p + 3 * PACKET, n - PACKET + 1), PACKET))
+    starts, lost, at, locked = [], 0, 0, False
+    while at + PACKET <= n:
+        if sync[at] and (locked or holds(at)):
+            starts.append(at)
+            at, locked = at + PACKET, True
+            continue
+        lost += 1
+        if locked and holds(at + PACKET):
+            at += PACKET
+            continue
+        at = next((int(q) for q in np.flatnonzero(sync[at + 1 :]) + at + 1 if holds(int(q))), n)
+    return data[np.array(starts, np.int64)[:, None] + np.arange(PACKET)], lost + (at < n)
 
 
 def demux(stream: bytes) -> dict:
     """Parsed stream: streams (pid, type), payload by pid, units (pid, pts, offset, size, random access), counts of faults.
 
-    Bytes after the last whole packet, packets without the sync byte or with
-    the error indicator count as damaged and are passed over.
+    Bytes after the last whole packet, places where the sync is lost and packets with
+    the error indicator count as damaged and are passed over. Tables may span packets and have several sections.
     """
-    whole = len(stream) // PACKET
-    grid = np.frombuffer(stream, np.uint8, whole * PACKET).reshape(whole, PACKET)
-    good = (grid[:, 0] == 0x47) & (grid[:, 1] & 0x80 == 0)
-    damaged = int(whole - good.sum()) + (len(stream) % PACKET > 0)
+    grid, damaged = _packets(stream)
+    whole = len(grid)
+    good = grid[:, 1] & 0x80 == 0
+    damaged += int(whole - good.sum())
     grid = grid[good]
     pid = (grid[:, 1].astype(np.int64) & 0x1F) << 8 | grid[:, 2]
     begins = grid[:, 1] & 0x40 > 0
@@ -140,19 +164,49 @@ def demux(stream: bytes) -> dict:
     counter = grid[:, 3] & 15
     found: dict = {"streams": [], "payload": {}, "units": [], "packets": int(whole), "damaged": damaged, "continuity_errors": 0, "duplicates": 0, "bad_tables": 0}
 
-    def first(p: int, table: int) -> bytes:
-        for i in np.flatnonzero((pid == p) & begins):
-            if (body := _programmes(grid[i, start[i] :].tobytes(), table)) is not None:
-                return body
-            found["bad_tables"] += 1
-        return b""
+    def sections(p: int) -> Iterator[bytes]:
+        """Whole sections of a pid, put together over packets."""
+        open_, before = b"", None
+        for i in np.flatnonzero((pid == p) & has_data):
+            if before is not None and (grid[i] == grid[before]).all():
+                continue  # sent twice
+            before = i
+            data = grid[i, start[i] :].tobytes()
+            if begins[i]:
+                to = data[0] + 1 if data else 0
+                ended, rest = open_ + data[1:to] if open_ else b"", data[to:]
+                if len(ended) >= 3:
+                    yield ended
+                open_ = rest
+            elif open_:
+                open_ += data
+            while len(open_) >= 3 and open_[0] != 0xFF and len(open_) >= (size := ((open_[1] & 0x0F) << 8 | open_[2]) + 3):
+                yield open_[:size]
+                open_ = open_[size:]
+            if open_[:1] == b"\xff":
+                open_ = b""
+
+    def table(p: int, number: int) -> bytes:
+        """The bodies of a table's sections, one after the other; those after the last one whole are not waited for."""
+        bodies: dict[int, bytes] = {}
+        for section in sections(p):
+            if section[0] != number:
+                continue
+            body = _body(section, number)
+            if body is None:
+                found["bad_tables"] += 1
+                continue
+            bodies.setdefault(body[0], body[2])
+            if len(bodies) == body[1] + 1:
+                break
+        return b"".join(bodies[k] for k in sorted(bodies))
 
-    pat = first(0, 0)
+    pat = table(0, 0)
     for i in range(0, len(pat) - 3, 4):
         number, map_pid = struct.unpack_from(">HH", pat, i)
         if not number:
             continue
-        pmt = first(map_pid & 0x1FFF, 2)
+        pmt = table(map_pid & 0x1FFF, 2)
         at = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0xFFF) if len(pmt) >= 4 else len(pmt)
         while at + 5 <= len(pmt):
             kind, es, info = struct.unpack_from(">BHH", pmt, at)
