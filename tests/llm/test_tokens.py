@@ -1,11 +1,14 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 
-from tidemill.llm.packing import FirstFit, pack_documents
+from tidemill.llm.common import texts_of
+from tidemill.llm.packing import LENGTH, FirstFit, pack_documents, sequences
 from tidemill.llm.token_file import decode_block, encode_block, read_file, read_token_files, write_file, write_token_files
 from tidemill.llm.tokens import Encoder
 
@@ -86,3 +89,32 @@ def test_packing(odd_docs, empty_docs, group_size):
         times = sum(x == (d, ids) for x in docs)
         assert sorted(got[d, len(ids) // 4]) == sorted(want * times)
     assert pack_documents(empty_docs, public_tokenizers.path(FILES[1]), 1).count() == 0
+
+
+def test_sequences_hold_all_ids_with_little_padding(spark):
+    """Pieces put in their places give every document's ids again; padding goes to the length, but not from a power of two."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = public_tokenizers.path(FILES[1])
+    packed = pack_documents(docs, path, 1).cache()
+    made = {r.sequence_id: r for r in sequences(packed, 3).collect()}
+    pieces = packed.collect()
+    tokenizer = tokenizers.Tokenizer.from_file(str(path))
+    whole = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in docs.collect()}
+    filled = Counter()
+    for p in pieces:
+        ids = np.frombuffer(made[p.sequence_id].ids, "<u4")[p.offset : p.offset + p.length]
+        assert (ids == whole[p.doc_id][p.start : p.start + p.length]).all() and zlib.crc32(ids.tobytes()) == p.ids_crc32
+        filled[p.sequence_id] += p.length
+    assert sum(filled.values()) == sum(map(len, whole.values())) and set(filled) == set(made)
+    for s, n in filled.items():
+        ids = np.frombuffer(made[s].ids, "<u4")
+        assert n == made[s].filled <= LENGTH and len(ids) == (n if n & (n - 1) == 0 else LENGTH) and (ids[n:] == 3).all()
+    assert sum(LENGTH - n for n in filled.values()) < 2 * LENGTH
+    few = spark.createDataFrame([(1, ""), (2, "")], "doc_id long, text string")
+    assert [len(r.ids) for r in sequences(pack_documents(few, path, 1), 3).collect()] == [8]  # two tokens: a power of two
+    packed.unpersist()
+
+
+def test_names_that_differ_in_case(spark):
+    docs = spark.createDataFrame([(1, "one two", "other", 9)], "doc_id long, text string, Text string, DOC_ID long")
+    assert texts_of(docs).collect() == [(1, "one two")]

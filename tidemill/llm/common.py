@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset (tests)."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = f"{tempfile.mkdtemp(prefix='tidemill-')}"
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
@@ -43,10 +45,11 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 
     This cuts the lineage: the rows are the same however often they are read
     and whichever executors are lost later. Shuffle files of the write go at
-    its end where Spark can do that; the table goes when the driver exits.
+    its end where Spark can do that; the table goes when the driver exits, that of a failed write too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     before = spark.conf.get(_CLEAN, None)
     with contextlib.suppress(Exception):
         spark.conf.set(_CLEAN, "true")
@@ -55,7 +58,6 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     finally:
         with contextlib.suppress(Exception):
             spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -84,8 +86,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def exact(docs: DataFrame) -> DataFrame:
+    """docs with columns whose lower-case name another column has renamed, so that 'text' means that one alone."""
+    names = docs.columns
+    if len({c.lower() for c in names}) == len(names):
+        return docs
+    return docs.toDF(*(c if c == c.lower() else f"{c}__{i}" for i, c in enumerate(names)))
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and the named columns; whatever else documents carry is left behind."""
+    """doc_id, text and the named columns; whatever else documents carry is left behind. Of names that differ only in case the exact one counts."""
+    docs = exact(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 

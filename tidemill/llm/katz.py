@@ -413,7 +413,7 @@ def katz(docs: DataFrame, held_out: Column, order: int = ORDER, min_counts: tupl
     """Learn from the documents that aren't held out, and score all.
 
     A null or empty text is its end alone. Repeated rows are counted and scored each. A null held_out counts as false. An
-    empty table gives no rows. With nothing to learn from, all tokens are the unknown one, with probability 1.
+    empty table gives no rows. A text longer than a block makes one block, whatever its size. Other columns are left behind. With nothing to learn from, all tokens are the unknown one, with probability 1.
     The driver holds counts of counts only.
     """
     rows = texts_of(docs, F.coalesce(held_out, F.lit(False)).alias("held_out")).select("doc_id", "held_out", "text")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import map_rows, staged
+from tidemill.llm.common import exact, map_rows, staged
 
 HEADER_LINES, SHORT_WORDS, LEAST, FILE_SHARE = 12, 400, 0.6, 0.5
 #: Words whose document frequencies every task has; those of the others are joined.
@@ -399,11 +399,13 @@ def license_scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHA
     """One row per file (doc_id, path, text): its licence and where it comes from.
 
     A null text is empty and has no licence of its own; a null path has no
-    directory and inherits nothing. Repeated rows are files of their own. An empty table gives no rows.
+    directory and inherits nothing. Repeated rows are files of their own. An empty table gives no rows. A very long text is
+    scanned whole in one task. Other columns are left behind.
     """
     return inherited(scan(files, least, share, all_words))
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
     """Documents at source/language/doc_id; a null source or language is left out of the path."""
+    docs = exact(docs)
     return docs.select("doc_id", F.concat_ws("/", F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias("path"), "text")

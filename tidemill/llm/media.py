@@ -281,7 +281,7 @@ def store_streams(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the text's bytes, padded, as a transport stream), staged in the shared folder.
 
     A null text is empty (64 zero bytes); a null doc_id stays null; repeated
-    rows are stored each. No shuffle.
+    rows are stored each; a very long text is one stream, made in memory. An empty table gives no rows. Other columns are left behind. No shuffle.
     """
     return staged(map_rows(texts_of(docs), _store, "doc_id long, n_bytes long, media binary"), "media")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import SPACES, WORD_RE, discard, fresh, map_rows, parts_for, staged
+from tidemill.llm.common import SPACES, WORD_RE, discard, exact, fresh, map_rows, parts_for, staged
 
 WEIGHTS, TOTAL, MOST, BLOCK, SHARD_SLOTS, MAX_SHARDS, SEED = (5, 2, 1), 1.5, 2, 256, 4096, 10_000, 17
 
@@ -206,8 +206,9 @@ def mixed_counts(docs: DataFrame, **how) -> DataFrame:
 
     A null text has no words and gives none; documents of a null source are a
     source of their own, last. Repeated rows are documents of their own. An
-    empty table gives no rows. Runs over the same rows agree.
+    empty table gives no rows. Runs over the same rows agree. A very long text lies on many blocks. Other columns are left behind.
     """
+    docs = exact(docs)
     sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source_key"), n_words().alias("size"), F.monotonically_increasing_id().alias("rid")), "mix-sizes")
     m = mix(sized, **how)
     taken = m.spans.groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))

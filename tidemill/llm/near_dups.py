@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, fresh, map_rows, staged
+from tidemill.llm.common import discard, exact, fresh, map_rows, staged
 from tidemill.llm.graph import components
 
 WORDS, PERCENT, K, ROUNDS, PIVOTS = 5, 80, 160, 2, 4
@@ -367,6 +367,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: i
 
     rid names a column of unique longs; without it rows are numbered.
     """
+    docs = exact(docs)
     number = F.col(rid) if rid else F.monotonically_increasing_id()
     rows = docs.select(number.cast("long").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     everything = staged(map_rows(rows, _sketch, SKETCHES, words, k, False), "sketches")
@@ -406,7 +407,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Texts are lower-cased (A-Z) and cut at ASCII white space. A null or empty text has an empty set and links
     with nothing. Repeated rows link with each other (unless empty); as kept compares ids, rows that repeat a kept id are
-    all kept. A null doc_id counts as larger than any: alone it has a null component_id and is kept.
+    all kept. A null doc_id counts as larger than any: alone it has a null component_id and is kept. A very long text is one set in one task.
+    An empty table gives no rows. Other columns are left behind.
     """
     rows = classes_of(docs, words, percent, k)
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"))
@@ -417,7 +419,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def without_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
     """One row of each group of near duplicates, with all columns: the one of the least doc_id (null last), of equals the first as stored.
 
-    Documents without words are in no group and stay.
+    Documents without words are in no group and stay. An empty table gives no rows. Column names of docs may be any, also those used here.
     """
     rid = fresh(docs, "near_rid")
     kept = staged(docs.withColumn(rid, F.monotonically_increasing_id()), "near-docs")

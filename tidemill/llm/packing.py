@@ -89,12 +89,26 @@ def _pack(length: int):
     return packed
 
 
+def sequences(packed: DataFrame, pad_id: int, length: int = LENGTH) -> DataFrame:
+    """The sequences of packed pieces with ids: sequence_id, filled, n_pieces and ids, pieces in order of their offsets, padded.
+
+    A sequence is padded with pad_id to the length, except where what fills it is a power of two of tokens: such
+    lengths stay. A sequence has as many pieces as tokens at most, so a group is small. An empty table gives no rows.
+    """
+    made = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"), F.sum("length").alias("filled"))
+    joined = F.reduce("p", F.lit(b"").cast("binary"), lambda done, x: F.concat(done, x["ids"]))
+    full = F.expr(f"rpad(ids, {4 * length}, X'{struct.pack('<I', pad_id).hex()}')")
+    out = made.select("sequence_id", "filled", F.size("p").cast("long").alias("n_pieces"), joined.alias("ids"))
+    return out.withColumn("ids", F.when(F.col("filled").bitwiseAND(F.col("filled") - 1) == 0, F.col("ids")).otherwise(full))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, group_size: int = GROUP_SIZE, with_ids: bool = True) -> DataFrame:
     """One row per piece: whose it is, where it starts there, its sequence and offset, and its ids (little-endian uint32).
 
-    A null or empty text is its end id alone. Repeated rows are documents of
-    their own. An empty table gives no rows. Pieces are staged first, so
-    sequences are the same however often the result is read.
+    A null or empty text is its end id alone; a very long one becomes many pieces. Repeated rows are documents of
+    their own. An empty table gives no rows. Other columns of docs are left behind. Pieces are staged first, so
+    sequences are the same however often the result is read; their draw depends on the partition that a document is
+    read in, so another split of the input packs otherwise (equal lengths go by doc_id, start and draw).
     """
     pieces = staged(map_rows(texts_of(docs), _cut, PIECES, tokenizer, end_id, length, with_ids), "pieces")
     rests = pieces.where(F.col("lone").isNull())

@@ -118,7 +118,7 @@ def line_quality(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, with
     """One row per document: the base figures, the verdict, what the line rules removed, and the text without it.
 
     Only doc_id and text are read. A null text counts as empty; a null doc_id
-    stays null; repeated rows are judged each. One pass, no shuffle.
+    stays null; repeated rows are judged each; a very long text is judged whole. An empty table gives no rows. One pass, no shuffle.
     """
     return map_rows(texts_of(docs), _judge, SCHEMA, max_lost_percent, with_text)
 

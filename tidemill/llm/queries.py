@@ -45,7 +45,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.packing import pack_documents
 
-    return pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1, with_ids=False).drop("ids")
+    return pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1).drop("ids")
 
 
 def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

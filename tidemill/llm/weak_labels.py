@@ -242,7 +242,7 @@ def weak_quality(docs: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> D
     """doc_id, votes, posterior (of the label model), score (of the linear scorer, 0 to 1) and kept (score at least `keep`).
 
     Null and empty texts have no words: their scores are 0. Repeated rows
-    are scored alike; a null doc_id stays. An empty table gives no rows. No shuffle but of counts.
+    are scored alike; a null doc_id stays. An empty table gives no rows. A very long text is read whole. Other columns are left behind. No shuffle but of counts.
     """
     _, posteriors, w = fit(docs, sample)
     model = docs.sparkSession.sparkContext.broadcast((posteriors, w, keep))  # patterns and weights: fixed bounds
