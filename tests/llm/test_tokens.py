@@ -6,10 +6,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+import zstandard
 
 from tidemill.llm.common import texts_of
 from tidemill.llm.packing import LENGTH, FirstFit, pack_documents, sequences
-from tidemill.llm.token_file import decode_block, encode_block, read_file, read_token_files, write_file, write_token_files
+from tidemill.llm.token_file import BLOCK_IDS, _code_lengths, _tree, decode_block, encode_block, read_file, read_token_files, write_file, write_token_files
 from tidemill.llm.tokens import Encoder
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -37,6 +38,39 @@ def test_blocks_round_trip_and_checksum():
     docs = [(None, b""), (-5, ids[:7].tobytes()), (9, ids.tobytes())]
     assert [(d, i.tobytes()) for d, i in read_file(write_file(docs))] == docs
     assert len(encode_block(np.tile(ids[:50], 2000))) < 50_000  # repeats are learnt
+    wide = np.append(np.tile(np.arange(300), 3), 90_000).astype("<u4")  # ids over 16 bits, more than one level of branches
+    assert (decode_block(encode_block(wide), 0)[0] == wide).all()
+    same = np.full(300_000, 7, "<u4")
+    assert (decode_block(encode_block(same), 0)[0] == same).all() and len(encode_block(same)) < 3 * 4096 * 4
+
+
+def test_blocks_take_fewer_bits_than_zstandard(spark):
+    """On a whole block of the documents' ids, against level 19 over 16-bit ids."""
+    encode, ids, n = Encoder(public_tokenizers.path(FILES[0])).ids, [], 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").select("text").toLocalIterator():
+        ids.append(np.frombuffer(encode(r.text or "") + bytes(4), "<u4"))
+        n += len(ids[-1])
+        if n >= BLOCK_IDS:
+            break
+    block = np.concatenate(ids)[:BLOCK_IDS]
+    data = encode_block(block)
+    assert (decode_block(data, 0)[0] == block).all()
+    assert len(data) < len(zstandard.compress(block.astype("<u2").tobytes(), 19))
+
+
+def test_code_lengths_make_a_full_prefix_code():
+    """Every id that occurs has its own path, and no path begins with another; the code is no longer than 4-bit-aligned entropy plus one branch."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 16, 17, 31, 32, 500):
+        counts = rng.integers(0, 1000, n)
+        counts[0] = 5
+        lengths = _code_lengths(counts)
+        _, paths = _tree(lengths)
+        assert ((lengths > 0) == (counts > 0)).all()
+        words = sorted("".join(f"{int(paths[i]) >> 4 * d & 15:x}" for d in range(lengths[i])) for i in np.flatnonzero(counts))
+        assert all(not b.startswith(a) for a, b in zip(words, words[1:]))
+        share = counts[counts > 0] / counts.sum()
+        assert (share * lengths[counts > 0]).sum() <= -(share * np.log2(share)).sum() / 4 + 1
 
 
 def _brute(docs, name, end):

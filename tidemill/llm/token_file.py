@@ -1,31 +1,34 @@
 """Token-id files: adaptive context mixing drives a range coder in independent blocks.
 
 A file is a run of blocks. A block holds up to ``BLOCK_IDS`` ids and stands
-alone: its header has the vocabulary bound, its lanes' sizes and a CRC-32 of the ids; its
-model starts anew. Ids of a block lie in lanes (equal runs that are coded side
-by side, one id of each lane a step), so that one numpy call works on all lanes;
-the lanes share the block's model, which learns after each step.
-
-The model mixes three predictions of the next id:
-
-* order 2: the id that last followed this pair of ids (hashed), with a
-  confidence of 0 to 3;
-* order 1: the id that last followed this id, likewise;
-* order 0: adaptive counts of all ids.
-
-The weights of the mixture are adaptive counts of which prediction was right,
-kept for each pair of confidences. A 64-bit carry-less range coder writes each
-id as the mixture's choice and, where neither context was right, its order-0
-interval.
-
-File layout (little endian): "TMC1"; u32 documents; u32 blocks; document ids
+alone: its header has the vocabulary bound, the ids' code lengths, its lanes' sizes and a
+CRC-32 of the ids; its model starts anew. Ids of a block lie in lanes (equal runs that are
+coded side by side), so that one numpy call works on all lanes; the lanes share the
+block's model, which learns after each step.
+
+An id is a path down the block's prefix tree of 16 branches a node (Huffman's, so that
+frequent ids have short paths), and each step codes one branch of every lane. Three
+predictions of the branch are mixed, and as every node has them, all ids have a
+probability after every context:
+
+* order 0: adaptive counts of the node's branches;
+* order 1: counts of the node's branches after the last id (hashed), added to the order-0 prediction;
+* order 2: counts after the last two ids (hashed), added to the order-1 prediction.
+
+The weights of the mixture are adaptive: for each pair of confidences (how often the
+two contexts were seen at the node) they follow each prediction's share in the
+probabilities of the branches taken. Sums, products and quotients of floats are the same on
+all machines, so encoder and decoder agree. A 64-bit carry-less range coder writes the branches.
+
+File layout (little endian): "TMC2"; u32 documents; u32 blocks; document ids
 (i64, with the lowest value for null) and lengths (u64); then per block a header
-(u32 ids, u32 lanes, u32 bound, u32 crc32 of the ids, u32 payload bytes), u32
-lane sizes, payload; at the end u32 crc32 of all before it.
+(u32 ids, u32 lanes, u32 bound, u32 crc32 of the ids, u32 bytes of the deflated code lengths, u32 payload
+words), code lengths, u32 words of each lane, payload of u16 words; at the end u32 crc32 of all before it.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,166 +43,249 @@ from tidemill.llm.tokens import encoder
 
 BLOCK_IDS, LANE_IDS, MAX_LANES, FILE_IDS = 1 << 20, 256, 4096, 1 << 20
 NULL_ID = -(1 << 63)
-_MAGIC = b"TMC1"
+_MAGIC = b"TMC2"
 _U = np.uint64
-_TOP, _BOT, _FULL = _U(1 << 56), _U(1 << 48), _U((1 << 64) - 1)
-_PAIR_BITS, _STEP, _MIX_LIMIT = 18, 24, 1 << 14
-#: Steps between two sums over the order-0 counts.
-_EVERY = 2
+_TOP, _BOT, _FULL = _U(1 << 48), _U(1 << 32), _U((1 << 64) - 1)
+#: Branches of a node, and parts that a branch's probabilities are scaled to.
+_WAYS, _PARTS = 16, np.float32(1 << 16)
+#: Weight of the shorter context's prediction in counts, and the limit at which mixture counts are halved.
+_PRIOR, _MIX_LIMIT = np.float32(2.0), 1 << 15
+_ODD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
+_CONFIDENCE = np.array([min(7, n.bit_length()) for n in range(256)], np.int64)
+
+
+def _code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of Huffman's code with 16 branches a node; 0 for ids that don't occur, 1 for an id alone."""
+    heap = [(int(counts[i]), int(i)) for i in np.flatnonzero(counts)]
+    lengths = np.zeros(len(counts), np.uint8)
+    if len(heap) == 1:
+        lengths[heap[0][1]] = 1
+        return lengths
+    heapq.heapify(heap)
+    made, parent = len(counts), {}
+    take = (len(heap) - 2) % (_WAYS - 1) + 2
+    while len(heap) > 1:
+        low = [heapq.heappop(heap) for _ in range(take)]
+        parent.update((node, made) for _, node in low)
+        heapq.heappush(heap, (sum(c for c, _ in low), made))
+        made, take = made + 1, _WAYS
+    depth = {made - 1: 0}
+    for node in sorted(parent, reverse=True):
+        depth[node] = depth[parent[node]] + 1
+        if node < len(counts):
+            lengths[node] = depth[node]
+    return lengths
+
+
+def _tree(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Children of inner node n from place 16 n on (0 is the root; -1 - id for a leaf), and each id's path, 4 bits a branch, first branch lowest."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")].tolist()
+    children: list[int] = []
+    paths = np.zeros(len(lengths), np.int64)
+    inner: dict[tuple[int, int], int] = {}
+
+    def node_of(depth: int, code: int) -> int:
+        if (depth, code) not in inner:
+            inner[depth, code] = len(inner)
+            children.extend([-1 - order[0]] * _WAYS)
+            if depth:
+                children[node_of(depth - 1, code >> 4) * _WAYS + (code & 15)] = inner[depth, code]
+        return inner[depth, code]
+
+    node_of(0, 0)
+    code, last = 0, 0
+    for i in order:
+        n = int(lengths[i])
+        code <<= 4 * (n - last)
+        last = n
+        children[node_of(n - 1, code >> 4) * _WAYS + (code & 15)] = -1 - i
+        for d in range(n):
+            paths[i] |= (code >> 4 * (n - 1 - d) & 15) << 4 * d
+        code += 1
+    return np.array(children, np.int64), paths
 
 
 class _Model:
-    """State that encoder and decoder move in step."""
-
-    def __init__(self, bound: int):
-        self.next1, self.sure1 = np.zeros(bound, np.int64), np.zeros(bound, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << _PAIR_BITS, np.int64), np.zeros(1 << _PAIR_BITS, np.int64)
-        self.count = np.ones(bound, np.int64)
-        self.mix = np.tile(np.array([4, 2, 4], np.int64), (32, 1))
-        self.steps = 0
-
-    def predict(self, a: np.ndarray, b: np.ndarray) -> None:
-        """a, b: the id before the last, the last."""
-        self.a1, self.a2 = b, (a * 40503 + b * 30011) & ((1 << _PAIR_BITS) - 1)
-        self.c1, self.k1 = self.next1[self.a1], self.sure1[self.a1]
-        self.c2, self.k2 = self.next2[self.a2], self.sure2[self.a2]
-        self.ctx = self.k2 * 8 + self.k1 * 2 + (self.c1 == self.c2)
-        w = self.mix[self.ctx]
-        self.f2, self.f1 = w[:, 0].astype(_U), w[:, 1].astype(_U)
-        self.total = w.sum(1).astype(_U)
-        if self.steps % _EVERY == 0:
-            self.ends = np.cumsum(self.count)
-            self.frozen = self.count.copy()
-        self.steps += 1
-
-    def learn(self, x: np.ndarray, kind: np.ndarray) -> None:
-        """kind: 0 order 2 was right, 1 order 1, 2 neither."""
-        self.mix += np.bincount(self.ctx * 3 + kind, minlength=96).reshape(32, 3) * 4
-        big = self.mix.sum(1) > _MIX_LIMIT
-        if big.any():
-            self.mix[big] = (self.mix[big] + 1) >> 1
-        np.add.at(self.count, x, _STEP)
-        for nxt, sure, at, c, k in ((self.next1, self.sure1, self.a1, self.c1, self.k1), (self.next2, self.sure2, self.a2, self.c2, self.k2)):
-            hit = c == x
-            nxt[at] = np.where(hit | (k > 0), c, x)
-            sure[at] = np.where(hit, np.minimum(k + 1, 3), np.maximum(k - 1, 0))
-
-
-def _lanes(n: int) -> tuple[int, int]:
-    """Lanes and steps for n ids."""
-    lanes = min(MAX_LANES, max(1, n // LANE_IDS))
-    return lanes, -(-n // lanes)
+    """State that encoder and decoder move in step: counts of branches, and of visits, for each order's contexts."""
+
+    def __init__(self, nodes: int, n: int):
+        bits = min(20, max(8, n.bit_length() + 1))
+        self.shift = _U(64 - bits)
+        rows = nodes, 1 << bits, 1 << bits
+        self.counts = [np.zeros((r, _WAYS), np.float32) for r in rows]
+        self.visits = [np.zeros(r, np.float32) for r in rows]
+        self.mix = [np.full(64, w) for w in (1.0, 2.0, 4.0)]
+
+    def predict(self, node: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """Ends of the branches' intervals. c1, c2: hashes of the last id and of the last two."""
+        step = node.view(_U) * _ODD[1]
+        self.at = [node, *(((c + step) * _ODD[0] >> self.shift).view(np.int64) for c in (c1, c2))]
+        n0, n1, n2 = (v.take(at) for v, at in zip(self.visits, self.at))
+        self.set = _CONFIDENCE.take(n1.astype(np.int64), mode="clip") * 8 + _CONFIDENCE.take(n2.astype(np.int64), mode="clip")
+        total = self.mix[0] + self.mix[1] + self.mix[2]
+        w0, w1, w2 = ((m / total).astype(np.float32).take(self.set) for m in self.mix)
+        # each order's prediction is its counts and the shorter one's, so the mixture is one sum of counts
+        d1, d2 = 1 / (n1 + _PRIOR), 1 / (n2 + _PRIOR)
+        self.weights, self.dividers = (w0, w1, w2), (1 / (n0 + np.float32(_WAYS * 0.25)), d1, d2)
+        u1 = w1 + w2 * _PRIOR * d2
+        u0 = w0 + u1 * _PRIOR * d1
+        self.rows = [c.take(at, axis=0) for c, at in zip(self.counts, self.at)]
+        sums = self.rows[0] + np.float32(0.25)
+        sums *= (u0 * self.dividers[0] * _PARTS)[:, None]
+        for row, factor in ((self.rows[1], u1 * d1), (self.rows[2], w2 * d2)):
+            sums += row * (factor * _PARTS)[:, None]
+        parts = sums.astype(np.int32)
+        parts += 1
+        return np.cumsum(parts, axis=1, dtype=np.int32)
+
+    def learn(self, branch: np.ndarray) -> None:
+        place = np.arange(len(branch)) * _WAYS + branch
+        p = (self.rows[0].reshape(-1).take(place) + np.float32(0.25)) * self.dividers[0]
+        shares = [self.weights[0] * p]
+        for k in (1, 2):
+            p = (self.rows[k].reshape(-1).take(place) + _PRIOR * p) * self.dividers[k]
+            shares.append(self.weights[k] * p)
+        whole = shares[0] + shares[1] + shares[2]
+        for mix, share in zip(self.mix, shares):
+            mix += np.bincount(self.set, share / whole, 64)
+        if (big := self.mix[0] + self.mix[1] + self.mix[2] > _MIX_LIMIT).any():
+            for mix in self.mix:
+                mix[big] *= 0.5
+        for counts, visits, at in zip(self.counts, self.visits, self.at):
+            np.add.at(counts.reshape(-1), at * _WAYS + branch, np.float32(1))
+            np.add.at(visits, at, np.float32(1))
+
+
+class _Encoder:
+    """Range coders of all lanes; `take` codes a branch of each live lane."""
+
+    def __init__(self, lanes: int, room: int):
+        self.low, self.rng = np.zeros(lanes, _U), np.full(lanes, _FULL, _U)
+        self.out, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
+
+    def take(self, lane: np.ndarray, ends: np.ndarray, branch: np.ndarray | None) -> np.ndarray:
+        lo, ra = self.low[lane], self.rng[lane]
+        ra = ra // ends[:, -1].astype(_U)
+        branch = self.choose(lane, lo, ra, ends, branch)
+        place = np.arange(len(lane)) * _WAYS + branch
+        flat = ends.reshape(-1)
+        start = np.where(branch > 0, flat.take(place - 1, mode="clip"), 0)
+        size = (flat.take(place) - start).astype(_U)
+        lo, ra = lo + ra * start.astype(_U), ra * size
+        self.low[lane], self.rng[lane] = lo, ra
+        while True:
+            same = (lo ^ (lo + ra)) < _TOP
+            if not len(go := np.flatnonzero(same | (ra < _BOT))):
+                return branch
+            lane, lo, ra, same = lane[go], lo[go], ra[go], same[go]
+            ra = np.where(same, ra, (_U(0) - lo) & (_BOT - _U(1)))
+            self.shift(lane, lo)
+            lo, ra = lo << _U(16), ra << _U(16)
+            self.low[lane], self.rng[lane] = lo, ra
+
+    def choose(self, lane, lo, ra, ends, branch: np.ndarray) -> np.ndarray:
+        return branch
+
+    def shift(self, lane: np.ndarray, lo: np.ndarray) -> None:
+        """The upper 16 bits are settled."""
+        if self.at[lane].max() >= self.out.shape[1] - 2:
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
+        self.out[lane, self.at[lane]] = (lo >> _U(48)).astype(np.uint16)
+        self.at[lane] += 1
+
+    def finish(self) -> tuple[np.ndarray, bytes]:
+        """Words of each lane, and all words: the last two lie inside the last interval whatever follows."""
+        rows = np.arange(len(self.at))
+        last = (self.low + (_BOT - _U(1))) >> _U(32)
+        self.out[rows, self.at], self.out[rows, self.at + 1] = (last >> _U(16)).astype(np.uint16), (last & _U(65535)).astype(np.uint16)
+        self.at += 2
+        return self.at, self.out[np.arange(self.out.shape[1]) < self.at[:, None]].astype("<u2").tobytes()
+
+
+class _Decoder(_Encoder):
+    """The same moves; the branch is found from the lane's words."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        super().__init__(len(sizes), 0)
+        self.words = np.concatenate([words, np.zeros(4, "<u2")])
+        self.end = np.cumsum(sizes)
+        self.read, self.code = self.end - sizes, np.zeros(len(sizes), _U)
+        for _ in range(4):
+            self.shift(np.arange(len(sizes)), self.low)
+
+    def choose(self, lane, lo, ra, ends, branch: None) -> np.ndarray:
+        v = np.minimum((self.code[lane] - lo) // ra, (ends[:, -1] - 1).astype(_U)).astype(np.int32)
+        return (ends <= v[:, None]).sum(axis=1)
+
+    def shift(self, lane: np.ndarray, lo: np.ndarray) -> None:
+        at = self.read[lane]
+        self.read[lane] += 1
+        fed = np.where(at < self.end[lane], self.words[np.minimum(at, len(self.words) - 1)], 0)
+        self.code[lane] = self.code[lane] << _U(16) | fed.astype(_U)
+
+
+def _walk(coder: _Encoder, lengths: np.ndarray, n: int, lanes: int, ids: np.ndarray | None) -> np.ndarray:
+    """Code all branches of the lanes' ids (given, or found): a lane goes on to its next id at once, and leaves after its last."""
+    children, paths = _tree(lengths)
+    model = _Model(len(children) // _WAYS, n)
+    steps = -(-n // lanes)
+    grid = np.zeros(n, np.int64) if ids is None else ids
+    lane = np.arange(lanes)
+    at, end = lane * steps, np.minimum(lane * steps + steps, n)
+    lane, at, end = lane[at < end], at[at < end], end[at < end]
+    node, last = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+    c1, c2 = np.zeros(len(lane), _U), np.zeros(len(lane), _U)
+    path = paths[grid[at]] if ids is not None else None
+    while len(lane):
+        branch = coder.take(lane, model.predict(node, c1, c2), None if path is None else path & 15)
+        model.learn(branch)
+        node = children.take(node * _WAYS + branch)
+        if path is not None:
+            path = path >> 4
+        done = np.flatnonzero(node < 0)
+        if len(done):
+            x = -1 - node[done]
+            grid[at[done]] = x
+            at[done] += 1
+            node[done] = 0
+            c2[done] = (last[done] + 1).view(_U) * _ODD[2] + (x + 1).view(_U) * _ODD[0]
+            c1[done] = (x + 1).view(_U) * _ODD[2]
+            last[done] = x
+            if path is not None:
+                path[done] = paths[grid[np.minimum(at[done], end[done] - 1)]]
+            stay = at < end
+            if not stay.all():
+                lane, at, end, node, last, c1, c2 = (v[stay] for v in (lane, at, end, node, last, c1, c2))
+                path = None if path is None else path[stay]
+    return grid
 
 
 def encode_block(ids: np.ndarray) -> bytes:
     n = len(ids)
-    lanes, steps = _lanes(n)
-    bound = int(ids.max()) + 1
-    grid = np.zeros(lanes * steps, np.int64)
-    grid[:n] = ids
-    grid = grid.reshape(lanes, steps).T.copy()
-    model = _Model(bound)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, _FULL, _U)
-    out, at = np.zeros((lanes, 8 * steps + 8), np.uint8), np.zeros(lanes, np.int64)
-    a = b = np.zeros(lanes, np.int64)
-    for x in grid:
-        model.predict(a, b)
-        kind = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
-        r = rng // model.total
-        start = np.where(kind == 0, _U(0), np.where(kind == 1, model.f2, model.f2 + model.f1))
-        size = np.where(kind == 0, model.f2, np.where(kind == 1, model.f1, model.total - model.f2 - model.f1))
-        low = low + r * start
-        rng = r * size
-        if len(m := np.flatnonzero(kind == 2)):
-            xs = x[m]
-            r0 = rng[m] // _U(int(model.ends[-1]))
-            own = model.frozen[xs]
-            low[m] += r0 * (model.ends[xs] - own).astype(_U)
-            rng[m] = r0 * own.astype(_U)
-        live = np.arange(lanes)
-        while True:
-            lo, ra = low[live], rng[live]
-            same = (lo ^ (lo + ra)) < _TOP
-            go = same | (ra < _BOT)
-            if not go.any():
-                break
-            live, lo, ra, same = live[go], lo[go], ra[go], same[go]
-            ra = np.where(same, ra, (_U(0) - lo) & (_BOT - _U(1)))
-            out[live, at[live]] = (lo >> _U(56)).astype(np.uint8)
-            at[live] += 1
-            low[live], rng[live] = lo << _U(8), ra << _U(8)
-        model.learn(x, kind)
-        a, b = b, x
-    last = (low + (_BOT - _U(1))) >> _U(48)
-    rows = np.arange(lanes)
-    out[rows, at], out[rows, at + 1] = (last >> _U(8)).astype(np.uint8), (last & _U(255)).astype(np.uint8)
-    at += 2
-    payload = out[np.arange(out.shape[1]) < at[:, None]].tobytes()
-    crc = zlib.crc32(ids.astype("<u4").tobytes())
-    return struct.pack("<5I", n, lanes, bound, crc, len(payload)) + at.astype("<u4").tobytes() + payload
+    lanes = min(MAX_LANES, max(1, n // LANE_IDS))
+    lengths = _code_lengths(np.bincount(ids))
+    coder = _Encoder(lanes, -(-n // lanes) + 8)
+    _walk(coder, lengths, n, lanes, ids.astype(np.int64))
+    sizes, payload = coder.finish()
+    crc, tree = zlib.crc32(ids.astype("<u4").tobytes()), zlib.compress(lengths.tobytes(), 9)
+    return struct.pack("<6I", n, lanes, len(lengths), crc, len(tree), len(payload) // 2) + tree + sizes.astype("<u4").tobytes() + payload
 
 
 def decode_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
-    """The block's ids and the place after it; raises ValueError if the checksum differs."""
-    n, lanes, bound, crc, size = struct.unpack_from("<5I", data, at)
-    at += 20
+    """The block's ids and the place after it; raises ValueError if the checksum or the code lengths are wrong."""
+    n, lanes, bound, crc, tree, words = struct.unpack_from("<6I", data, at)
+    at += 24
+    lengths = np.frombuffer(zlib.decompress(data[at : at + tree]), np.uint8)
+    if len(lengths) != bound:
+        raise ValueError("a block's code lengths differ from its bound")
+    at += tree
     sizes = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
     at += 4 * lanes
-    code_bytes = np.concatenate([np.frombuffer(data, np.uint8, size, at), np.zeros(16, np.uint8)])
-    at += size
-    begins = np.cumsum(sizes) - sizes
-    steps = -(-n // lanes)
-    # what follows a lane's bytes is of no account: its last value lies inside the last interval whatever comes after
-    code = np.zeros(lanes, _U)
-    ends = begins + sizes
-    read = begins.copy()
-    for _ in range(8):
-        code = code << _U(8) | np.where(read < ends, code_bytes[np.minimum(read, len(code_bytes) - 1)], 0).astype(_U)
-        read += 1
-    model = _Model(bound)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, _FULL, _U)
-    grid = np.zeros((steps, lanes), np.int64)
-    a = b = np.zeros(lanes, np.int64)
-    for t in range(steps):
-        model.predict(a, b)
-        r = rng // model.total
-        v = np.minimum((code - low) // r, model.total - _U(1))
-        kind = np.where(v < model.f2, 0, np.where(v < model.f2 + model.f1, 1, 2))
-        start = np.where(kind == 0, _U(0), np.where(kind == 1, model.f2, model.f2 + model.f1))
-        width = np.where(kind == 0, model.f2, np.where(kind == 1, model.f1, model.total - model.f2 - model.f1))
-        low = low + r * start
-        rng = r * width
-        x = np.where(kind == 0, model.c2, model.c1)
-        if len(m := np.flatnonzero(kind == 2)):
-            whole = int(model.ends[-1])
-            r0 = rng[m] // _U(whole)
-            v0 = np.minimum((code[m] - low[m]) // r0, _U(whole - 1)).astype(np.int64)
-            xs = np.searchsorted(model.ends, v0, side="right")
-            own = model.frozen[xs]
-            low[m] += r0 * (model.ends[xs] - own).astype(_U)
-            rng[m] = r0 * own.astype(_U)
-            x[m] = xs
-        grid[t] = x
-        live = np.arange(lanes)
-        while True:
-            lo, ra = low[live], rng[live]
-            same = (lo ^ (lo + ra)) < _TOP
-            go = same | (ra < _BOT)
-            if not go.any():
-                break
-            live, lo, ra, same = live[go], lo[go], ra[go], same[go]
-            ra = np.where(same, ra, (_U(0) - lo) & (_BOT - _U(1)))
-            here = read[live]
-            fed = np.where(here < ends[live], code_bytes[np.minimum(here, len(code_bytes) - 1)], 0).astype(_U)
-            code[live] = code[live] << _U(8) | fed
-            read[live] += 1
-            low[live], rng[live] = lo << _U(8), ra << _U(8)
-        model.learn(x, kind)
-        a, b = b, x
-    ids = grid.T.reshape(-1)[:n].astype("<u4")
+    ids = _walk(_Decoder(np.frombuffer(data, "<u2", words, at), sizes), lengths, n, lanes, None).astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a block's checksum differs")
-    return ids, at
+    return ids, at + 2 * words
 
 
 def write_file(docs: list[tuple[int | None, bytes]]) -> bytes:
