@@ -6,7 +6,7 @@ CRC-32 of the ids; its model starts anew. Ids of a block lie in lanes (equal run
 coded side by side), so that one numpy call works on all lanes; the lanes share the
 block's model, which learns after each step.
 
-An id is a path down the block's prefix tree of 16 branches a node (Huffman's, so that
+An id is a path down the block's prefix tree of 15 branches a node (Huffman's, so that
 frequent ids have short paths), and each step codes one branch of every lane. Three
 predictions of the branch are mixed, and as every node has them, all ids have a
 probability after every context:
@@ -46,8 +46,8 @@ NULL_ID = -(1 << 63)
 _MAGIC = b"TMC2"
 _U = np.uint64
 _TOP, _BOT, _FULL = _U(1 << 48), _U(1 << 32), _U((1 << 64) - 1)
-#: Branches of a node, and parts that a branch's probabilities are scaled to.
-_WAYS, _PARTS = 16, np.float32(1 << 16)
+#: Branches of a node (1 to 15; place 0 of its row of counts holds its visits), and parts that a branch's probabilities are scaled to.
+_WAYS, _ROW, _PARTS = 15, 16, np.float32(1 << 16)
 #: Weight of the shorter context's prediction in counts, and the limit at which mixture counts are halved.
 _PRIOR, _MIX_LIMIT = np.float32(2.0), 1 << 15
 _ODD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
@@ -55,7 +55,7 @@ _CONFIDENCE = np.array([min(7, n.bit_length()) for n in range(256)], np.int64)
 
 
 def _code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Lengths of Huffman's code with 16 branches a node; 0 for ids that don't occur, 1 for an id alone."""
+    """Lengths of Huffman's code with 15 branches a node; 0 for ids that don't occur, 1 for an id alone."""
     heap = [(int(counts[i]), int(i)) for i in np.flatnonzero(counts)]
     lengths = np.zeros(len(counts), np.uint8)
     if len(heap) == 1:
@@ -78,7 +78,7 @@ def _code_lengths(counts: np.ndarray) -> np.ndarray:
 
 
 def _tree(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of inner node n from place 16 n on (0 is the root; -1 - id for a leaf), and each id's path, 4 bits a branch, first branch lowest."""
+    """Children of inner node n from place 16 n + 1 on (0 is the root; -1 - id for a leaf), and each id's path, 4 bits a branch, first branch lowest."""
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")].tolist()
     children: list[int] = []
@@ -88,40 +88,39 @@ def _tree(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     def node_of(depth: int, code: int) -> int:
         if (depth, code) not in inner:
             inner[depth, code] = len(inner)
-            children.extend([-1 - order[0]] * _WAYS)
+            children.extend([-1 - order[0]] * _ROW)
             if depth:
-                children[node_of(depth - 1, code >> 4) * _WAYS + (code & 15)] = inner[depth, code]
+                children[node_of(depth - 1, code // _WAYS) * _ROW + 1 + code % _WAYS] = inner[depth, code]
         return inner[depth, code]
 
     node_of(0, 0)
     code, last = 0, 0
     for i in order:
         n = int(lengths[i])
-        code <<= 4 * (n - last)
+        code *= _WAYS ** (n - last)
         last = n
-        children[node_of(n - 1, code >> 4) * _WAYS + (code & 15)] = -1 - i
+        children[node_of(n - 1, code // _WAYS) * _ROW + 1 + code % _WAYS] = -1 - i
         for d in range(n):
-            paths[i] |= (code >> 4 * (n - 1 - d) & 15) << 4 * d
+            paths[i] |= (1 + code // _WAYS ** (n - 1 - d) % _WAYS) << 4 * d
         code += 1
     return np.array(children, np.int64), paths
 
 
 class _Model:
-    """State that encoder and decoder move in step: counts of branches, and of visits, for each order's contexts."""
+    """State that encoder and decoder move in step: counts of visits and branches for each order's contexts."""
 
     def __init__(self, nodes: int, n: int):
         bits = min(20, max(8, n.bit_length() + 1))
         self.shift = _U(64 - bits)
-        rows = nodes, 1 << bits, 1 << bits
-        self.counts = [np.zeros((r, _WAYS), np.float32) for r in rows]
-        self.visits = [np.zeros(r, np.float32) for r in rows]
+        self.counts = [np.zeros((rows, _ROW), np.float32) for rows in (nodes, 1 << bits, 1 << bits)]
         self.mix = [np.full(64, w) for w in (1.0, 2.0, 4.0)]
 
     def predict(self, node: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        """Ends of the branches' intervals. c1, c2: hashes of the last id and of the last two."""
+        """Ends of the branches' intervals, after a zero. c1, c2: hashes of the last id and of the last two."""
         step = node.view(_U) * _ODD[1]
         self.at = [node, *(((c + step) * _ODD[0] >> self.shift).view(np.int64) for c in (c1, c2))]
-        n0, n1, n2 = (v.take(at) for v, at in zip(self.visits, self.at))
+        self.rows = [c.take(at, axis=0) for c, at in zip(self.counts, self.at)]
+        n0, n1, n2 = (row[:, 0].copy() for row in self.rows)
         self.set = _CONFIDENCE.take(n1.astype(np.int64), mode="clip") * 8 + _CONFIDENCE.take(n2.astype(np.int64), mode="clip")
         total = self.mix[0] + self.mix[1] + self.mix[2]
         w0, w1, w2 = ((m / total).astype(np.float32).take(self.set) for m in self.mix)
@@ -130,17 +129,17 @@ class _Model:
         self.weights, self.dividers = (w0, w1, w2), (1 / (n0 + np.float32(_WAYS * 0.25)), d1, d2)
         u1 = w1 + w2 * _PRIOR * d2
         u0 = w0 + u1 * _PRIOR * d1
-        self.rows = [c.take(at, axis=0) for c, at in zip(self.counts, self.at)]
         sums = self.rows[0] + np.float32(0.25)
         sums *= (u0 * self.dividers[0] * _PARTS)[:, None]
         for row, factor in ((self.rows[1], u1 * d1), (self.rows[2], w2 * d2)):
             sums += row * (factor * _PARTS)[:, None]
         parts = sums.astype(np.int32)
         parts += 1
+        parts[:, 0] = 0
         return np.cumsum(parts, axis=1, dtype=np.int32)
 
     def learn(self, branch: np.ndarray) -> None:
-        place = np.arange(len(branch)) * _WAYS + branch
+        place = np.arange(len(branch)) * _ROW + branch
         p = (self.rows[0].reshape(-1).take(place) + np.float32(0.25)) * self.dividers[0]
         shares = [self.weights[0] * p]
         for k in (1, 2):
@@ -152,9 +151,9 @@ class _Model:
         if (big := self.mix[0] + self.mix[1] + self.mix[2] > _MIX_LIMIT).any():
             for mix in self.mix:
                 mix[big] *= 0.5
-        for counts, visits, at in zip(self.counts, self.visits, self.at):
-            np.add.at(counts.reshape(-1), at * _WAYS + branch, np.float32(1))
-            np.add.at(visits, at, np.float32(1))
+        for counts, at in zip(self.counts, self.at):
+            np.add.at(counts.reshape(-1), at * _ROW + branch, np.float32(1))
+            np.add.at(counts.reshape(-1), at * _ROW, np.float32(1))
 
 
 class _Encoder:
@@ -168,9 +167,9 @@ class _Encoder:
         lo, ra = self.low[lane], self.rng[lane]
         ra = ra // ends[:, -1].astype(_U)
         branch = self.choose(lane, lo, ra, ends, branch)
-        place = np.arange(len(lane)) * _WAYS + branch
+        place = np.arange(len(lane)) * _ROW + branch
         flat = ends.reshape(-1)
-        start = np.where(branch > 0, flat.take(place - 1, mode="clip"), 0)
+        start = flat.take(place - 1)
         size = (flat.take(place) - start).astype(_U)
         lo, ra = lo + ra * start.astype(_U), ra * size
         self.low[lane], self.rng[lane] = lo, ra
@@ -228,7 +227,7 @@ class _Decoder(_Encoder):
 def _walk(coder: _Encoder, lengths: np.ndarray, n: int, lanes: int, ids: np.ndarray | None) -> np.ndarray:
     """Code all branches of the lanes' ids (given, or found): a lane goes on to its next id at once, and leaves after its last."""
     children, paths = _tree(lengths)
-    model = _Model(len(children) // _WAYS, n)
+    model = _Model(len(children) // _ROW, n)
     steps = -(-n // lanes)
     grid = np.zeros(n, np.int64) if ids is None else ids
     lane = np.arange(lanes)
@@ -240,7 +239,7 @@ def _walk(coder: _Encoder, lengths: np.ndarray, n: int, lanes: int, ids: np.ndar
     while len(lane):
         branch = coder.take(lane, model.predict(node, c1, c2), None if path is None else path & 15)
         model.learn(branch)
-        node = children.take(node * _WAYS + branch)
+        node = children.take(node * _ROW + branch)
         if path is not None:
             path = path >> 4
         done = np.flatnonzero(node < 0)
