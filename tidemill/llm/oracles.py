@@ -51,4 +51,34 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
        n_lines::bigint as n_lines, lost_lines::bigint as lost_lines, lost_chars::bigint as lost_chars
 from facts"""
 
-ORACLES: dict[str, str] = {"op7_line_quality": OP7}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '{_WORD}') as ws from documents),
+b as (select item_id, regexp_extract_all(coalesce({_LOWER}, ''), '{_WORD}') as ws from benchmark),
+windows as (
+  select distinct item_id, long, array_to_string(ws[i : i + long - 1], ' ') as w
+  from (select item_id, ws, least(10, len(ws)) as long, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from b where len(ws) > 0)),
+runs as (
+  select rid, i, long, array_to_string(ws[i : i + long - 1], ' ') as w
+  from (select rid, ws, long, unnest(range(1, len(ws) - long + 2)) as i from d, (select distinct long from windows) where len(ws) >= long)),
+met as (select rid, i, long, item_id from runs join windows using (long, w)),
+hit as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + long)) as p from (select distinct rid, i, long from met)) group by rid),
+named as (select rid, count(*) as n, string_agg(x, ',' order by x) as ids from (select distinct rid, item_id::varchar as x from met) group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(m.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from d left join hit h using (rid) left join named m using (rid)"""
+
+OP13 = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '{_WORD}') as ws from documents),
+docs as (select rid, doc_id, ws, len(ws)::bigint as n from d where len(ws) > 0),
+totals as (select count(*)::bigint as nn, sum(n)::bigint as l from docs),
+q as (select distinct item_id, unnest(regexp_extract_all(coalesce({_LOWER}, ''), '{_WORD}')) as t from benchmark),
+tf as (select rid, doc_id, n, t, count(*)::bigint as tf from (select rid, doc_id, n, unnest(ws) as t from docs) where t in (select t from q) group by all),
+weights as (select t, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, totals group by t),
+impacts as (select rid, doc_id, t, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // l))) as impact from tf, totals),
+scores as (select item_id, rid, doc_id, sum(w * impact)::bigint as score from q join impacts using (t) join weights using (t) group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id, rid) as rank from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50"""
+
+ORACLES: dict[str, str] = {"op7_line_quality": OP7, "op11_window_decontamination": OP11, "op13_lexical_search": OP13}

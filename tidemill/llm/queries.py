@@ -78,6 +78,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents_as_files(_documents(spark, sf_dir)), all_words=True)
 
 
+def op11_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.decontamination import contamination, digests
+
+    return digests(contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.lexical_search import lexical_search
+
+    return lexical_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,5 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_quality": op8_weak_quality,
     "op9_block_mixing": op9_block_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_window_decontamination": op11_window_decontamination,
+    "op12_whitened_embeddings": op12_whitened_embeddings,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
