@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemill.record_queries import ORACLES, QUERIES
+from tidemill.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

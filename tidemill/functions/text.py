@@ -1,4 +1,4 @@
-"""Text, rules and settings as column expressions; all stay in the JVM but unified_diff."""
+"""Text, rules and settings as column expressions; all stay in the JVM but unified_diff, which is Arrow-batched Python."""
 
 from __future__ import annotations
 
@@ -99,12 +99,8 @@ def stamp_of(name: Column) -> Column:
     return F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}_\d{6})\.txt$", 1), F.lit("")), F.lit("yyyy-MM-dd_HHmmss")).cast("timestamp_ntz")
 
 
-def diff_of(before: str | None, after: str | None) -> str:
-    import difflib
-
-    return "\n".join(difflib.unified_diff((before or "").split("\n"), (after or "").split("\n"), "before", "after", lineterm=""))
-
-
 def unified_diff(before: Column, after: Column) -> Column:
-    """The unified diff of two texts; Python, since no built-in function makes one."""
-    return F.udf(diff_of, "string")(before, after)
+    """The unified diff of two texts, '' for equal ones; see operators.patches."""
+    from tidemill.operators import patches
+
+    return patches.unified_diff(F.lit("text"), before, after)

@@ -1,7 +1,9 @@
-"""Session defaults and tables by name."""
+"""Session defaults, tables by name, and cut lineage."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +20,22 @@ def session(app: str = "tidemill", master: str | None = None, **conf: str) -> Sp
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in a local session where it is unset (tests)."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = tempfile.mkdtemp(prefix="tidemill-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its rows in the checkpoint folder, so that loops neither recompute rounds nor let plans grow."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
