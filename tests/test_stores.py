@@ -156,6 +156,7 @@ def test_last_entries_over_a_stream(spark, tmp_path):
         for i in range(0, len(rows), 45):
             part = frame.where(F.col("seq").isin([r[2] for r in rows[i : i + 45]]))
             part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        frame.where("edit_id = 'other'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # late rows are dropped by the watermark that the batch before last left
         too_late = spark.createDataFrame([("e2", "2024-01-01 09:00:00", 600, "revert", "ok", "reverse_patch")], schema).withColumn("at", F.to_timestamp("ts")).drop("ts")
         too_late.select(frame.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

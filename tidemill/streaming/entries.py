@@ -71,7 +71,7 @@ def last_entries(entries: DataFrame, late: str = "30 days", patience_ms: int = 8
 
     kind: last, revert or unresolved. A later row of one edit and kind replaces those before it: the one with the largest seq
     holds, which after all input equals latest.latest() over the table without entries more than `late` behind the latest time of
-    the batches before theirs: Spark drops those. Entries without edit_id, seq or time are left out. State is kept by RocksDB, an entry or two an edit.
+    the batches up to the one before last: Spark drops those. Entries without edit_id, seq or time are left out. State is kept by RocksDB, an entry or two an edit.
     """
     spark = entries.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
