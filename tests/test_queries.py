@@ -50,7 +50,7 @@ def test_plans(spark):
 
 
 def test_reach_over_long_chains(spark):
-    from tidemill.operators.compare import reachable
+    from tidemill.operators.reach import reachable
 
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")

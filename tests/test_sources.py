@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
-from tidemill.operators import compare, latest
+from tidemill.operators import compare, latest, reach
 from tidemill.plans import flows
 from tidemill.sources import ledger, markdown
 
@@ -149,6 +149,92 @@ def test_text_functions(spark):
     assert get(tx.redact(lit("me@x.org token=abc 4111111111111111"))) == "[mail] token=[secret] [number]"
     assert get(tx.unified_diff(lit("a\nb"), lit("a\nc"))).split("\n")[-5:-1] == ["-b", "\\ No newline at end of file", "+c", "\\ No newline at end of file"]
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
-    assert {(r.src, r.dst) for r in compare.reachable(spark, edges).collect()} == {(s, d) for s in "abc" for d in "abc"} | {("x", "y")}
+    assert {(r.src, r.dst) for r in reach.reachable(spark, edges).collect()} == {(s, d) for s in "abc" for d in "abc"} | {("x", "y")}
     rows = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, 1, "c")], "id int, t int, v string").withColumn("k", lit(1))
     assert [r.id for r in latest.newest_per_key(rows, ["k"], "t", "id", 2).orderBy("id").collect()] == [1, 2]
+
+
+def test_one_pass_over_markdown(spark):
+    text = "---\r\ntitle: x\r\n---\r\n# Top\r\n- loose\r\n\r\nUnder\r\n-----\r\n- [x] done\r\n~~~~ md\r\n- [ ] in code\r\n~~~\r\n| a | b |\r\n~~~~\r\n* star\r\n| Date | Decision | Rationale |\r\n|:--|---|--:|\r\n| 2024-01-02 | a\\|b | c |\r\n| short | |\r\n\r\n| no | table | here |\r\n## Last ##\r\n---\r\nprose | with bar\r\n"
+    texts = spark.createDataFrame([("f", text), ("open", "```\n- [ ] never closed"), ("null", None), ("empty", "")], "file string, text string")
+    rows = markdown.blocks(texts).cache()
+    got = [(r.kind, r.section, r.text) for r in rows.where("file = 'f'").orderBy("pos").collect()]
+    assert got == [
+        ("front", None, "title: x"), ("heading", None, "Top"), ("bullet", None, "loose"), ("heading", "Under", "Under"), ("item", "Under", "done"), ("code", "Under", "- [ ] in code"), ("code", "Under", "~~~"),
+        ("code", "Under", "| a | b |"), ("bullet", "Under", "star"), ("header", "Under", "| Date | Decision | Rationale |"), ("row", "Under", "| 2024-01-02 | a\\|b | c |"), ("row", "Under", "| short | |"),
+        ("text", "Under", "| no | table | here |"), ("heading", "Last", "Last"), ("text", "Last", "prose | with bar"),
+    ]
+    assert {r.file for r in rows.collect()} == {"f", "open"} and rows.where("file = 'open'").first().kind == "code"
+    made = markdown.block_table(rows, ["decision", "date"]).orderBy("pos").collect()
+    assert [(r.decision, r.date) for r in made] == [("a|b", "2024-01-02"), ("", "short")]
+    # over plain files, line-based readers agree
+    plain = spark.createDataFrame([("p", PROGRESS), ("d", DECISIONS), ("g", GOALS), ("c", "## A\n```\n- [x] code\n## B\n| x | y | z |\n|---|---|---|\n| 2024-01-01 | code | |\n```\n- [ ] real\n- plain\n| Date | Decision | Rationale |\n|---|---|---|\n| 2024-01-01 | x \\| y | |\n")], "file string, text string")
+    lines = plain.select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    one = markdown.blocks(plain)
+    assert same(markdown.checklist(lines), markdown.block_items(one)) and same(markdown.bullets(lines), markdown.block_bullets(one))
+    table = markdown.block_table(one, ["date", "decision", "rationale"]).withColumn("date", F.col("date").try_cast("date"))
+    assert same(markdown.decisions(lines), table) and {r.decision for r in markdown.decisions(lines).collect()} == {"use one index", "open", "x | y"}
+
+
+def test_links_from_their_folder(spark):
+    texts = spark.createDataFrame([
+        ("docs/a.md", "[1](sub/b.md) [2](./sub/b.md#p) [3](../r.md \"t\") [4](<sub/b.md>) [5](sub/../a.md?x) [6](/root.md) [7](mailto:x@y) [8](sub%2Fb.md)\n[9](b.md) [10](../../out.md)"), ("docs/sub/b.md", "[1](../a.md)"), ("r.md", None),
+    ], "file string, text string")
+    assert {(r.file, r.message) for r in flows.coherence_findings(texts).collect()} == {("docs/a.md", "docs/b.md"), ("docs/a.md", "../out.md")}
+    urls = texts.withColumn("file", F.concat(F.lit("file:///base/"), "file"))
+    assert {r.message for r in flows.coherence_findings(urls).collect()} == {"file:///base/docs/b.md", "file:///out.md"}
+
+
+def test_front_matter_found(spark):
+    texts = spark.createDataFrame([("a", "---\ntags: [x]\nowners: me\n---\n"), ("b", "---\r\ntitle: T\r\nversion: 1\r\n---\r\nbody"), ("c", "none"), ("d", None), ("e", "---\n---\n"), ("f", "---\n: bad: [\n---\n")], "file string, text string")
+    assert {r.file: (r.found, r.title, r.tags) for r in markdown.front_matter(texts).collect()} == {"a": (True, None, ["x"]), "b": (True, "T", None), "c": (False, None, None), "d": (False, None, None), "e": (True, None, None), "f": (False, None, None)}
+    assert {(r.file, r.message) for r in flows.schema_findings(texts, ["tags", "title"]).collect()} == {("a", "title"), ("b", "tags"), ("c", "no front matter"), ("d", "no front matter"), ("e", "tags"), ("e", "title"), ("f", "no front matter")}
+
+
+def test_moves_listed_twice_and_at_odds(spark):
+    moves = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "c"), ("x", "z"), ("x", "y"), ("q", "q"), (None, "n"), ("n", None)] + [(f"m{i}", f"m{i + 1}") for i in range(40)], "old_path string, new_path string")
+    got = {r.old_path: r.new_path for r in compare.followed(moves).collect()}
+    assert got == {"a": "c", "b": "c", "x": "y", **{f"m{i}": "m40" for i in range(40)}}
+    refs = spark.createDataFrame([("a",), ("x",), ("x",), ("none",), (None,)], "path string")
+    assert sorted(map(str, (r.path for r in compare.rewritten(refs, moves).collect()))) == ["None", "b", "none", "y", "y"]
+    assert [tuple(r) for r in compare.move_conflicts(moves).collect()] == [("x", ["y", "z"])]
+
+
+def test_manifest_forms(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"edit_id": "e1", "files": [{"path": "a", "sha256": "1"}, {"path": "b", "sha256": "2"}]}, indent=2))
+    (tmp_path / "many.json").write_text('{"edit_id": "e2", "files": [{"path": "c", "sha256": "3"}]}\n{"edit_id": "e3", "files": [{"path": "d", "sha256": "4"}]}\n')
+    (tmp_path / "single.json").write_text('{"edit_id": "e4", "files": [{"path": "e", "sha256": "5"}, {"path": "f", "sha256": "6"}]}')
+    got = {tuple(r) for r in ledger.read_manifest(spark, str(tmp_path)).collect()}
+    assert got == {("e1", "a", "1"), ("e1", "b", "2"), ("e2", "c", "3"), ("e3", "d", "4"), ("e4", "e", "5"), ("e4", "f", "6")}
+
+
+def test_reach_of_seeds(spark):
+    from tidemill.operators import reach
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(2000)] + [(5000, 5000 + i) for i in range(1, 3000)] + [(8100, 8101), (8101, 8102), (8102, 8100), (8100, 8101), (None, 1), (1, None)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (1500,), (5000,), (8100,), (99,), (99,), (None,), (7777,)], "src long")
+    got = {(r.src, r.dst): r.hops for r in reach.reach_from(edges, seeds).collect()}
+    want = {(s, d): d - s for s in (0, 1500, 99) for d in range(s + 1, 2001)} | {(5000, 5000 + i): 1 for i in range(1, 3000)} | {(8100, 8101): 1, (8100, 8102): 2, (8100, 8100): 3}
+    assert got == want
+    import random
+
+    rng = random.Random(1)
+    some = spark.createDataFrame([(rng.randint(0, 30), rng.randint(0, 30)) for _ in range(45)], "src long, dst long")
+    inside, joined = (sorted(map(tuple, reach.reach_from(some, some.select("src").limit(20), held=h).collect())) for h in (1000, 3))
+    assert inside == joined and inside
+    near = reach.reach_from(some, some.select("src"), most_hops=2)
+    assert {r.hops for r in near.collect()} <= {1, 2} and near.count() == reach.reach_from(some, some.select("src"), most_hops=2, held=3).count()
+
+
+def test_dependencies_and_roles(spark):
+    assets = spark.createDataFrame([("a", ["x", "x", None], ["r1", "r2"]), ("b", ["x", "y"], ["r2"]), ("c", None, None), ("d", [], [])], "path string, depends_on array<string>, roles array<string>")
+    assert sorted(tuple(r) for r in compare.consumers(assets).collect()) == [("x", "a"), ("x", "b"), ("y", "b")]
+    assert {r.path for r in compare.with_roles(assets, ["r1", "r2"]).collect()} == {"a", "b"} and {r.path for r in compare.with_roles(assets, ["r1", "r2"], every=True).collect()} == {"a"}
+
+
+def test_caps_limit_groups_early(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).cast("string").alias("s"), F.col("id").alias("pos"))
+    got = latest.capped(rows, {"0": 5, "1": 2}, "s", "pos")
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
+    assert sorted((r.s, r.pos) for r in got.collect()) == [("0", 0), ("0", 2), ("0", 4), ("0", 6), ("0", 8), ("1", 1), ("1", 3)]

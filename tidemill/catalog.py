@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill import record_queries, time_queries, update_queries
+from tidemill import file_queries, record_queries, time_queries, update_queries
 from tidemill.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "record_queries", "time_queries", "update_queries"]
+__all__ = ["ORACLES", "QUERIES", "file_queries", "record_queries", "time_queries", "update_queries"]

@@ -35,6 +35,15 @@ def tier(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)(^|[/_.-])(archive[sd]?|old|legacy|historical|deprecated)([/_.-]|$)"), "historical").otherwise("canonical")
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """A relative path as seen from the file base, without '.' and '..'; percent signs are decoded. One that leads above the top keeps its '..'."""
+    step = lambda at, x: F.when(x.isin(".", ""), at).when((x == "..") & (F.size(at) > 0) & (F.element_at(F.concat(F.array(F.lit("")), at), -1) != ".."), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(x)))
+    folder = F.split(base, "/")
+    folder = F.slice(folder, 1, F.size(folder) - 1)
+    path = F.coalesce(F.try_url_decode(F.regexp_replace(target, r"\+", "%2B")), target)
+    return F.array_join(F.aggregate(F.split(path, "/"), folder, step), "/")
+
+
 def to_deprecate(stage: Column, consumers: Column) -> Column:
     """Whether an asset is a candidate to deprecate: past its scaffold stage it has no consumer."""
     return (F.coalesce(F.size(consumers), F.lit(0)) <= 0) & (stage != "scaffold")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import cut
+
 
 def overridden(base: DataFrame, over: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Base rows with the value of the override where there is one; `tier` says which."""
@@ -23,22 +25,35 @@ def difference(before: DataFrame, after: DataFrame, key: str, value: str | None
     return out.select(key, "change", *([F.col("_bv").alias("before"), F.col("_av").alias("after")] if value else []))
 
 
+def move_conflicts(moves: DataFrame) -> DataFrame:
+    """(old_path, targets): paths that a move manifest (old_path, new_path) moves to more than one place."""
+    return moves.where("old_path is not null and new_path is not null").groupBy("old_path").agg(F.array_sort(F.collect_set("new_path")).alias("targets")).where("size(targets) > 1")
+
+
 def followed(moves: DataFrame) -> DataFrame:
-    """A move manifest (old_path, new_path) with chains of moves followed to their ends; a round doubles how far. Moves in a circle end somewhere in it."""
-    now, before = moves.select("old_path", "new_path"), None
+    """A move manifest (old_path, new_path), one row a path, with chains of moves followed to their ends. Moves in a circle end somewhere in it.
+
+    A move listed several times counts once; of several targets of one path the least counts (see move_conflicts); nulls and moves to the same
+    place go. Each round doubles how far every chain is followed and is cut, so plans don't grow.
+    """
+    one = moves.where("old_path is not null and new_path is not null and old_path <> new_path")
+    now, before = cut(one.groupBy("old_path").agg(F.min("new_path").alias("new_path"))), None
     while True:
         ahead = now.select(F.col("old_path").alias("new_path"), F.col("new_path").alias("_next"))
-        step = now.join(ahead, "new_path", "left").where("_next is not null and _next <> new_path")
-        n = step.count()
+        step = cut(now.join(ahead, "new_path", "left").select("old_path", "new_path", F.when(F.col("_next") != F.col("new_path"), F.col("_next")).alias("_next")))
+        n = step.where("_next is not null").count()
         if n == 0 or n == before:  # only circles are left
             return now
-        now = now.join(ahead, "new_path", "left").select("old_path", F.coalesce("_next", "new_path").alias("new_path"))
-        before = n
+        now, before = step.select("old_path", F.coalesce("_next", "new_path").alias("new_path")), n
 
 
 def rewritten(refs: DataFrame, moves: DataFrame, path: str = "path") -> DataFrame:
-    """References with paths as the move manifest (old_path, new_path) has them; a path without a move stays. See followed() for chains."""
-    return refs.join(moves, refs[path] == moves["old_path"], "left").withColumn(path, F.coalesce("new_path", F.col(path))).drop("old_path", "new_path")
+    """References with paths as the move manifest (old_path, new_path) has them, as many rows as before; a path without a move stays.
+
+    Of several targets of one path the least counts. See followed() for chains.
+    """
+    one = moves.groupBy(F.col("old_path").alias("_old")).agg(F.min("new_path").alias("_new"))
+    return refs.join(one, refs[path] == one["_old"], "left").withColumn(path, F.coalesce("_new", F.col(path))).drop("_old", "_new")
 
 
 def verified(found: DataFrame, manifest: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
@@ -63,26 +78,13 @@ def present(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     return expected.join(found.select(*on), on, "left_semi")
 
 
-def reachable(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str = "dst", most_hops: int | None = None) -> DataFrame:
-    """(src, dst, hops): everything that each node reaches, with the least number of hops; cycles end. Only a given most_hops bounds the hops.
+def consumers(assets: DataFrame, path: str = "path", depends_on: str = "depends_on") -> DataFrame:
+    """(asset, consumer): who depends on what, from each asset's array of dependencies, which may repeat or be null."""
+    return assets.select(F.explode(F.array_distinct(depends_on)).alias("asset"), F.col(path).alias("consumer")).where("asset is not null")
 
-    One join a hop over the newly found pairs, which go to the checkpoint folder once.
-    """
-    now = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    step = now
-    found = now.withColumn("hops", F.lit(1))
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
-    hops = 1
-    while most_hops is None or hops < most_hops:
-        hops += 1
-        nxt = step.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
-        step = nxt.join(found.select("src", "dst"), ["src", "dst"], "left_anti").checkpoint()
-        if step.isEmpty():
-            break
-        found = found.unionByName(step.withColumn("hops", F.lit(hops)))
-    return found
+
+def with_roles(assets: DataFrame, roles: list[str], every: bool = False, column: str = "roles") -> DataFrame:
+    """Assets whose array of role tags holds any of the roles, or all; matched lists which."""
+    wanted = F.array(*(F.lit(r) for r in dict.fromkeys(roles)))
+    found = assets.withColumn("matched", F.array_intersect(column, wanted))
+    return found.where(F.size("matched") >= (len(set(roles)) if every else 1))

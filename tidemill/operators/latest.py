@@ -42,9 +42,10 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def capped(df: DataFrame, caps: dict[str, int], section: str, position: str) -> DataFrame:
-    """The first rows of each section by position, as many as its cap; sections without a cap go."""
+    """The first rows of each section by position, as many as its cap; sections without a cap go. The largest cap limits groups before the shuffle."""
     cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))[F.col(section)]
-    return _ranked(df.where(F.col(section).isin(*caps)), [section], [F.asc(position)]).where(F.col("_rank") <= cap).drop("_rank")
+    most = _ranked(df.where(F.col(section).isin(*caps)), [section], [F.asc(position)]).where(F.col("_rank") <= max(caps.values()))
+    return most.where(F.col("_rank") <= cap).drop("_rank")
 
 
 def first_and_last(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:

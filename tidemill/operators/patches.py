@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from tidemill.operators.batches import flat_map
 from tidemill.session import cut
 
 NO_NEWLINE = "\\ No newline at end of file"
@@ -94,15 +95,10 @@ def parsed(patch: str | None) -> Iterator[tuple]:
         yield row(hunk)
 
 
-@F.udtf(returnType=HUNK, useArrow=True)
-class _Parse:
-    def eval(self, patch: str):
-        yield from parsed(patch)
-
-
 def hunks(patches: DataFrame) -> DataFrame:
     """(edit_id, columns of HUNK): the hunks of patches (edit_id, patch), in order within each path."""
-    return patches.lateralJoin(_Parse(F.col("patch").outer())).drop("patch")
+    rows = patches.select("edit_id", "patch")
+    return flat_map(rows, lambda edit_id, patch: ((edit_id, *h) for h in parsed(patch)), f"edit_id {rows.schema['edit_id'].dataType.simpleString()}, {HUNK}")
 
 
 def reversed_hunks(rows: DataFrame) -> DataFrame:

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.functions.text import leftover_level, style
+from tidemill.functions.text import leftover_level, resolved, style
 from tidemill.operators import compare, latest, rollup
 from tidemill.sources import markdown
 
 FINDING = "file string, check string, level string, message string"
-_SCALARS = ["title", "status", "version", "summary", "updated", "legacy_source"]
 #: Most entries shown of each list.
 CAPS = {"goals": 5, "doing": 5, "next": 5, "decisions": 3, "causes": 5}
 
@@ -34,17 +33,27 @@ def findings(texts: DataFrame, required: DataFrame, headings: DataFrame, limit:
 
 def schema_findings(texts: DataFrame, fields: list[str]) -> DataFrame:
     """The schema family: front matter fields that a file with front matter lacks, and files without any."""
-    meta = markdown.front_matter(texts).withColumn("bare", F.coalesce(*(F.col(f).cast("string") for f in _SCALARS)).isNull())
+    meta = markdown.front_matter(texts)
     lacking = F.filter(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
-    rows = meta.select("file", F.explode(F.when(F.col("bare"), F.array(F.lit("no front matter"))).otherwise(lacking)).alias("what"))
+    rows = meta.select("file", F.explode(F.when(F.col("found"), lacking).otherwise(F.array(F.lit("no front matter")))).alias("what"))
     return _found(rows, "schema", F.lit("WARN"), F.col("what"))
 
 
 def coherence_findings(texts: DataFrame) -> DataFrame:
-    """The coherence family (as read here): relative links '[..](path)' to files that aren't among the texts."""
-    links = texts.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"\]\((?![a-z]+:|#)([^)#\s]+)"), 1)).alias("target")).distinct()
+    """The coherence family (as read here): relative links '[..](path)' that lead, from their file's folder, to no file among the texts.
+
+    The message is the path that was looked for. Links within a file, with a scheme or from the root aren't looked at; an anchor, a query or a title after the path is left out.
+    """
+    form = r"\]\(\s*<?(?![A-Za-z][A-Za-z0-9+.-]*:|[#/?])([^)#?\s>]+)"
+    links = texts.select("file", F.explode(F.regexp_extract_all("text", F.lit(form), 1)).alias("link")).distinct()
+    targets = links.select("file", resolved(F.col("file"), F.col("link")).alias("target")).distinct()
     known = texts.select(F.col("file").alias("target"))
-    return _found(compare.missing(links, known, ["target"]), "coherence", F.lit("WARN"), F.col("target"))
+    return _found(compare.missing(targets, known, ["target"]), "coherence", F.lit("WARN"), F.col("target"))
+
+
+def all_findings(texts: DataFrame, required: DataFrame, headings: DataFrame, fields: list[str], limit: int = 120, strict: bool = False) -> DataFrame:
+    """All five check families: files, headers, schema, style (and leftovers), coherence."""
+    return findings(texts, required, headings, limit, strict).unionByName(schema_findings(texts, fields)).unionByName(coherence_findings(texts))
 
 
 def validation(findings_: DataFrame, n_files: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
-from tidemill.operators import compare, latest, rollup
+from tidemill.operators import compare, latest, reach, rollup
 from tidemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,7 +187,7 @@ def dependency_reach(spark, sf):
     region, nation, supplier = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
     a = region.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
     b = nation.join(supplier, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("src"), F.concat(F.lit("s"), (F.col("s_suppkey") % 5).cast("string")).alias("dst"))
-    return compare.reachable(spark, a.unionByName(b).distinct()).select("src", "dst")
+    return reach.reachable(spark, a.unionByName(b).distinct()).select("src", "dst")
 
 
 @query("select sha256(text) as digest, count(*) as n, min(doc_id) as first from documents group by 1 having count(*) > 1")

@@ -26,7 +26,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(entries: DataFrame, path: str) -> None:
-    """Adds entries as JSON lines. Spark's commit makes them visible as a whole; it promises no fsync."""
+    """Adds entries as JSON lines. Spark's commit makes them visible as a whole; it promises no fsync, which sources.ledger_source does."""
     entries.coalesce(1).write.mode("append").json(path)
 
 
@@ -63,8 +63,13 @@ def read_results(lines: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(edit_id, path, sha256) of backup manifests: JSON lines with edit_id and files of path and sha256."""
-    rows = spark.read.schema("edit_id string, files array<struct<path: string, sha256: string>>").json(path)
+    """(edit_id, path, sha256) of backup manifests, objects with edit_id and files of path and sha256: a file is one object, over any lines, or JSON lines."""
+    form = "edit_id string, files array<struct<path: string, sha256: string>>"
+    whole = spark.read.text(path, wholetext=True)
+    one = F.from_json("value", form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    many = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, form))
+    single = F.size(F.split(F.regexp_replace("value", r"(?s)\}\s*\n\s*\{.*", "}\n{"), r"\}\n\{")) == 1
+    rows = whole.select(F.explode(F.when(single, F.array(one)).otherwise(many)).alias("r")).select("r.*")
     return rows.select("edit_id", F.explode("files").alias("f")).select("edit_id", "f.*")
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.operators.batches import flat_map
+
 FRONT_MATTER = "title string, audience array<string>, owners array<string>, status string, version string, updated date, summary string, tags array<string>, legacy_source string"
+_FIELDS = f"{FRONT_MATTER}, found boolean"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -25,33 +31,40 @@ def placeholder(text: Column) -> Column:
 
 
 def sectioned(lines: DataFrame) -> DataFrame:
-    """Lines with the second-level (or deeper) heading that they stand under; null before the first."""
-    heading = F.nullif(F.regexp_extract("line", r"^#{2,6}\s+(.*?)\s*$", 1), F.lit(""))
+    """Lines with the second-level (or deeper) heading that they stand under (null before the first), and whether they are code between fences.
+
+    A line of three or more backticks or tildes opens or ends code; see blocks() for fences within fences.
+    """
     above = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("heading", heading).withColumn("section", F.last("heading", ignorenulls=True).over(above))
+    fence = F.col("line").rlike(r"^ {0,3}(```|~~~)")
+    marked = lines.withColumn("_fence", fence).withColumn("_fences", F.count_if("_fence").over(above))
+    marked = marked.withColumn("code", F.col("_fence") | (F.col("_fences") % 2 == 1)).drop("_fence", "_fences")
+    heading = F.when(~F.col("code"), F.nullif(F.regexp_extract("line", r"^#{2,6}\s+(.*?)\s*$", 1), F.lit("")))
+    return marked.withColumn("heading", heading).withColumn("section", F.last("heading", ignorenulls=True).over(above))
 
 
 def checklist(lines: DataFrame) -> DataFrame:
-    """(file, section, pos, checked, text, is_placeholder) of '- [x]' and '- [ ]' items."""
+    """(file, section, pos, checked, text, is_placeholder) of '- [x]' and '- [ ]' items outside code."""
     item = r"^\s*[-*]\s+\[([ xX])\]\s*(.*?)\s*$"
-    out = sectioned(lines).where(F.col("line").rlike(item)).select("file", "section", "pos", (F.lower(F.regexp_extract("line", item, 1)) == "x").alias("checked"), F.regexp_extract("line", item, 2).alias("text"))
+    out = sectioned(lines).where(F.col("line").rlike(item) & ~F.col("code")).select("file", "section", "pos", (F.lower(F.regexp_extract("line", item, 1)) == "x").alias("checked"), F.regexp_extract("line", item, 2).alias("text"))
     return out.withColumn("is_placeholder", placeholder(F.col("text")))
 
 
 def bullets(lines: DataFrame) -> DataFrame:
-    """(file, section, pos, text, is_placeholder) of plain bullets under headings; those above any heading have a null section."""
+    """(file, section, pos, text, is_placeholder) of plain bullets under headings, outside code; those above any heading have a null section."""
     item = r"^\s*[-*]\s+(?!\[[ xX]\])(.*?)\s*$"
-    out = sectioned(lines).where(F.col("line").rlike(item)).select("file", "section", "pos", F.regexp_extract("line", item, 1).alias("text"))
+    out = sectioned(lines).where(F.col("line").rlike(item) & ~F.col("code")).select("file", "section", "pos", F.regexp_extract("line", item, 1).alias("text"))
     return out.withColumn("is_placeholder", placeholder(F.col("text")))
 
 
 def pipe_rows(lines: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of pipe tables that have as many cells as columns, without header and rule rows. A row's header is the row before a rule."""
+    """Rows of pipe tables outside code that have as many cells as columns, without header and rule rows. A row's header is the row before a rule; '\\|' is a bar within a cell."""
     rule = F.col("line").rlike(r"^\s*\|?(\s*:?-{3,}:?\s*\|)+\s*(:?-{3,}:?)?\s*$")
     near = Window.partitionBy("file").orderBy("pos")
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    rows = lines.withColumn("_rule", rule).withColumn("_header", F.coalesce(F.lead("_rule").over(near), F.lit(False)))
-    rows = rows.where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("_rule") & ~F.col("_header")).withColumn("_cells", cells).where(F.size("_cells") == len(columns))
+    inner = F.regexp_replace(F.trim("line"), r"^\||(?<!\\)\|$", "")
+    cells = F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.regexp_replace(F.trim(c), r"\\\|", "|"))
+    rows = sectioned(lines).withColumn("_rule", rule & ~F.col("code")).withColumn("_header", F.coalesce(F.lead("_rule").over(near), F.lit(False)))
+    rows = rows.where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("_rule") & ~F.col("_header") & ~F.col("code")).withColumn("_cells", cells).where(F.size("_cells") == len(columns))
     return rows.select("file", "pos", *(F.col("_cells")[i].alias(c) for i, c in enumerate(columns)))
 
 
@@ -76,15 +89,16 @@ def parse_front_matter(text: str | None) -> dict | None:
     """The YAML block at a text's start as a dict, or None."""
     import yaml
 
-    if not text or not text.startswith("---\n") or "\n---" not in text[3:]:
+    text = (text or "").replace("\r\n", "\n")
+    if not text.startswith("---\n") or "\n---" not in text[3:]:
         return None
     try:
-        found = yaml.safe_load(text[4 : text.index("\n---", 3)])
+        found = yaml.safe_load(text[4 : max(4, text.index("\n---", 3))]) or {}
     except yaml.YAMLError:
         return None
     if not isinstance(found, dict):
         return None
-    out = {}
+    out: dict = {"found": True}
     for field in ("audience", "owners", "tags"):
         x = found.get(field)
         out[field] = None if x is None else [str(y) for y in (x if isinstance(x, list) else [x])]
@@ -98,13 +112,13 @@ def parse_front_matter(text: str | None) -> dict | None:
 
 
 def front_matter(texts: DataFrame) -> DataFrame:
-    """(file, columns of FRONT_MATTER); null where a file has no such block."""
-    parse = F.udf(parse_front_matter, FRONT_MATTER)
-    return texts.select("file", parse("text").alias("m")).select("file", "m.*")
+    """(file, columns of FRONT_MATTER, found): nulls, and found false, where a file has no such block."""
+    parse = F.udf(parse_front_matter, _FIELDS, useArrow=True)
+    return texts.select("file", parse("text").alias("m")).select("file", "m.*").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def yaml_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An authoritative YAML list of records as rows; one small file, read whole."""
+    """An authoritative YAML list of records as rows, or several such files; a file is small and read whole."""
 
     def parse(text: str) -> list:
         import yaml
@@ -112,7 +126,7 @@ def yaml_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
         found = yaml.safe_load(text) or []
         return found if isinstance(found, list) else [found]
 
-    return read_texts(spark, path).select(F.explode(F.udf(parse, f"array<struct<{schema}>>")("text")).alias("r")).select("r.*")
+    return read_texts(spark, path).select(F.explode(F.udf(parse, f"array<struct<{schema}>>", useArrow=True)("text")).alias("r")).select("r.*")
 
 
 def domain_view(index: DataFrame, column: str, domain: str) -> str:
@@ -134,4 +148,91 @@ def to_yaml(rows: DataFrame) -> DataFrame:
 
         return yaml.safe_dump(json.loads(text), sort_keys=True, allow_unicode=True)
 
-    return rows.select(F.udf(dump, "string")(F.to_json(F.struct(*rows.columns))).alias("value"))
+    return rows.select(F.udf(dump, "string", useArrow=True)(F.to_json(F.struct(*rows.columns))).alias("value"))
+
+
+BLOCK = "pos int, kind string, level int, section string, text string, checked boolean, cells array<string>, header array<string>"
+
+
+def parsed_blocks(text: str | None) -> Iterator[tuple]:
+    """Rows of BLOCK for a text, in one pass over its lines.
+
+    kind: front, heading, item, bullet, header, row, code or text; blank lines, rules and fences give none. A fence is ended by one of the
+    same character that is at least as long. A heading may be underlined. A table begins with a header over a rule and ends with a line without
+    bars. section is the nearest heading above of level 2 to 6.
+    """
+    lines = re.split("\r?\n", text or "")
+    fence, section, header, i = None, None, None, 0
+    if lines[0] == "---" and "---" in lines[1:]:
+        end = lines.index("---", 1)
+        yield from ((p, "front", None, None, lines[p], None, None, None) for p in range(1, end))
+        i = end + 1
+    while i < len(lines):
+        line, pos = lines[i], i
+        after = lines[i + 1] if i + 1 < len(lines) else ""
+        i += 1
+        mark = re.match(r" {0,3}(`{3,}|~{3,})(.*)$", line)
+        if fence:
+            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
+                fence = None
+            else:
+                yield pos, "code", None, section, line, None, None, None
+            continue
+        if mark:
+            fence, header = mark[1], None
+            continue
+        if header and "|" not in line:
+            header = None
+        if header:
+            yield pos, "row", None, section, line, None, _cells(line), header
+        elif "|" in line and "-" in after and _RULE.match(after):
+            header = _cells(line)
+            yield pos, "header", None, section, line, None, header, None
+            i += 1
+        elif found := re.match(r"(#{1,6})\s+(.*?)(?:\s+#+)?\s*$", line):
+            level = len(found[1])
+            section = found[2] if level > 1 else section
+            yield pos, "heading", level, section, found[2], None, None, None
+        elif found := re.match(r"\s*[-*]\s+\[([ xX])\]\s*(.*?)\s*$", line):
+            yield pos, "item", None, section, found[2], found[1] in "xX", None, None
+        elif found := re.match(r"\s*[-*]\s+(.*?)\s*$", line):
+            if found[1].strip("-* "):
+                yield pos, "bullet", None, section, found[1], None, None, None
+        elif line.strip():
+            if re.match(r" {0,3}(=+|-+)\s*$", after) and not re.match(r" {0,3}([-*_]\s*){3,}$", line):
+                level = 1 if "=" in after else 2
+                section = line.strip() if level > 1 else section
+                yield pos, "heading", level, section, line.strip(), None, None, None
+                i += 1
+            elif not re.match(r" {0,3}([-*_]\s*){3,}$", line):
+                yield pos, "text", None, section, line, None, None, None
+
+
+_RULE = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+
+
+def _cells(line: str) -> list[str]:
+    inner = re.sub(r"^\||(?<!\\)\|$", "", line.strip())
+    return [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", inner)]
+
+
+def blocks(texts: DataFrame) -> DataFrame:
+    """(file, columns of BLOCK) of texts (file, text): every kind of record from one pass, without a shuffle; a null text has none."""
+    return flat_map(texts.select("file", "text"), lambda file, text: ((file, *b) for b in parsed_blocks(text)), f"file string, {BLOCK}")
+
+
+def block_items(rows: DataFrame) -> DataFrame:
+    """checklist() from blocks."""
+    return rows.where("kind = 'item'").select("file", "section", "pos", "checked", "text", placeholder(F.col("text")).alias("is_placeholder"))
+
+
+def block_bullets(rows: DataFrame) -> DataFrame:
+    """bullets() from blocks."""
+    return rows.where("kind = 'bullet'").select("file", "section", "pos", "text", placeholder(F.col("text")).alias("is_placeholder"))
+
+
+def block_table(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(file, pos, columns): rows of the tables whose header names those columns, in any case and order; a row that is short has nulls at its end."""
+    at = lambda c: F.array_position(F.transform("header", lambda h: F.lower(h)), c.lower()).cast("int")
+    mine = rows.where("kind = 'row'").where(F.least(*(at(c) for c in columns), F.lit(1)) > 0)
+    return mine.select("file", "pos", *(F.get("cells", at(c) - 1).alias(c) for c in columns))
