@@ -1,16 +1,13 @@
 """Mixing sources to target weights, by fixed-length blocks and pseudorandom permutations.
 
-Each source's words lie on one line in doc_id order, cut into blocks of
-``BLOCK`` words. A source's target words become slots: whole passes over its
-blocks, then part of one more, whose last slot is cut so that the words are exactly
-the target. Output shards of equal size draw how many slots each source fills
-from a multinomial over what the sources still have to give, and a source's
-n-th slot is mapped through its permutation of that pass to a block (a Feistel
-network with cycle walking, keyed by seed, source and pass: nothing is
-stored). Slots are joined with the documents' blocks by index.
-
-Only sums by source and the shards' counts are on the driver: as many
-numbers as there are sources, and at most MAX_SHARDS times that.
+Each source's words lie on one line in doc_id order, cut into blocks of BLOCK words. The mix is made of output shards
+of SHARD_SLOTS slots, a block each. Every shard draws from a multinomial how many of its slots each source fills; the odds are
+those that give each source its target on average, so a source's words differ from its target by the draw's error, about the root of
+BLOCK * target words. A source's n-th slot, counted over shards, is mapped through its permutation of pass n div blocks to a block (a
+Feistel network with cycle walking, keyed by seed, source and pass: nothing is stored), so a pass takes every block once before the
+next begins; slots beyond `most` passes stay empty. Slots are joined with the documents' blocks by index.
+
+Shards draw in tasks, each from a seed of its own. Only sums by source are on the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +24,11 @@ from pyspark.sql.window import Window
 
 from tidemill.llm.common import SPACES, WORD_RE, discard, exact, fresh, map_rows, parts_for, staged
 
-WEIGHTS, TOTAL, MOST, BLOCK, SHARD_SLOTS, MAX_SHARDS, SEED = (5, 2, 1), 1.5, 2, 256, 4096, 10_000, 17
+WEIGHTS, TOTAL, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 1.5, 2, 32, 4096, 17
+#: Shards whose draws are summed before the sums of such groups are.
+GROUP = 1024
+#: Words of a block where the mix is made of documents again.
+DOCUMENT_BLOCK = 256
 
 
 def targets(sizes: list[int], weights: list[float], total: float = TOTAL, most: float = MOST) -> list[float]:
@@ -75,51 +76,32 @@ def pass_key(seed: int, source: str, epoch: int) -> int:
 
 
 @dataclass
-class Quota:
-    """A source's slots: passes whole over n_blocks blocks, then part of one; the last slot gives last words."""
+class Odds:
+    """A source's blocks (the last has tail words) and the slots that give its target on average."""
 
     source: str
     n_blocks: int
     tail: int
-    slots: int
-    last: int
-
-
-def quota(source: str, size: int, target: float, block: int, seed: int) -> Quota:
-    """Slots whose words sum to the target, rounded down."""
-    n, want = -(-size // block), int(target)
-    if not n or not want:
-        return Quota(source, n, 0, 0, 0)
-    tail = size - (n - 1) * block
-    passes, rest = divmod(want, size)
-    if not rest:
-        return Quota(source, n, tail, passes * n, 0)
-    slots, short, key = -(-rest // block), block - tail, pass_key(seed, source, passes)
-    place = int(permuted(np.array([n - 1]), n, key, back=True)[0])  # of the short block
-    if place < slots and slots * block - short < rest:
-        slots += 1
-    before = (slots - 1) * block - (short if place < slots - 1 else 0)
-    return Quota(source, n, tail, passes * n + slots, rest - before)
-
-
-def shard_counts(quotas: list[int], seed: int, shard_slots: int = SHARD_SLOTS) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): each shard draws a multinomial over what is left, until all is given."""
-    left = np.array(quotas, np.int64)
-    given = np.zeros_like(left)
-    shard_slots = max(shard_slots, -(-int(left.sum()) // MAX_SHARDS))
-    rng, out, shard = np.random.default_rng(seed), [], 0
-    while left.sum():
-        need, got = min(shard_slots, int(left.sum())), np.zeros_like(left)
-        while need:
-            rest = left - got
-            draw = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-            got += draw
-            need -= int(draw.sum())
-        out += [(shard, int(s), int(given[s]), int(got[s])) for s in np.flatnonzero(got)]
-        given += got
-        left -= got
-        shard += 1
-    return out
+    slots: float
+
+
+def odds(source: str, size: int, target: float, block: int) -> Odds:
+    n = -(-size // block)
+    return Odds(source, n, size - (n - 1) * block if n else 0, target * n / size if size else 0.0)
+
+
+def _draws(expected: list[float], keys: list[str], shard_slots: int, seed: int):
+    """Each shard's draw: how many of its slots each source fills."""
+    total = round(sum(expected))
+    share = np.array(expected) / max(sum(expected), 1e-300)
+
+    def rows(shards: Iterable[tuple]) -> Iterator[tuple]:
+        for (shard,) in shards:
+            drawn = np.random.default_rng([seed, shard]).multinomial(min(shard_slots, total - shard * shard_slots), share)
+            for s in np.flatnonzero(drawn).tolist():
+                yield shard, keys[s], int(drawn[s])
+
+    return rows
 
 
 def _running():
@@ -136,15 +118,13 @@ def _running():
 
 def _slots(block: int, seed: int):
     def rows(shards: Iterable[tuple]) -> Iterator[tuple]:
-        for shard, key, first, count, n, tail, slots, last in shards:
+        for shard, key, first, count, n, tail in shards:
             at = np.arange(first, first + count)
             epochs, places = at // n, at % n
             for epoch in np.unique(epochs):
                 mine = epochs == epoch
                 blocks = permuted(places[mine], n, pass_key(seed, key, int(epoch)))
                 words = np.where(blocks == n - 1, tail, block)
-                if last:
-                    words = np.where(at[mine] == slots - 1, last, words)
                 for s, b, w in zip(at[mine].tolist(), blocks.tolist(), words.tolist()):
                     yield shard, s, key, b, int(epoch), w
 
@@ -153,7 +133,7 @@ def _slots(block: int, seed: int):
 
 @dataclass
 class Mix:
-    """slots: shard, slot, source_key, block, epoch, words. spans: rid, epoch, from_word, to_word drawn. sources: source_key, source_size, target. lines: rid, source_key, size, start. running: the staged table behind spans and lines."""
+    """slots: shard, slot, source_key, block, epoch, words. spans: rid, shard, epoch, from_word, to_word drawn. sources: source_key, source_size, target. lines: rid, source_key, size, start. running: the staged table behind spans and lines."""
 
     slots: DataFrame
     spans: DataFrame
@@ -173,7 +153,7 @@ def n_words(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> Mix:
+def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> Mix:
     """Draw a mix of rows (rid long and unique, source_key string, doc_id long, size long).
 
     Words of a source lie in doc_id order (ties by rid). Sources of no words give nothing. No row is
@@ -187,22 +167,29 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     found = sorted((r["source_key"], int(r["words"])) for r in by_part.groupBy("source_key").agg(F.sum("words").alias("words")).collect())
     keys, sizes = [k for k, _ in found], [n for _, n in found]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(keys))], total, most)
-    quotas = [quota(k, n, t, block, seed) for k, n, t in zip(keys, sizes, wanted)]
-    sources = spark.createDataFrame(list(zip(keys, sizes, wanted)), "source_key string, source_size long, target double")
-    shards = [(shard, keys[s], first, n, quotas[s].n_blocks, quotas[s].tail, quotas[s].slots, quotas[s].last) for shard, s, first, n in shard_counts([q.slots for q in quotas], seed)]
-    shard_rows = spark.createDataFrame(shards, "shard long, source_key string, first long, n long, n_blocks long, tail long, slots long, last long")
-    slots = map_rows(shard_rows.repartition(min(len(shards), parts_for(rows)) or 1, "shard", "source_key"), _slots, "shard long, slot long, source_key string, block long, epoch int, words long", block, seed)
+    each = [odds(k, n, t, block) for k, n, t in zip(keys, sizes, wanted)]
+    sources = spark.createDataFrame([(k, n, t, o.n_blocks, o.tail) for k, n, t, o in zip(keys, sizes, wanted, each)], "source_key string, source_size long, target double, n_blocks long, tail long")
+    shards = -(-round(sum(o.slots for o in each)) // shard_slots)
+    drawn = map_rows(spark.range(shards), _draws, "shard long, source_key string, n long", [o.slots for o in each], keys, shard_slots, seed)
+    drawn = staged(drawn.withColumn("group", F.floor(F.col("shard") / GROUP)), "mix-shards")
+    by_group = drawn.groupBy("source_key", "group").agg(F.sum("n").alias("all"))
+    before = by_group.select("source_key", "group", (F.sum("all").over(Window.partitionBy("source_key").orderBy("group")) - F.col("all")).alias("base"))
+    own = Window.partitionBy("source_key", "group").orderBy("shard")
+    placed = drawn.withColumn("within", F.sum("n").over(own) - F.col("n")).join(before, ["source_key", "group"]).join(sources, "source_key")
+    placed = placed.withColumn("first", F.col("base") + F.col("within")).withColumn("n", F.least("n", most * F.col("n_blocks") - F.col("first"))).where("n > 0")
+    placed = placed.select("shard", "source_key", "first", "n", "n_blocks", "tail").repartition(max(1, min(shards, parts_for(rows))), "shard", "source_key")
+    slots = map_rows(placed, _slots, "shard long, slot long, source_key string, block long, epoch int, words long", block, seed)
     bases = by_part.withColumn("base", F.sum("words").over(Window.partitionBy("source_key").orderBy("part")) - F.col("words")).drop("words")
     lines = running.join(bases, ["part", "source_key"]).select("rid", "source_key", "size", (F.col("before") + F.col("base")).alias("start"))
     end = F.col("start") + F.col("size")
     cells = lines.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     lo, hi = F.greatest(F.col("start"), F.col("block") * block), F.least(end, F.col("block") * block + F.col("words"))
-    spans = cells.join(slots.select("source_key", "block", "epoch", "words").hint("merge"), ["source_key", "block"]).where(hi > lo).select("rid", "epoch", (lo - F.col("start")).alias("from_word"), (hi - F.col("start")).alias("to_word"))
-    return Mix(slots, spans, sources, lines, running)
+    spans = cells.join(slots.select("source_key", "block", "shard", "epoch", "words").hint("merge"), ["source_key", "block"]).where(hi > lo).select("rid", "shard", "epoch", (lo - F.col("start")).alias("from_word"), (hi - F.col("start")).alias("to_word"))
+    return Mix(slots, spans, sources.select("source_key", "source_size", "target"), lines, running)
 
 
 def mixed_counts(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (its source's) and taken, the words that the mix takes of it.
+    """One row per document: doc_id, size, source_size, target (its source's), taken, the words that the mix takes of it, and the first and last shard that hold some (null: none).
 
     A null text has no words and gives none; documents of a null source are a
     source of their own, last. Repeated rows are documents of their own. An
@@ -211,9 +198,9 @@ def mixed_counts(docs: DataFrame, **how) -> DataFrame:
     docs = exact(docs)
     sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source_key"), n_words().alias("size"), F.monotonically_increasing_id().alias("rid")), "mix-sizes")
     m = mix(sized, **how)
-    taken = m.spans.groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = m.spans.groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     out = sized.join(taken, "rid", "left").join(m.sources, "source_key")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -237,14 +224,18 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(text[starts[a] : ends[b - 1]] for a, b in merged)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents with the columns of docs: a row for each document and pass that drew words of it.
+def mixed_documents(docs: DataFrame, block: int = DOCUMENT_BLOCK, **how) -> DataFrame:
+    """The mix as documents with the columns of docs: a row for each document and pass that drew words of it, whatever shards they went to.
 
-    Its text is what was drawn (the whole text where all was); a column n_chars follows the text.
+    Its text is what was drawn (the whole text where all was); a column n_chars follows the text. Blocks are longer here, so that texts are
+    cut in fewer places. Null and empty texts go; documents of a null source are a source of their own; repeated rows are documents of
+    their own; an empty table gives no rows. Of names that differ only in case the lower-case one counts.
     """
+    names = docs.columns
+    docs = exact(docs)
     rid, spans = fresh(docs, "mix_rid"), fresh(docs, "mix_spans")
     kept = staged(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
-    m = mix(kept.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source_key"), n_words().alias("size"), F.col(rid).alias("rid")), **how)
+    m = mix(kept.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source_key"), n_words().alias("size"), F.col(rid).alias("rid")), block=block, **how)
     drawn = m.spans.groupBy("rid", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias(spans)).select(F.col("rid").alias(rid), spans)
     drawn = staged(drawn, "mix-spans")
     discard(m.running)
@@ -256,4 +247,4 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     out = kept.join(drawn, rid).withColumn("text", cut("text", spans)).drop(rid, spans)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)
