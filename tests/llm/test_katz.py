@@ -5,7 +5,34 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemill.llm.katz import CUTOFF, good_turing, katz_scores, order_one, Stats
+from tidemill.llm.katz import CUTOFF, good_turing, katz_scores
+
+
+def discounts_by_hand(of_counts, least=1):
+    """Katz's ratios over the weighted line through log counts of counts (numpy's own fit), or half a count off."""
+    known = [(r, n) for r, n in enumerate(of_counts, 1) if n]
+    slope = np.polyfit(*np.log(np.array(known, float)).T, 1, w=np.sqrt([n for _, n in known]))[0] if len(known) > 1 else 0
+    out = [0.0] * least
+    for r in range(least, CUTOFF + 1):
+        if slope < -1.02:
+            size = lambda c: c**slope
+            top = (CUTOFF + 1) * size(CUTOFF + 1) / size(1)
+            out.append(((r + 1) * size(r + 1) / (r * size(r)) - top) / (1 - top))
+        else:
+            out.append((r - 0.5) / r)
+    return [*out, 1.0]
+
+
+def test_discounted_counts_rise_with_counts():
+    odd = [[1000, 400, 100, 900, 30, 20], [50_000, 9000, 4000, 2000, 1500, 900], [3, 1, 0, 2, 0, 1], [10, 0, 0, 0, 0, 1], [0, 0, 7, 3, 1, 0]]  # copies of texts make many counts of 4
+    for of_counts in odd:
+        d = good_turing(of_counts)
+        assert np.allclose(d, discounts_by_hand(of_counts))
+        held = [r * d[r] for r in range(1, CUTOFF + 2)]
+        assert all(a < b for a, b in zip(held, held[1:])) and all(0 < x < 1 for x in d[1 : CUTOFF + 1])
+    with pytest.warns(UserWarning, match="half a count"):
+        assert good_turing([1, 5, 9, 30, 60, 99])[1] == 0.5
+    assert good_turing([9, 3, 1, 0, 0, 0], 2)[1] == 0
 
 
 class Brute:
@@ -24,12 +51,13 @@ class Brute:
         self.n, self.vocabulary = sum(grams[1].values()), {k[0] for k in grams[1]}
         for n in range(1, order + 1):
             low = least[n - 1]
-            self.d[n] = good_turing([sum(c == r for c in grams[n].values()) for r in range(1, CUTOFF + 2)], low)
+            self.d[n] = discounts_by_hand([sum(c == r for c in grams[n].values()) for r in range(1, CUTOFF + 2)], low)
             self.kept[n] = {k: c for k, c in grams[n].items() if c >= low}
         self.totals = {**grams[1], ("<s>",): starts}
         for n in range(2, order):
             self.totals |= self.kept[n]
-        self.scale1, self.unknown = order_one(Stats(1, [sum(c == r for c in grams[1].values()) for r in range(1, CUTOFF + 2)], self.n, len(self.vocabulary), self.d[1]))
+        mass = sum(c * self.d[1][min(c, CUTOFF + 1)] for c in grams[1].values()) / self.n if self.n else 0.0
+        self.scale1, self.unknown = (1.0, 1 - mass) if 1 - mass > 1e-9 else (self.n / (self.n + 1), 1 / (self.n + 1))
         self.counts = grams[1]
         self.after = {n: defaultdict(list) for n in range(2, order + 1)}
         for n in range(2, order + 1):

@@ -25,6 +25,7 @@ down recursively: the n-gram's share if it is kept, else alpha(context) times th
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -148,20 +149,36 @@ class Stats:
         return c * self.discounts[np.minimum(counts, CUTOFF + 1).astype(np.int64)]
 
 
+def smoothed(of_counts: list[int]) -> tuple[float, float] | None:
+    """Intercept and slope of the line through the logarithms of counts of counts over those of counts, each weighed by its count of counts.
+
+    None unless at least two counts occur and the line falls faster than 1 / count, without which no count would be discounted.
+    """
+    known = [(math.log(r), math.log(n), n) for r, n in enumerate(of_counts, 1) if n > 0]
+    total = sum(w for *_, w in known)
+    if len(known) < 2:
+        return None
+    mx, my = sum(x * w for x, _, w in known) / total, sum(y * w for _, y, w in known) / total
+    slope = sum(w * (x - mx) * (y - my) for x, y, w in known) / sum(w * (x - mx) ** 2 for x, _, w in known)
+    return (my - slope * mx, slope) if slope < -1.02 else None
+
+
 def good_turing(of_counts: list[int], least: int = 1) -> np.ndarray:
     """Discounts of the counts 0 to CUTOFF and, last, of all above (1).
 
-    Katz's renormalised Good-Turing ratios; where the counts of counts don't give a ratio in
-    (0, 1] (small corpora), half a count is taken off instead. Counts under least count as unseen.
+    Katz's renormalised Good-Turing ratios over log-linearly smoothed counts of counts, by which discounted counts rise with counts; copies of
+    whole texts make the raw ones rise and fall. Where no falling line fits (very small corpora) half a count is taken off every count, with a warning. Counts under least count as unseen.
     """
-    n = [0, *of_counts]
     d = np.ones(CUTOFF + 2)
-    rest = (CUTOFF + 1) * n[CUTOFF + 1] / n[1] if n[1] else 0.0
+    line = smoothed(of_counts)
+    if line is None and any(of_counts):
+        warnings.warn("counts of counts don't fall: half a count is taken off each", stacklevel=2)
     for r in range(1, CUTOFF + 1):
-        ratio = (r + 1) * n[r + 1] / (n[r] * r) if n[r] else 0.0
-        d[r] = (ratio - rest) / (1 - rest) if rest < 1 else 0.0
-        if not 0 < d[r] <= 1:
+        if line is None:
             d[r] = (r - 0.5) / r
+        else:
+            rest = (CUTOFF + 1) ** (line[1] + 1)
+            d[r] = ((1 + 1 / r) ** (line[1] + 1) - rest) / (1 - rest)
     d[:least] = 0
     return d
 
