@@ -129,3 +129,16 @@ def test_notices_inside_lines_and_whole_texts(spark):
 def test_odd_rows_with_all_words(odd_docs, empty_docs):
     assert license_scan(documents_as_files(odd_docs), all_words=True).count() == odd_docs.count()
     assert license_scan(documents_as_files(empty_docs), all_words=True).count() == 0
+
+
+def test_identifiers_and_denials():
+    """SPDX lines are templates; what is said not to be licensed isn't."""
+    matcher = Matcher(Counter(), 0)
+    for name in TEMPLATES:
+        if name != "Proprietary":
+            for line in (f"# SPDX-License-Identifier: {name}\ncode()\n", f"/* SPDX-License-Identifier: {name} */"):
+                assert matcher.best(line)[0] == name, line
+    assert matcher.best("// SPDX-License-Identifier: LicenseRef-Other")[0] is None
+    assert matcher.best("This software is NOT licensed under the MIT License.")[0] is None
+    assert matcher.best("It isn't released under the Apache License, Version 2.0 or any other.\nReleased under the MIT License.")[0] == "MIT"
+    assert matcher.best("This file is licensed under the MIT License.")[0] == "MIT"

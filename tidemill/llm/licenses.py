@@ -93,6 +93,9 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+TEMPLATES = {name: forms if name == "Proprietary" else (*forms, f"SPDX-License-Identifier: {name}") for name, forms in TEMPLATES.items()}
+#: What says that a licence doesn't hold; passages are looked for in the text without it.
+_DENIED = re.compile(r"\b(?:is|are|was|were)(?:n't|\s+not)\s+(?:\w+\s+){0,2}?(?:licensed|released|distributed|available|covered)\b[^.\n]*(?:\.(?=\d)[^.\n]*)*", re.I)
 CUE = re.compile(r"licen[cs]e|copyright|all rights reserved|public domain|creative commons|\bCC0\b|permission (?:is|to)|redistribution and use|free software", re.I)
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 #: A cue with anything between its words, as notices are wrapped and commented out.
@@ -128,6 +131,8 @@ def agrees(name: str, form: set[str], words: list[str], of_file: set[str]) -> bo
     The clause on endorsement anywhere in the file tells BSD-3-Clause from BSD-2-Clause where the form has no number.
     """
     there = set(words)
+    if "spdx" in form and not form <= there:
+        return False
     if any(n & form and not n & there for n in _NAMES):
         return False
     parts = name.split("-")
@@ -230,6 +235,7 @@ class Matcher:
         passages where they give a licence; the length is the file's if its whole text is that of the licence found.
         """
         nearest: tuple[str | None, float, int] = (None, 0.0, 0)
+        text = _DENIED.sub(" ", text)
         if not _WRAPPED.search(text):
             return nearest
         found: dict[bool, tuple[str, float, int]] = {}
@@ -402,7 +408,7 @@ def license_scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHA
     directory and inherits nothing. Repeated rows are files of their own. An empty table gives no rows. A very long text is
     scanned whole in one task. Other columns are left behind.
     """
-    return inherited(scan(files, least, share, all_words))
+    return inherited(scan(exact(files), least, share, all_words))
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
