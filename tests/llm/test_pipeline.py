@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemill.llm.language import learn, predicted, remainder
-from tidemill.llm.mixing import mixed_counts
+from tidemill.llm.mixing import DOCUMENT_BLOCK, mixed_counts
 from tidemill.llm.quality_rules import judged
 from tests_brute import shingle_sets_link
 
@@ -33,7 +33,7 @@ def test_stages_against_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in outs[1].collect())
     assert sorted(r.doc_id for r in outs[2].collect()) == shingle_sets_link(rows, 5, 80)
     # mixing: the words taken are those of mixed_counts
-    taken = {r.doc_id: r.taken for r in mixed_counts(outs[2]).collect() if r.taken}
+    taken = {r.doc_id: r.taken for r in mixed_counts(outs[2], block=DOCUMENT_BLOCK).collect() if r.taken}
     drawn = Counter()
     for r in outs[3].collect():
         drawn[r.doc_id] += len(r.text.encode().split())

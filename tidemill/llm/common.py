@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import tempfile
 import uuid
@@ -40,21 +39,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Lets the JVM remove path when it ends, which it does with the driver, whether or not the session was stopped before."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(target)  # only what is there is listed for removal
+    system.deleteOnExit(target)
+
+
 def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: the rows are the same however often they are read
     and whichever executors are lost later. Shuffle files of the write go at
-    its end where Spark can do that; the table goes when the driver exits, that of a failed write too.
+    its end where Spark can do that; the table goes when the driver exits, after spark.stop() too and that of a failed write too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _remove_at_exit(spark, path)
     before = spark.conf.get(_CLEAN, None)
     with contextlib.suppress(Exception):
         spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.mode("append").option("compression", codec).parquet(path)
     finally:
         with contextlib.suppress(Exception):
             spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)

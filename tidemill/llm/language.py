@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import fresh, map_rows, texts_of
+from tidemill.llm.common import exact, fresh, map_rows, texts_of
 
 ORDER, UNKNOWN = 3, "und"
 #: Bytes of labelled text to learn from, over all languages; each gets an equal share of it, or all it has.
@@ -250,8 +250,10 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, folds: int = 5,
 
     Trees are learnt from labelled (docs itself if None), but for documents whose crc32(doc_id as text) modulo
     folds is 0. A null doc_id is never learnt from and not held out. Null texts and texts without letters are
-    UNKNOWN with score 0, as all are if nothing could be learnt. Repeated rows are scored each. No shuffle but the sample's counts.
+    UNKNOWN with score 0, as all are if nothing could be learnt. Repeated rows are scored each; of equal code lengths the first language by name counts; a very long
+    text is coded whole in one task; an empty table gives no rows; other columns are left behind, and of names that differ only in case the lower-case one counts. No shuffle but the sample's counts.
     """
+    docs, labelled = exact(docs), labelled if labelled is None else exact(labelled)
     trees = learn((docs if labelled is None else labelled).where(remainder(folds) != 0), sample_bytes)
     model = docs.sparkSession.sparkContext.broadcast(trees)
     rows = texts_of(docs, F.coalesce(remainder(folds) == 0, F.lit(False)).alias("held_out"))
@@ -263,12 +265,14 @@ def keep_known(docs: DataFrame, least_score: float = 0.5, most_rate: float = MOS
 
     The language's score is at least least_score, and the text's code at most most_rate times as long as is typical of that
     language (and SLACK bits for short texts), so a text in a language that wasn't learnt goes. If no language could be learnt all documents stay, with a warning.
+    Null and empty texts go; repeated rows are judged each; a very long text is coded whole; an empty table stays empty. Of names that differ only in case the lower-case one counts.
     """
+    names, docs = docs.columns, exact(docs)
     held = remainder(how.get("folds", 5)) == 0
     trees = learn(docs.where(~held), how.get("sample_bytes", SAMPLE_BYTES))
     if trees is None:
         warnings.warn("no language could be learnt: all documents are kept", stacklevel=2)
-        return docs
+        return docs.toDF(*names)
     model = docs.sparkSession.sparkContext.broadcast(trees)
     rates = typical_rates(docs.where(held), trees, model)
     verdict = fresh(docs, "language_known")
@@ -283,4 +287,4 @@ def keep_known(docs: DataFrame, least_score: float = 0.5, most_rate: float = MOS
                 out.append(lang != UNKNOWN and score >= least_score and (lang not in rates or bits <= most_rate * rates[lang] * n + SLACK))
         return pd.Series(out, dtype=bool)
 
-    return docs.withColumn(verdict, known.asNondeterministic()(F.col("text").cast("string"))).where(F.col(verdict)).drop(verdict)
+    return docs.withColumn(verdict, known.asNondeterministic()(F.col("text").cast("string"))).where(F.col(verdict)).drop(verdict).toDF(*names)

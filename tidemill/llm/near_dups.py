@@ -419,11 +419,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def without_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
     """One row of each group of near duplicates, with all columns: the one of the least doc_id (null last), of equals the first as stored.
 
-    Documents without words are in no group and stay. An empty table gives no rows. Column names of docs may be any, also those used here.
+    Documents without words are in no group and stay. An empty table gives no rows. Column names of docs may be any, also those used here; of names that differ only in case the lower-case one counts.
     """
+    names, docs = docs.columns, exact(docs)
     rid = fresh(docs, "near_rid")
     kept = staged(docs.withColumn(rid, F.monotonically_increasing_id()), "near-docs")
     rows = classes_of(kept, words, percent, k, rid)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
     stay = rows.groupBy(F.coalesce("component", F.col("rid")).alias("group")).agg(F.min(rank).alias("r")).select(F.col("r.rid").alias("stay"))
-    return kept.join(stay, kept[rid] == F.col("stay"), "left_semi").drop(rid)
+    return kept.join(stay, kept[rid] == F.col("stay"), "left_semi").drop(rid).toDF(*names)

@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES, fresh, map_rows, texts_of
+from tidemill.llm.common import SPACES, exact, fresh, map_rows, texts_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
@@ -126,8 +126,10 @@ def line_quality(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, with
 def keep_clean(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """The documents that pass, with the columns of docs; text is without the lines that failed, and n_chars follows it.
 
-    The cleaned text comes from an Arrow UDF, run once a row, under a name that docs doesn't have.
+    The cleaned text comes from an Arrow UDF, run once a row, under a name that docs doesn't have. Null and empty texts fail; repeated rows are
+    judged each; a very long text is judged whole; an empty table gives no rows. Of names that differ only in case the lower-case one counts.
     """
+    names, docs = docs.columns, exact(docs)
     clean = fresh(docs, "clean_text")
 
     def cleaned(text: str | None) -> str | None:
@@ -142,4 +144,4 @@ def keep_clean(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> Dat
     out = out.withColumn("text", F.col(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)
