@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -107,6 +108,13 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker no longer uses to the system; workers live on, and would keep what the largest batch took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[..., Callable[[Iterable[tuple]], Iterator[tuple]]], schema: str | StructType, *args, flush_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow over tuples: make(*args) runs once a task and gives a generator function over rows.
 
@@ -129,6 +137,8 @@ def map_rows(df: DataFrame, make: Callable[..., Callable[[Iterable[tuple]], Iter
                 kept, size = [], 0
         if kept:
             yield _batch(kept, arrow)
+        kept = []
+        give_back()
 
     return df.mapInArrow(run, schema)
 

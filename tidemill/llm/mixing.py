@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import SPACES, WORD_RE, discard, exact, fresh, map_rows, parts_for, staged
+from tidemill.llm.common import SPACES, WORD_RE, discard, exact, fresh, give_back, map_rows, parts_for, staged
 
 WEIGHTS, TOTAL, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 1.5, 2, 32, 4096, 17
 #: Shards whose draws are summed before the sums of such groups are.
@@ -242,7 +242,9 @@ def mixed_documents(docs: DataFrame, block: int = DOCUMENT_BLOCK, **how) -> Data
 
     @F.pandas_udf("string")
     def cut(texts, wanted):
-        return texts.combine(wanted, lambda t, w: cut_words(t, [(x["from_word"], x["to_word"]) for x in w]))
+        made = texts.combine(wanted, lambda t, w: cut_words(t, [(x["from_word"], x["to_word"]) for x in w]))
+        give_back()
+        return made
 
     out = kept.join(drawn, rid).withColumn("text", cut("text", spans)).drop(rid, spans)
     if "n_chars" in docs.columns:

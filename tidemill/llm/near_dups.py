@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, exact, fresh, map_rows, staged
+from tidemill.llm.common import discard, exact, fresh, give_back, map_rows, staged
 from tidemill.llm.graph import components
 
 WORDS, PERCENT, K, ROUNDS, PIVOTS = 5, 80, 160, 2, 4
@@ -271,6 +271,8 @@ def _by_part(of: type[_Part] | type[_Sets], percent: int, k: int):
             kept.append(batch.slice(cut))
         if kept:
             yield done(kept)
+        kept = []
+        give_back()
 
     return parts
 

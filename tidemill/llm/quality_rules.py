@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES, exact, fresh, map_rows, texts_of
+from tidemill.llm.common import SPACES, exact, fresh, give_back, map_rows, texts_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
@@ -138,7 +138,9 @@ def keep_clean(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> Dat
 
     @F.pandas_udf("string")
     def cleaner(texts):
-        return texts.map(lambda t: cleaned(t if isinstance(t, str) else None))
+        made = texts.map(lambda t: cleaned(t if isinstance(t, str) else None))
+        give_back()
+        return made
 
     out = docs.withColumn(clean, cleaner.asNondeterministic()(F.col("text").cast("string"))).where(F.col(clean).isNotNull())
     out = out.withColumn("text", F.col(clean))
