@@ -39,8 +39,8 @@ def _packet(pid, data, counter, begins=False, field=None):
     return head + bytes([0x30 | counter, room - 1]) + body + data
 
 
-def _section(table, extension, body, number=0, last=0):
-    head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255]) + extension.to_bytes(2, "big") + bytes([0xC1, number, last])
+def _section(table, extension, body, number=0, last=0, version=0, valid=1):
+    head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255]) + extension.to_bytes(2, "big") + bytes([0xC0 | version << 1 | valid, number, last])
     crc = crc32_mpeg(head + body)
     return head + body + crc.to_bytes(4, "big")
 
@@ -66,6 +66,40 @@ def test_packets_made_by_hand():
         assert got["units"] == [(0x140 + n - 1, 123_456_789, 0, 50, True)] and got["payload"][0x140 + n - 1] == b"z" * 50
 
 
+def _map(programme, pids, **how):
+    """A PMT's section that lists these pids as private data."""
+    return _section(2, programme, bytes([0xE1, 0x40, 0xF0, 0]) + b"".join(bytes([6, 0xE0 | p >> 8, p & 255, 0xF0, 0]) for p in pids), **how)
+
+
+def _unit(pid, content, counter=0):
+    return _packet(pid, b"\0\0\1\xbd" + (3 + len(content)).to_bytes(2, "big") + b"\x80\0\0" + content, counter, True)
+
+
+def test_versions_of_tables():
+    pat = _packet(0, b"\0" + _section(0, 1, bytes([0, 1, 0xE1, 0])), 0, True)
+    maps = [_packet(0x100, b"\0" + _map(1, pids, version=v, valid=valid), i, True) for i, (pids, v, valid) in enumerate([((0x140,), 31, 1), ((0x150,), 0, 0), ((0x141, 0x140), 0, 1), ((0x142,), 31, 1)])]
+    units = [_unit(0x140, b"a"), _unit(0x141, b"b"), _unit(0x142, b"c"), _unit(0x150, b"d")]
+    got = demux(pat + maps[0] + units[0] + maps[1] + maps[2] + units[1] + maps[3] + units[2] + units[3])
+    assert got["streams"] == [(0x140, 6), (0x141, 6), (0x142, 6)] and got["bad_tables"] == 0
+    assert got["payload"] == {0x140: b"a", 0x141: b"b", 0x142: b"c"} and len(got["units"]) == 3  # 0x150 was not yet valid
+
+
+def test_programmes_on_one_pid():
+    pat = _packet(0, b"\0" + _section(0, 1, bytes([0, 1, 0xE1, 0, 0, 2, 0xE1, 0, 0, 3, 0xE1, 0x01])), 0, True)
+    both = _packet(0x100, b"\0" + _map(1, [0x140]) + _map(2, [0x141, 0x140]) + _map(9, [0x149]), 0, True)
+    got = demux(pat + both + _packet(0x101, b"\0" + _map(3, [0x142]), 0, True) + b"".join(_unit(0x140 + i, bytes([i + 1])) for i in range(3)))
+    assert got["programmes"] == [(1, 0x100), (2, 0x100), (3, 0x101)] and got["bad_tables"] == 0
+    assert got["streams"] == [(0x140, 6), (0x141, 6), (0x142, 6)] and got["payload"] == {0x140: b"\1", 0x141: b"\2", 0x142: b"\3"}
+
+
+def test_sync_lost_often():
+    data = random.Random(7).randbytes(4 << 20)
+    ts = mux(data)
+    pieces = [ts[i : i + 4 * PACKET] for i in range(0, len(ts), 4 * PACKET)]
+    got = demux(b"\0".join(pieces))
+    assert b"".join(got["payload"].values()) == data and got["damaged"] == len(pieces) - 1 and got["continuity_errors"] == 0
+
+
 def test_sync_is_found_again():
     data = random.Random(5).randbytes(20_000)
     ts = mux(data)

@@ -17,6 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -108,12 +109,45 @@ def _stuffed(field: bytes, size: int) -> bytes:
     return (field or b"\0" * (size > 1)).ljust(size - 1, b"\xff")
 
 
-def _body(section: bytes, table: int) -> tuple[int, int, bytes] | None:
-    """A table's section as its number, the last number and its body; None if its CRC or size is wrong."""
-    size = (section[1] & 0x0F) << 8 | section[2]
-    if size < 9 or len(section) < size + 3 or crc32_mpeg(section[: size + 3]):
-        return None
-    return section[6], section[7], section[8 : size - 1]
+@dataclass
+class Table:
+    """One version of a table: its extension (a programme's number in a PMT), version, and the bodies of its sections by number."""
+
+    extension: int
+    version: int
+    bodies: dict[int, bytes]
+
+    def content(self) -> bytes:
+        return b"".join(self.bodies[k] for k in sorted(self.bodies))
+
+
+def _tables_of(sections: Iterable[bytes], number: int) -> tuple[list[Table], int]:
+    """Every version of every table of this number in the order of their first sections, and how many sections have a wrong CRC or size.
+
+    A section repeated is read once; one marked as not yet valid is passed over. A version that comes
+    again after another one is a table of its own, as version numbers wrap around.
+    """
+    tables: list[Table] = []
+    now: dict[int, Table] = {}
+    before: set[bytes] = set()
+    bad = 0
+    for section in sections:
+        if section[0] != number:
+            continue
+        size = (section[1] & 0x0F) << 8 | section[2]
+        if size < 9 or len(section) < size + 3 or (section not in before and crc32_mpeg(section[: size + 3])):
+            bad += 1
+            continue
+        before.add(section)
+        extension, version, valid = section[3] << 8 | section[4], section[5] >> 1 & 31, section[5] & 1
+        if not valid:
+            continue
+        table = now.get(extension)
+        if table is None or table.version != version:
+            table = now[extension] = Table(extension, version, {})
+            tables.append(table)
+        table.bodies.setdefault(section[6], section[8 : size - 1])
+    return tables, bad
 
 
 def _packets(stream: bytes) -> tuple[np.ndarray, int]:
@@ -121,33 +155,39 @@ def _packets(stream: bytes) -> tuple[np.ndarray, int]:
 
     Where a sync byte is missing, the next packet's place is tried; if that fails too, bytes are
     passed over up to one from which three packets (or all that are left) begin with a sync byte.
+    Such places are found once for the whole stream, so the time is linear however often sync is lost.
     """
     n = len(stream)
     grid = np.frombuffer(stream, np.uint8, n // PACKET * PACKET).reshape(-1, PACKET)
     if (grid[:, 0] == 0x47).all():
         return grid, int(n % PACKET > 0)
     data = np.frombuffer(stream, np.uint8)
-    sync = data == 0x47
-    holds = lambda p: p + PACKET <= n and all(sync[q] for q in range(p, min(p + 3 * PACKET, n - PACKET + 1), PACKET))
+    last = n - PACKET + 1
+    sync = np.ones(last + 2 * PACKET, bool)  # what would begin after the last whole packet doesn't count against a place
+    sync[:last] = data[:last] == 0x47
+    holds = sync[:last] & sync[PACKET : last + PACKET] & sync[2 * PACKET :]
+    places = np.flatnonzero(holds)
     starts, lost, at, locked = [], 0, 0, False
-    while at + PACKET <= n:
-        if sync[at] and (locked or holds(at)):
+    while at < last:
+        if sync[at] and (locked or holds[at]):
             starts.append(at)
             at, locked = at + PACKET, True
             continue
         lost += 1
-        if locked and holds(at + PACKET):
+        if locked and at + PACKET < last and holds[at + PACKET]:
             at += PACKET
             continue
-        at = next((int(q) for q in np.flatnonzero(sync[at + 1 :]) + at + 1 if holds(int(q))), n)
+        i = int(np.searchsorted(places, at + 1))
+        at = int(places[i]) if i < len(places) else n
     return data[np.array(starts, np.int64)[:, None] + np.arange(PACKET)], lost + (at < n)
 
 
 def demux(stream: bytes) -> dict:
-    """Parsed stream: streams (pid, type), payload by pid, units (pid, pts, offset, size, random access), counts of faults.
+    """Parsed stream: programmes (number, PMT pid), streams (pid, type), payload by pid, units (pid, pts, offset, size, random access), counts of faults.
 
     Bytes after the last whole packet, places where the sync is lost and packets with
-    the error indicator count as damaged and are passed over. Tables may span packets and have several sections.
+    the error indicator count as damaged and are passed over. Tables may span packets, have several sections and change their
+    version; programmes may share a PMT pid. All streams that any valid version lists are read, each over the whole stream and once.
     """
     grid, damaged = _packets(stream)
     whole = len(grid)
@@ -162,7 +202,7 @@ def demux(stream: bytes) -> dict:
     start = np.where(has_data, np.minimum(start, PACKET), PACKET)
     flags = np.where(has_field & (grid[:, 4] > 0), grid[:, 5], 0)
     counter = grid[:, 3] & 15
-    found: dict = {"streams": [], "payload": {}, "units": [], "packets": int(whole), "damaged": damaged, "continuity_errors": 0, "duplicates": 0, "bad_tables": 0}
+    found: dict = {"programmes": [], "streams": [], "payload": {}, "units": [], "packets": int(whole), "damaged": damaged, "continuity_errors": 0, "duplicates": 0, "bad_tables": 0}
 
     def sections(p: int) -> Iterator[bytes]:
         """Whole sections of a pid, put together over packets."""
@@ -186,33 +226,29 @@ def demux(stream: bytes) -> dict:
             if open_[:1] == b"\xff":
                 open_ = b""
 
-    def table(p: int, number: int) -> bytes:
-        """The bodies of a table's sections, one after the other; those after the last one whole are not waited for."""
-        bodies: dict[int, bytes] = {}
-        for section in sections(p):
-            if section[0] != number:
-                continue
-            body = _body(section, number)
-            if body is None:
-                found["bad_tables"] += 1
-                continue
-            bodies.setdefault(body[0], body[2])
-            if len(bodies) == body[1] + 1:
-                break
-        return b"".join(bodies[k] for k in sorted(bodies))
-
-    pat = table(0, 0)
-    for i in range(0, len(pat) - 3, 4):
-        number, map_pid = struct.unpack_from(">HH", pat, i)
-        if not number:
-            continue
-        pmt = table(map_pid & 0x1FFF, 2)
-        at = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0xFFF) if len(pmt) >= 4 else len(pmt)
-        while at + 5 <= len(pmt):
-            kind, es, info = struct.unpack_from(">BHH", pmt, at)
-            found["streams"].append((es & 0x1FFF, kind))
-            at += 5 + (info & 0xFFF)
-    for es, _ in found["streams"]:
+    def tables(p: int, number: int) -> list[Table]:
+        out, bad = _tables_of(sections(p), number)
+        found["bad_tables"] += bad
+        return out
+
+    programmes: dict[tuple[int, int], None] = {}  # numbers and PMT pids, in order
+    for pat in tables(0, 0):
+        body = pat.content()
+        for i in range(0, len(body) - 3, 4):
+            number, map_pid = struct.unpack_from(">HH", body, i)
+            if number:
+                programmes[number, map_pid & 0x1FFF] = None
+    maps = {p: tables(p, 2) for p in dict.fromkeys(p for _, p in programmes)}
+    streams: dict[tuple[int, int], None] = {}
+    for number, p in programmes:
+        for pmt in (t.content() for t in maps[p] if t.extension == number):
+            at = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0xFFF) if len(pmt) >= 4 else len(pmt)
+            while at + 5 <= len(pmt):
+                kind, es, info = struct.unpack_from(">BHH", pmt, at)
+                streams[es & 0x1FFF, kind] = None
+                at += 5 + (info & 0xFFF)
+    found["programmes"], found["streams"] = list(programmes), list(streams)
+    for es in dict.fromkeys(p for p, _ in streams):
         own = np.flatnonzero((pid == es) & has_data)
         if len(own) > 1:
             step = (counter[own][1:].astype(np.int64) - counter[own][:-1]) & 15
@@ -298,6 +334,9 @@ def _describe(with_units: bool):
 
 
 def describe_streams(stored: DataFrame, with_units: bool = True) -> DataFrame:
-    """One row per stored stream: digests of what was read back, its features, and its access units with time stamps."""
+    """One row per stored stream: digests of what was read back, its features, and its access units with time stamps (-1: none) and random-access marks.
+
+    with_units=False leaves the list of units empty. A stream that can't be read has no units and no payload. An empty table gives no rows.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pid:int,pts:long,offset:long,size:long,random_access:boolean>>"
     return map_rows(stored.select("doc_id", "n_bytes", "media"), _describe, schema, with_units)

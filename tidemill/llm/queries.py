@@ -21,7 +21,7 @@ def _vocabulary(name: str) -> str:
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.katz import katz_scores
 
-    return katz_scores(_documents(spark, sf_dir), min_counts=(1, 1, 1))
+    return katz_scores(_documents(spark, sf_dir))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.media import describe_streams, store_streams
 
-    return describe_streams(store_streams(_documents(spark, sf_dir)), with_units=False).drop("units")
+    return describe_streams(store_streams(_documents(spark, sf_dir)))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.licenses import documents_as_files, license_scan
 
-    return license_scan(documents_as_files(_documents(spark, sf_dir)), all_words=True)
+    return license_scan(documents_as_files(_documents(spark, sf_dir)))
 
 
 def op11_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
