@@ -10,8 +10,8 @@ bucket.
 
 For each order n an exchange counts n-grams (held-out texts send zeros, and
 ask). Counts up to ``CUTOFF`` are discounted by Good-Turing estimates from the counts of
-counts; counts under ``MIN_COUNTS`` are not kept (the usual cutoff for trigrams), which leaves
-their mass to the back-off. A second exchange, by context, adds up the discounted mass and
+counts; all n-grams are kept (``min_counts`` of a caller may
+leave rare ones out, which leaves their mass to the back-off). A second exchange, by context, adds up the discounted mass and
 the lower-order probability of the words seen after each context, once for each n-gram (by the
 first block that holds it; the mass as whole numbers of n-grams by count), and gives the weight
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import map_rows, staged, texts_of
 
-ORDER, MIN_COUNTS, CUTOFF, BLOCK, BUCKET = 3, (1, 1, 2), 5, 1 << 20, 2 << 20
+ORDER, MIN_COUNTS, CUTOFF, BLOCK, BUCKET = 3, (1, 1, 1), 5, 1 << 20, 2 << 20
 START, END = np.uint64(xxhash.xxh3_64_intdigest(b" ")), np.uint64(xxhash.xxh3_64_intdigest(b""))
 
 BLOCKS = "block long, n_tokens long, doc_ids binary, no_id binary, held binary, sizes binary, vocabulary binary, tokens binary"

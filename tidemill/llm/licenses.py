@@ -150,7 +150,7 @@ def agrees(name: str, form: set[str], words: list[str], of_file: set[str]) -> bo
 def passages(text: str) -> list[list[str]]:
     """Token lists of the header, of each cue's line and of it with the lines after, and of a short text as a whole."""
     lines = text.split("\n")
-    if len(text) > 1 << 10 and not CUE.search(text):  # all its notices hold a cue
+    if not CUE.search(text):  # all its notices hold a cue
         return []
     out, whole = [], [tokens(x) if CUE.search(x) else None for x in lines]
     for i, found in enumerate(whole):
@@ -340,7 +340,7 @@ def directory(path):
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE, all_words: bool = False) -> DataFrame:
+def scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE, all_words: bool = True) -> DataFrame:
     """files (doc_id, path, text) as doc_id, path, licence of its own (null if none), similarity, is_licence_file."""
     if all_words:
         return _scan_all_words(files, least, share)
@@ -401,7 +401,7 @@ def inherited(scanned: DataFrame) -> DataFrame:
     )
 
 
-def license_scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE, all_words: bool = False) -> DataFrame:
+def license_scan(files: DataFrame, least: float = LEAST, share: float = FILE_SHARE, all_words: bool = True) -> DataFrame:
     """One row per file (doc_id, path, text): its licence and where it comes from.
 
     A null text is empty and has no licence of its own; a null path has no

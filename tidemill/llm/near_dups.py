@@ -15,7 +15,7 @@
 4. After the rounds, the members of each list left are compared across components inside tasks: by overlap counts
    of their sketches against T and by the sketch of the union against the threshold. Long lists are cut into
    chunks, each pair of chunks being one group. Only survivors leave a task, each from the first list that it shares.
-5. The exact figure on the full sets decides on every pair that passes. No pair goes unproved.
+5. The exact figure on the full sets decides on every pair that passes. No pair that passes goes unproved.
 """
 
 from __future__ import annotations
