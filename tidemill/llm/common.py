@@ -48,12 +48,13 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     system.deleteOnExit(target)
 
 
-def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, tag: str, codec: str = "zstd", by: str | None = None, parts: int = 0) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: the rows are the same however often they are read
     and whichever executors are lost later. Shuffle files of the write go at
     its end where Spark can do that; the table goes when the driver exits, after spark.stop() too and that of a failed write too.
+    With a column by, the table is bucketed by it in that many parts, so that later groupings by it don't shuffle the table again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -62,11 +63,15 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     with contextlib.suppress(Exception):
         spark.conf.set(_CLEAN, "true")
     try:
-        df.write.mode("append").option("compression", codec).parquet(path)
+        if by is None:
+            df.write.mode("append").option("compression", codec).parquet(path)
+        else:
+            name = f"staged_{uuid.uuid4().hex}"
+            df.repartition(parts, by).write.bucketBy(parts, by).option("path", path).option("compression", codec).format("parquet").saveAsTable(name)
     finally:
         with contextlib.suppress(Exception):
             spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if by is None else spark.table(name)
     out.staged_at = path
     return out
 
@@ -82,8 +87,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, each: int = 32 << 20) -> int:
-    """Partitions of about `each` bytes; never fewer than the session's shuffle partitions."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-input_bytes(df) // each), 200_000))
+    """Partitions of about `each` bytes; never fewer than the session's shuffle partitions, which also serve where the planner can't tell the size."""
+    size, least = input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 60 else max(least, min(-(-size // each), 200_000))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -6,12 +6,12 @@ n-grams, so a step is one exchange: every block sends its sorted distinct keys
 with a payload to the keys' buckets (ranges of the hash), a bucket adds up, stores
 its part of the model, and answers each block in the order of the block's own
 keys. A frequent n-gram is thus one entry a block, and no key makes a large
-bucket.
+bucket. Blocks are stored by their number, so that answers come to them and they aren't shuffled.
 
 For each order n an exchange counts n-grams (held-out texts send zeros, and
-ask). Counts up to ``CUTOFF`` are discounted by Good-Turing estimates from the counts of
+ask, and learn the places of their n-grams among the bucket's). Counts up to ``CUTOFF`` are discounted by Good-Turing estimates from the counts of
 counts; all n-grams are kept (``min_counts`` of a caller may
-leave rare ones out, which leaves their mass to the back-off). A second exchange, by context, adds up the discounted mass and
+leave rare ones out, which leaves their mass to the back-off). A second exchange, by context (named by its place, which is shorter than its key), adds up the discounted mass and
 the lower-order probability of the words seen after each context, once for each n-gram (by the
 first block that holds it; the mass as whole numbers of n-grams by count), and gives the weight
 
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_rows, staged, texts_of
+from tidemill.llm.common import map_rows, parts_for, staged, texts_of
 
 ORDER, MIN_COUNTS, CUTOFF, BLOCK, BUCKET = 3, (1, 1, 1), 5, 1 << 20, 2 << 20
 START, END = np.uint64(xxhash.xxh3_64_intdigest(b" ")), np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -202,6 +202,7 @@ class Known:
         self.counts: dict[int, np.ndarray] = {}
         self.own: dict[int, np.ndarray] = {}
         self.alpha: dict[int, np.ndarray] = {}
+        self.places: dict[int, dict[int, bytes]] = {}
         self.scale: dict[int, np.ndarray] = {}
         by_step: dict[int, list[dict]] = {}
         for a in answers:
@@ -210,6 +211,7 @@ class Known:
         for n in range(1, len(block.levels) + 1):
             self.counts[n] = answered(2 * n - 1, "a", np.int64)
             self.own[n] = answered(2 * n - 1, "b", np.uint8).astype(bool)
+            self.places[n] = {r["bucket"]: r["keys"] for r in by_step.get(2 * n - 1, [])}
         for n in range(1, len(block.levels)):
             self.scale[n] = answered(2 * n, "b", np.float64)
             self.alpha[n] = np.zeros(len(self.scale[n]))
@@ -256,10 +258,14 @@ def _blocks(size: int):
 
         def block() -> tuple:
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
-            vocabulary, rank = np.unique(hashes, return_inverse=True)
+            run = np.concatenate(tokens)
+            # small numbers for frequent words; words about as frequent are in the order of their hashes, whose differences are short
+            often = np.lexsort((hashes, -np.log2(np.bincount(run, minlength=len(hashes))).astype(np.int64)))
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often))
             return (
                 part << 32 | made, n, pack(np.array([d or 0 for d in ids], np.int64)), pack(np.array([d is None for d in ids], np.uint8)), pack(np.array(held, np.uint8)),
-                pack(np.array(sizes, np.int64)), pack_keys(vocabulary), pack(rank.astype(np.uint32)[np.concatenate(tokens)]),
+                pack(np.array(sizes, np.int64)), pack_keys(hashes[often]), pack(rank[run]),
             )
 
         for doc_id, is_held, text in docs:
@@ -315,7 +321,7 @@ def _merged(sent: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, list[sl
     return rows, distinct, inverse, [slice(e - len(k), e) for e, k in zip(ends, keys)]
 
 
-def _count(step: int, least: int):
+def _count(step: int, least: int, last: bool):
     def reduce(sent: pa.Table) -> pa.Table:
         rows, distinct, inverse, slices = _merged(sent)
         counts = np.concatenate([unpack(r["a"], np.uint32) for r in rows]).astype(np.int64)
@@ -335,7 +341,8 @@ def _count(step: int, least: int):
         out = [(True, None, step, bucket, pack_keys(distinct[some]), pack(kept[some]), np.array(total, np.int64).tobytes())]
         for r, s in zip(rows, slices):
             k = kept[inverse[s]]
-            out.append((False, r["block"], step, bucket, None, pack(k), pack(own[s] * (k > 0).astype(np.uint8))))
+            places = None if last else pack_keys(inverse[s].astype(np.uint64))
+            out.append((False, r["block"], step, bucket, places, pack(k), pack(own[s] * (k > 0).astype(np.uint8))))
         return _table(out, ANSWERS)
 
     return reduce
@@ -358,8 +365,9 @@ def _ask_weights(n: int, buckets: int, stats: list[Stats]):
             sums.append(np.bincount(context[large], counts[large], len(keys)).astype(np.int64))
             low = np.bincount(context, lower[own], len(keys))
             asked = known.counts[n - 1].astype(np.int64) << 1 | known.wanted(n)
+            some = np.any(sums, axis=0)
             for b, s in bucket_slices(keys, buckets):
-                out.append((b, row["block"], pack_keys(keys[s]), pack(np.concatenate([x[s] for x in sums]).astype(np.int64)), pack(low[s]), pack(asked[s])))
+                out.append((b, row["block"], known.places[n - 1][b], pack(np.concatenate([x[s] for x in sums]).astype(np.int64)), pack(low[s][some[s]]), pack(asked[s])))
         return _table(out, SENT)
 
     return rows
@@ -367,14 +375,20 @@ def _ask_weights(n: int, buckets: int, stats: list[Stats]):
 
 def _weigh(step: int, stats: Stats):
     def reduce(sent: pa.Table) -> pa.Table:
-        rows, distinct, inverse, slices = _merged(sent)
+        rows = sorted(sent.to_pylist(), key=lambda r: r["block"])
+        places = [unpack_keys(r["keys"]).astype(np.int64) for r in rows]
+        ends = np.cumsum([len(x) for x in places]).tolist()
+        slices = [slice(e - len(x), e) for e, x in zip(ends, places)]
+        inverse = np.concatenate(places)
+        n = int(inverse.max()) + 1
         put = lambda c, kind: np.concatenate([unpack(r[c], kind) for r in rows])
-        low, asked = np.bincount(inverse, put("b", np.float64), len(distinct)), put("c", np.int64)
+        asked = put("c", np.int64)
         wanted = (asked & 1).astype(bool)
-        total = np.zeros(len(distinct), np.int64)
+        total = np.zeros(n, np.int64)
         total[inverse] = asked >> 1
         sums = np.concatenate([unpack(r["a"], np.int64).reshape(CUTOFF + 1, -1) for r in rows], axis=1)
-        sums = np.array([np.bincount(inverse, x, len(distinct)) for x in sums])
+        low = np.bincount(inverse[sums.any(axis=0)], put("b", np.float64), n)
+        sums = np.array([np.bincount(inverse, x, n) for x in sums])
         mass = (sums[:-1].T @ (np.arange(1, CUTOFF + 1) * stats.discounts[1 : CUTOFF + 1]) + sums[-1]) / np.maximum(total, 1)
         full = mass > 1 - 1e-9
         scale = np.where(full, total / (total + 1.0), 1.0)
@@ -382,8 +396,8 @@ def _weigh(step: int, stats: Stats):
         all_seen = 1 - low <= 1e-12
         alpha = np.where(all_seen, 0.0, left / np.where(all_seen, 1.0, 1 - low))
         scale = np.where(all_seen, 1 / np.where(all_seen, mass, 1.0), scale)
-        bucket, some = rows[0]["bucket"], mass > 0
-        out = [(True, None, step, bucket, pack_keys(distinct[some]), pack(alpha[some]), pack(scale[some]))]
+        bucket, kept = rows[0]["bucket"], total > 0
+        out = [(True, None, step, bucket, None, pack(alpha[kept]), pack(scale[kept]))]
         out += [(False, r["block"], step, bucket, None, pack(alpha[inverse[s][wanted[s]]]), pack(scale[inverse[s]])) for r, s in zip(rows, slices)]
         return _table(out, ANSWERS)
 
@@ -419,7 +433,11 @@ def _score(order: int, stats: list[Stats]):
 
 @dataclass
 class Katz:
-    """The model's tables (rows with model = true: step 2n - 1 holds counts of order n, step 2n weights of contexts of n words) and scores."""
+    """The model's tables and scores.
+
+    Rows with model = true: step 2n - 1 holds keys and counts of order n by bucket, step 2n alpha and scale of the same n-grams as
+    contexts, in the order of step 2n - 1's keys of that bucket (both 1 if nothing follows).
+    """
 
     tables: list[DataFrame]
     stats: list[Stats]
@@ -431,30 +449,34 @@ def katz(docs: DataFrame, held_out: Column, order: int = ORDER, min_counts: tupl
 
     A null or empty text is its end alone. Repeated rows are counted and scored each. A null held_out counts as false. An
     empty table gives no rows. A text longer than a block makes one block, whatever its size. Other columns are left behind. With nothing to learn from, all tokens are the unknown one, with probability 1.
-    The driver holds counts of counts only.
+    The driver holds counts of counts only. min_counts must not fall from an order to the next, so that kept n-grams have kept contexts.
     """
+    if any(a > b for a, b in zip(min_counts, min_counts[1:])):
+        raise ValueError("min_counts must not fall from an order to the next")
     rows = texts_of(docs, F.coalesce(held_out, F.lit(False)).alias("held_out")).select("doc_id", "held_out", "text")
-    blocks = staged(map_rows(rows, _blocks, BLOCKS, block), "katz-blocks", "none")
+    blocks = staged(map_rows(rows, _blocks, BLOCKS, block), "katz-blocks", "none", by="block", parts=min(parts_for(rows), 100_000))  # Spark has no more buckets
     total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket))
     stats: list[Stats] = []
     tables: list[DataFrame] = []
 
-    def answers() -> DataFrame:
+    def answers(placed: int = 0) -> DataFrame:
+        """To all blocks; places of n-grams of order placed alone."""
         known = tables[0]
         for t in tables[1:]:
             known = known.unionByName(t)
-        return known.where("not model").select("block", "step", "bucket", "a", "b").groupBy("block")
+        places = F.when(F.col("step") == 2 * placed - 1, F.col("keys")).alias("keys")
+        return known.where("not model").select("block", "step", "bucket", places, "a", "b").groupBy("block")
 
     for n in range(1, order + 1):
         least = min_counts[min(n, len(min_counts)) - 1]
         sent = map_rows(blocks, _ask_counts, SENT, n, buckets)
-        tables.append(staged(sent.groupBy("bucket").applyInArrow(_count(2 * n - 1, least), ANSWERS), f"katz-counts-{n}", "none"))
+        tables.append(staged(sent.groupBy("bucket").applyInArrow(_count(2 * n - 1, least, n == order), ANSWERS), f"katz-counts-{n}", "none"))
         parts = [np.frombuffer(r["b"], np.int64) for r in tables[-1].where("model").select("b").toLocalIterator()]
         sums = np.sum(parts, axis=0).tolist() if parts else [0] * (CUTOFF + 3)
         stats.append(Stats(n, sums[: CUTOFF + 1], sums[-2], sums[-1], good_turing(sums[: CUTOFF + 1], least)))
         if n > 1:
-            asked = blocks.groupBy("block").cogroup(answers()).applyInArrow(_ask_weights(n, buckets, list(stats)), SENT)
+            asked = blocks.groupBy("block").cogroup(answers(n - 1)).applyInArrow(_ask_weights(n, buckets, list(stats)), SENT)
             tables.append(staged(asked.groupBy("bucket").applyInArrow(_weigh(2 * n - 2, stats[-1]), ANSWERS), f"katz-weights-{n}", "none"))
     return Katz(tables, stats, blocks.groupBy("block").cogroup(answers()).applyInArrow(_score(order, list(stats)), SCORES))
 
