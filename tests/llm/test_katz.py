@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from tidemill.llm.katz import CUTOFF, good_turing, katz_scores
+from tidemill.llm.katz import CUTOFF, END, START, distinct, good_turing, joined, katz, katz_scores, rounded, unpack, unpack_keys
 
 
 def discounts_by_hand(of_counts, least=1):
@@ -119,6 +121,57 @@ def test_against_dictionaries(spark, order, least):
         assert abs(whole - 1) < 1e-9, ctx
 
 
+def test_stored_model_against_dictionaries(spark):
+    """Keys, counts, alphas and scales as stored, each n-gram once."""
+    docs = _docs(7, 80)
+    brute = Brute([t.lower().split() for _, t in docs], 3, (1, 1, 1))
+    model = katz(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.lit(False), block=300, bucket=500)
+    stored = {(r.step, r.bucket): r for t in model.tables for r in t.where("model").collect()}
+    assert len({b for _, b in stored}) > 1
+    word = lambda w: {"<s>": START, "</s>": END}.get(w) or np.uint64(xxhash.xxh3_64_intdigest(w.encode()))
+
+    def key(gram):
+        out = np.array([word(gram[0])])
+        for w in gram[1:]:
+            out = joined(out, np.array([word(w)]))
+        return int(out[0])
+
+    for n in (1, 2, 3):
+        counts, weights = {}, {}
+        for (step, bucket), r in stored.items():
+            if step == 2 * n - 1:
+                keys = unpack_keys(r.keys).tolist()
+                assert not counts.keys() & set(keys) and keys == sorted(keys)
+                counts |= dict(zip(keys, unpack(r.a, np.int64).tolist()))
+                if n < 3:
+                    w = stored[(2 * n, bucket)]
+                    weights |= dict(zip(keys, zip(unpack(w.a, np.float64).tolist(), unpack(w.b, np.float64).tolist(), strict=True), strict=True))
+        want = {**brute.kept[n], **({("<s>",): brute.totals[("<s>",)]} if n == 1 else {})}
+        assert counts == {key(g): c for g, c in want.items()}
+        for g in want if n < 3 else ():
+            assert np.allclose(weights[key(g)], brute.context.get(g, (1.0, 1.0)), rtol=1e-9, atol=0), g
+
+
+def test_small_parts():
+    x = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)
+    values, at, which = distinct(x)
+    assert (values == np.unique(x)).all() and (x[at] == values).all() and (values[which] == x).all()
+    assert [len(a) for a in distinct(x[:0])] == [0, 0, 0]
+    y = np.random.default_rng(2).lognormal(0, 5, 1000)
+    assert np.allclose(rounded(y), y, rtol=2**-36, atol=0) and rounded(np.array([1.0, 0.0])).tolist() == [1.0, 0.0]
+
+
+def test_contexts_must_be_kept(spark):
+    with pytest.raises(ValueError, match="min_counts"):
+        katz_scores(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), min_counts=(1, 2, 1))
+
+
+def test_blocks_are_not_shuffled(spark):
+    docs = spark.createDataFrame(_docs(3, 30), "doc_id long, text string")
+    plan = katz(docs, F.lit(False), order=2).scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # only the answers move
+
+
 def test_better_than_unigrams_on_held_out_texts(spark):
     rows = [r for r in katz_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows) and len(rows) > 100
