@@ -40,6 +40,18 @@ def test_asof(spark, strict, within, width):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_campaigns_meet_days_not_orders(spark, tmp_path):
+    from tidemill.catalog import QUERIES
+
+    spark.range(40).selectExpr("id as p_partkey", "cast(8 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(5000).selectExpr("cast(0.01 + id as decimal(15,2)) as o_totalprice", "date'1995-01-20' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["orders_in_campaigns"](spark, str(tmp_path))
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == {(p, 5000, 12497550.0) for p in range(11, 20)}
+    plan = plan_of(got).split("Physical Plan")[1]
+    assert plan.index("Join") < plan.index("partial_count")  # orders are counted by day below the join
+
+
 def test_asof_splits_a_hot_key(spark):
     """No window holds more rows than one bucket of the key."""
     left = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("t"))

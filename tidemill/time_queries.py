@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import cubes, sketches, temporal, timeline
 from tidemill.queries import query
-from tidemill.session import cut, shared_folder, table
+from tidemill.session import ROWS, cut, shared_folder, table, tasks_for
 
 _DAY = 86_400_000_000
 
@@ -36,9 +36,9 @@ def orders_in_campaigns(spark, sf):
     """Range join without a key: orders that fall into campaigns of a few days."""
     day = lambda days: F.date_add(F.lit("1995-01-01").cast("date"), days.cast("int"))
     c = table(spark, sf, "part").select("p_partkey", day(F.col("p_partkey") % 700).alias("s"), day(F.col("p_partkey") % 700 + F.col("p_size") % 9).alias("e"))
-    o = table(spark, sf, "orders").select("o_totalprice", F.to_date("o_orderdate").alias("day"))
-    pairs = temporal.overlap_join(o, c, [], ("day", "day"), ("s", "e"), base=4)
-    return pairs.groupBy("p_partkey").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("price"))  # a row a day, exact sums
+    pairs = temporal.overlap_join(F.broadcast(o), c.repartition(tasks_for(c, ROWS)), [], ("day", "day"), ("s", "e"), base=4)
+    return pairs.groupBy("p_partkey").agg(F.sum("n").alias("orders"), F.sum("price").cast("double").alias("total"))
 
 
 _STATES = "select user_id, strftime(ts, '%Y-%m-%d') as run, arg_max(event_type, (ts, event_id)) as state from events group by 1, 2"
