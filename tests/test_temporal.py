@@ -161,3 +161,16 @@ def test_cubes(spark):
     plan = plan_of(cube_distinct(df, ["x", "y"], "id")).split("Physical Plan")[1]
     below = plan.index("Expand")
     assert "HashAggregate" in plan[below:] and "_id" in plan[below:]
+
+
+def test_cubes_tell_ids_apart_where_they_lie(spark, monkeypatch):
+    from tidemill.operators import cubes
+
+    monkeypatch.setattr(cubes, "ROWS", 50)
+    df = spark.range(400).selectExpr("cast(id % 3 as int) as x", "if(id % 7 = 0, null, id % 2) as y", "id % 37 as c")
+    got = cube_distinct(df, ["x", "y"], "c")
+    want = df.cube("x", "y").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_distinct("c").alias("ids"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = plan_of(got).split("Physical Plan")[1]
+    expanded = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "level#" in line and (" c#" in line or " _id#" in line)]
+    assert not expanded and ", 9), REPARTITION_BY_NUM" in plan  # ids aren't shuffled once a set; tasks follow rows
