@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
@@ -238,3 +239,20 @@ def test_caps_limit_groups_early(spark):
     got = latest.capped(rows, {"0": 5, "1": 2}, "s", "pos")
     assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
     assert sorted((r.s, r.pos) for r in got.collect()) == [("0", 0), ("0", 2), ("0", 4), ("0", 6), ("0", 8), ("1", 1), ("1", 3)]
+
+
+@pytest.mark.parametrize("name", ["items_of_files", "table_rows_of_files"])
+def test_tasks_of_files_follow_rows(spark, monkeypatch, name):
+    from tidemill import file_queries
+    from tidemill.catalog import QUERIES
+
+    monkeypatch.setattr(file_queries, "ROWS", 500)
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("Physical Plan")[1]
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500 + 1
+    assert n > 4 and f", {n}), REPARTITION_BY_NUM" in plan
+
+
+def test_some_kinds_of_blocks(spark):
+    texts = spark.createDataFrame([("f", "## a\n- [x] b\n\\- c\n| h |\n|---|\n| v\\|w |\n* d\n"), ("g", None)], "file string, text string")
+    every = [r for r in markdown.blocks(texts).collect() if r.kind in ("row", "item")]
+    assert markdown.blocks(texts, ["row", "item"]).collect() == every and every[1].cells == ["v|w"]
