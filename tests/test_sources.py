@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +257,23 @@ def test_some_kinds_of_blocks(spark):
     texts = spark.createDataFrame([("f", "## a\n- [x] b\n\\- c\n| h |\n|---|\n| v\\|w |\n* d\n"), ("g", None)], "file string, text string")
     every = [r for r in markdown.blocks(texts).collect() if r.kind in ("row", "item")]
     assert markdown.blocks(texts, ["row", "item"]).collect() == every and every[1].cells == ["v|w"]
+
+
+def test_a_long_file_is_shared_by_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = ["## h{}", "```", "- [x] i{}", "- b{}", "| a{} | b |", "|---|---|", "text {}"]
+    lines = [(f, p, rng.choices(kinds, [2, 1, 4, 4, 8, 2, 4])[0].format(p)) for f, n in (("long", 300), ("b", 3), (None, 60), ("c", 1)) for p in range(n)]
+    df = spark.createDataFrame(lines, "file string, pos long, line string")
+    readers = [markdown.sectioned, markdown.checklist, markdown.bullets, lambda x: markdown.pipe_rows(x, ["x", "y"])]
+    whole = [sorted(map(str, r(df).collect())) for r in readers]
+    monkeypatch.setattr(markdown, "ROWS", 20)
+    parts = markdown.parted(df)
+    assert parts.where("file = 'long'").select("_part").distinct().count() > 5 and parts.groupBy("_part").count().agg(F.max("count")).first()[0] < 100
+    assert [sorted(map(str, r(df).collect())) for r in readers] == whole
+    above = {}
+    for f, p, line in lines:  # the same by a plain loop
+        code, head = above.get(f, (False, None))
+        fence = line.startswith("```")
+        head = line[3:] if not code and line.startswith("## ") else head
+        above[f] = (code != fence, head)
+        assert f"Row(file={f!r}, pos={p}, line={line!r}, code={code or fence}, heading={line[3:] if not code and line.startswith('## ') else None!r}, section={head!r})" in whole[0]

@@ -78,6 +78,7 @@ def session_status(lines: DataFrame, validator_lines: DataFrame, findings_: Data
     Decisions go by date, undated ones last, of equal dates the lower in the file first. Root causes are those of findings_, FAIL
     before WARN. A list without entries has one row, '(none)'.
     """
+    lines = markdown.parted(lines)
     items = markdown.checklist(lines).select("file", F.lower("section").alias("list"), F.col("pos").cast("long").alias("pos"), "text").where("list in ('doing', 'next')")
     goals = markdown.bullets(lines).where(F.lower("section").contains("goal")).select("file", F.lit("goals").alias("list"), F.col("pos").cast("long").alias("pos"), "text")
     made = _first(markdown.decisions(lines), "decisions", "decision", F.desc_nulls_last("date"), F.desc("pos"), F.asc("file"))
@@ -96,6 +97,7 @@ def session_status(lines: DataFrame, validator_lines: DataFrame, findings_: Data
 def archive_preview(lines: DataFrame) -> DataFrame:
     """(kind, n, note): finished items, decisions and goals, zeros noted, nothing written."""
     spine = lines.sparkSession.createDataFrame([("done",), ("decisions",), ("goals",)], "kind string")
+    lines = markdown.parted(lines)
     done = markdown.checklist(lines).where("checked").select(F.lit("done").alias("k"))
     made = markdown.decisions(lines).select(F.lit("decisions").alias("k"))
     goals = markdown.bullets(lines).where(F.lower("section").contains("goal")).select(F.lit("goals").alias("k"))
