@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tidemill.llm import language
 from tidemill.llm.language import ORDER, code_lengths, frozen, identify, keep_known, normal, predicted, windows_of
 
 
@@ -118,3 +119,26 @@ def test_all_stay_if_nothing_can_be_learnt(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "cast(null as string) as lang")
     with pytest.warns(UserWarning, match="no language"):
         assert keep_known(docs).count() == docs.count() > 0
+
+
+def test_medians_are_exact(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(2, 0.1)) for _ in range(501)] + [("b", rng.choice([1.0, 1.00001, 7.5])) for _ in range(40)] + [("c", 3.25)] + [("d", 1.0), ("d", 4.0)]
+    want = {k: statistics.median(v for x, v in rows if x == k) for k in "abcd"}
+    assert language.medians(spark.createDataFrame(rows, "lang string, rate double")) == want
+    assert language.medians(spark.createDataFrame([], "lang string, rate double")) == {}
+
+
+def test_typical_rates_read_all_held_out_texts_whole(spark):
+    import numpy as np
+
+    text = lambda i: ("the cat sat on the mat and saw a dog " * 150 if i % 3 else "zq jx vk ") + f" {i} " + "wxyzv qjk " * (i % 700)
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(1500)], "doc_id long, text string, lang string")
+    trees = language.learn(docs.where("doc_id < 50"))
+    unseen = docs.where("doc_id >= 50")
+    got = language.typical_rates(unseen, trees, spark.sparkContext.broadcast(trees))
+    rates = [float(language.code_lengths(trees, [language.normal(text(i))])[0, 0]) / len(language.normal(text(i))) for i in range(50, 1500)]
+    assert abs(got["en"] - float(np.median(rates))) < 1e-12

@@ -24,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import exact, fresh, map_rows, texts_of
+from tidemill.llm.common import discard, exact, fresh, map_rows, staged, texts_of
 
 ORDER, UNKNOWN = 3, "und"
 #: Bytes of labelled text to learn from, over all languages; each gets an equal share of it, or all it has.
 SAMPLE_BYTES = 8 << 20
 #: Most characters of a piece of a text that is learnt from in part.
 PIECE = 4096
-#: A text is in a learnt language if its code is at most MOST_RATE times as long as is typical of the language, and SLACK bits; about RATED documents of each say what is typical.
-MOST_RATE, SLACK, RATED = 1.5, 64, 400
+#: A text is in a learnt language if its code is at most MOST_RATE times as long as is typical of the language, and SLACK bits; all documents held out say what is typical.
+MOST_RATE, SLACK = 1.5, 64
+#: Cells of a bit in which rates are counted first, to find their median.
+CELLS = 1 << 14
 _SEPARATOR = b"\n" * ORDER
 
 
@@ -212,21 +214,38 @@ def _rates(model):
     return rows
 
 
+def medians(rates: DataFrame) -> dict[str, float]:
+    """The exact median of each lang's rate. Rates are counted by cells of 1 / CELLS, then by value in the cells that hold the middle; only counts go to the driver."""
+    cell = F.floor(F.col("rate") * CELLS).cast("long")
+    cells: dict[str, dict[int, int]] = {}
+    for r in rates.groupBy("lang", cell.alias("cell")).agg(F.count("*").alias("n")).collect():
+        cells.setdefault(r["lang"], {})[r["cell"]] = r["n"]
+
+    def at(counts: dict, rank: int) -> tuple:
+        for x in sorted(counts):
+            if rank < counts[x]:
+                return x, rank
+            rank -= counts[x]
+
+    middle = {lang: [at(c, (sum(c.values()) - 1) // 2), at(c, sum(c.values()) // 2)] for lang, c in cells.items()}
+    near = F.lit(False)
+    for lang, found in middle.items():
+        near = near | ((F.col("lang") == lang) & cell.isin([c for c, _ in found]))
+    values: dict[tuple, dict[float, int]] = {}
+    for r in rates.where(near).groupBy("lang", "rate", cell.alias("cell")).agg(F.count("*").alias("n")).collect():
+        values.setdefault((r["lang"], r["cell"]), {})[r["rate"]] = r["n"]
+    return {lang: sum(at(values[lang, c], rank)[0] for c, rank in found) / 2 for lang, found in middle.items()}
+
+
 def typical_rates(unseen: DataFrame, trees: Trees, model) -> dict[str, float]:
-    """Median bits a byte of each learnt language's labelled documents that weren't learnt from, over about RATED of them, drawn by hash.
+    """Median bits a byte of each learnt language's labelled documents that weren't learnt from, over all of them and their whole texts.
 
     A language without such a document gets the highest rate of the others; without any at all none has a rate.
     """
-    rows = texts_of(unseen, "lang").where(F.col("lang").isin(trees.languages) & F.col("text").rlike(r"\p{L}"))
-    many = {r["lang"]: int(r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    most, limit = 1 << 32, F.lit(0)
-    for lang, n in many.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(most, most * RATED // n))).otherwise(limit)
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("rate")), F.lit(most)) < limit).select("lang", F.substring("text", 1, PIECE).alias("text"))
-    found: dict[str, list[float]] = {}
-    for r in map_rows(some, _rates, "lang string, rate double", model).collect():
-        found.setdefault(r["lang"], []).append(r["rate"])
-    out = {lang: float(np.median(x)) for lang, x in found.items()}
+    rows = texts_of(unseen, "lang").where(F.col("lang").isin(trees.languages) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    rates = staged(map_rows(rows, _rates, "lang string, rate double", model), "rates")
+    out = medians(rates)
+    discard(rates)
     return {lang: out.get(lang, max(out.values())) for lang in trees.languages} if out else {}
 
 
