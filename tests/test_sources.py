@@ -277,3 +277,26 @@ def test_a_long_file_is_shared_by_tasks(spark, monkeypatch):
         head = line[3:] if not code and line.startswith("## ") else head
         above[f] = (code != fence, head)
         assert f"Row(file={f!r}, pos={p}, line={line!r}, code={code or fence}, heading={line[3:] if not code and line.startswith('## ') else None!r}, section={head!r})" in whole[0]
+
+
+def test_searches_cost_what_they_reach(spark):
+    import numpy as np
+
+    graph = reach._Graph([(i, i + 1) for i in range(0, 3000, 3)] + [(1, 4), (4, 1)])
+    seen = np.zeros(len(graph.nodes), np.uint64)
+    found = [(h, len(s)) for h, s, _ in graph.levels([graph.number[0], graph.number[3]], None, seen)]
+    assert found == [(1, 2), (2, 2), (3, 0)] and not seen.any()  # one array serves all blocks of seeds
+
+
+def test_edges_are_not_shuffled_again(spark):
+    edges = spark.range(200).selectExpr("id as src", "id + 1 as dst")
+    at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = reach.reach_from(edges, spark.range(3).selectExpr("id * 100 as src"), most_hops=3, held=0)
+        assert {(r.src, r.dst, r.hops) for r in found.collect()} == {(s, s + h, h) for s in (0, 100) for h in (1, 2, 3)}
+        ahead = reach.by_start(edges.distinct())
+        plan = edges.selectExpr("src as k").join(ahead, F.col("k") == F.col("_at"))._jdf.queryExecution().toString().split("Physical Plan")[1]
+        assert "hashpartitioning(_at" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)

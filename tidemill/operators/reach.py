@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidemill.session import cut
+from tidemill.llm.common import staged
+from tidemill.session import ROWS, cut, tasks_for
 
 #: Edges that are broadcast at most (8 bytes each, and their nodes' names).
 HELD = 2_000_000
@@ -31,9 +32,9 @@ class _Graph:
         order = np.argsort(src, kind="stable")
         self.to, self.first = dst[order].astype(np.int32), np.searchsorted(src[order], np.arange(len(self.nodes) + 1))
 
-    def levels(self, seeds: list[int], most_hops: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(hops, seed's place, node) of all that up to 64 seeds reach, level by level."""
-        seen = np.zeros(len(self.nodes), np.uint64)
+    def levels(self, seeds: list[int], most_hops: int | None, seen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(hops, seed's place, node) of all that up to 64 seeds reach, level by level. seen, zeros for all nodes, is left as it came, at the cost of what is reached."""
+        touched = []
         at, bits = np.array(seeds, np.int64), np.uint64(1) << np.arange(len(seeds), dtype=np.uint64)
         hops = 0
         while len(at) and hops != most_hops:
@@ -44,12 +45,15 @@ class _Graph:
             order = np.argsort(to, kind="stable")
             at, begin = np.unique(to[order], return_index=True)
             if not len(at):
-                return
+                break
             bits = np.bitwise_or.reduceat(carried[order], begin) & ~seen[at]
             at, bits = at[bits > 0], bits[bits > 0]
             seen[at] |= bits
+            touched.append(at)
             node, seed = np.nonzero((bits[:, None] >> np.arange(len(seeds), dtype=np.uint64)) & np.uint64(1))
             yield hops, seed, at[node]
+        for at in touched:
+            seen[at] = 0
 
 
 def reach_from(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", most_hops: int | None = None, held: int = HELD) -> DataFrame:
@@ -67,20 +71,26 @@ def reach_from(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g: _Graph = shared.value
+        seen = np.zeros(len(g.nodes), np.uint64)
         names = pa.array(g.nodes, arrow.field("src").type)
         known = [g.number[x] for b in batches for x in b.column("src").to_pylist() if x in g.number]
         for i in range(0, len(known), 64):
             block = known[i : i + 64]
             own = names.take(pa.array(block))
-            for hops, seed, node in g.levels(block, most_hops):
+            for hops, seed, node in g.levels(block, most_hops, seen):
                 cols = [own.take(pa.array(seed)), names.take(pa.array(node)), pa.array(np.full(len(node), hops, np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return starts.mapInArrow(run, schema)
 
 
+def by_start(edges: DataFrame) -> DataFrame:
+    """Edges as (_at, _to), bucketed by their start, so that a hop shuffles the pairs found last and not the edges."""
+    return staged(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")), "edges", by="_at", parts=tasks_for(edges, ROWS))
+
+
 def _by_joins(one: DataFrame, starts: DataFrame, most_hops: int | None) -> DataFrame:
-    ahead = cut(one.select(F.col("src").alias("_at"), F.col("dst").alias("_to")))
+    ahead = by_start(one)
     step = cut(starts.join(ahead, starts["src"] == ahead["_at"]).select("src", F.col("_to").alias("dst")).distinct())
     found, hops = step.withColumn("hops", F.lit(1)), 1
     while hops != most_hops and not step.isEmpty():
