@@ -1,10 +1,15 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import near_dups
+from tidemill.llm.common import map_rows
 from tidemill.llm.graph import components
 from tidemill.llm.near_dups import near_duplicates, shingle_hashes, without_duplicates
 
@@ -115,3 +120,48 @@ def test_odd_rows(odd_docs, empty_docs):
     assert left.columns == odd_docs.columns and left.where("doc_id = 1").count() == 1 and left.count() == odd_docs.count() - 1
     assert near_duplicates(empty_docs).count() == 0 and without_duplicates(empty_docs).count() == 0
     assert len(shingle_hashes("a b", 5)) == 1 and len(shingle_hashes(" ", 2)) == 0
+
+
+def test_values_leave_a_block_once():
+    """However many classes of a block hold a value; copies that stand for no class don't count. Answers come in the block's order."""
+    docs = pa.table({"rid": [1, 2, 3, 4], "n_shingles": [2, 2, 1, 2], "sketch": pa.array([[5, 9], [5, 12], [5], [5, 9]], pa.list_(pa.int64()))})
+    asked = near_dups._ask(160, 4)((pa.scalar(7),), docs, pa.table({"cid": [1, 2, 3]}))
+    got = {r["part"]: (np.frombuffer(r["held"], np.int64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist()) for r in asked.to_pylist()}
+    assert got == {0: ([12], [1]), 1: ([5, 9], [3, 1])}
+    other = pa.table({"part": [1], "block": [8], "held": [np.array([9, 13]).tobytes()], "counts": [np.array([1, 1], np.uint32).tobytes()]})
+    told = near_dups._tell((pa.scalar(1),), pa.concat_tables([asked.filter(pc.equal(asked["part"], 1)), other.cast(asked.schema)]))
+    assert {r["block"]: np.frombuffer(r["dfs"], np.uint32).tolist() for r in told.to_pylist()} == {7: [3, 2], 8: [2, 1]}
+
+
+def test_lists_hold_the_rarest_shared_values(spark):
+    """Of sets of up to K shingles each class lists its size - T + 1 rarest values, less those that it holds alone."""
+    rows = _near_copies(3, 12)
+    docs = spark.createDataFrame([(d, d, t) for d, t in rows] + [(1000 + d, d, t) for d, t in rows[:5]], "rid long, doc_id long, text string")
+    sketched = map_rows(docs, near_dups._sketch, near_dups.SKETCHES, 2, 160, False).select("*", near_dups._block("rid", 3))
+    classes = docs.where("rid < 1000").select(F.col("rid").alias("cid"))
+    got = Counter((r.cid, r.side) for r in near_dups.listed(sketched, classes, 3, 80, 160).collect())
+    sketches = {d: shingle_hashes(t, 2) for d, t in rows}
+    df = Counter(v for s in sketches.values() for v in s[:160].tolist())
+    want = Counter()
+    for d, s in sketches.items():
+        shared = sum(df[v] > 1 for v in s[:160].tolist())
+        lone = min(len(s), 160) - shared
+        for b, most in near_dups.partner_bands(len(s), 80, 160):
+            mine = near_dups.band(len(s))
+            want[d, 0 if b == mine else 1 if mine < b else 2] += min(shared, max(0, most - lone))
+    assert got == +want and sum(got.values())
+
+
+def test_pairs_of_an_earlier_list_are_left_out_at_once(monkeypatch):
+    """A pair is only compared in the first list in which it meets, of the same kind of bands."""
+    compared = []
+    monkeypatch.setattr(near_dups._Part, "near", lambda self, i, j: compared.append((int(self.cid[i]), int(self.cid[j]))) or True)
+    lists = [[2, 3, 8], [2, 8], [3, 8], [8]]  # 8 is this list; 2 is of its kind, 3 is for two bands
+    n, one = len(lists), list(range(200))
+    longs = pa.list_(pa.int64())
+    rows = pa.table({
+        "part": [1] * n, "value": [8] * n, "cid": list(range(n)), "root": list(range(n)), "side": [0] * n, "chunk": [0] * n, "n_shingles": [200] * n,
+        "sketch": pa.array([one[:160]] * n, longs), "lists": pa.array(lists, longs),
+    }).to_batches()[0]
+    found = {(a, b) for _, a, b in near_dups._Part(rows, 80, 160).pairs()}
+    assert found == set(compared) == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}

@@ -27,10 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, exact, fresh, give_back, map_rows, staged
+from tidemill.llm.common import discard, exact, fresh, give_back, map_rows, parts_for, staged
 from tidemill.llm.graph import components
 
 WORDS, PERCENT, K, ROUNDS, PIVOTS = 5, 80, 160, 2, 4
@@ -102,42 +102,97 @@ def _mixed(values: np.ndarray, low: int, high: int) -> np.ndarray:
     return (x ^ x >> np.uint64(32)).view(np.int64)
 
 
-def _listed(percent: int, k: int):
-    """Batches of (cid, n_shingles, df, value), a class's shared values in order of their frequency, to the lists it is in."""
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cids, sizes = batch.column("cid").to_numpy(), batch.column("n_shingles").to_numpy()
-            ends = batch.column("value").offsets.to_numpy().tolist()
-            values, dfs = batch.column("value").values.to_numpy(), batch.column("df").values.to_numpy()
-            keys: list[np.ndarray] = []
-            of: list[tuple[int, int, int]] = []  # row, side, entries
-            for i, n in enumerate(sizes.tolist()):
-                mine, lone = band(n), min(n, k) - (ends[i + 1] - ends[i])
-                for other, most in partner_bands(n, percent, k):
-                    if most > lone:
-                        keys.append(_mixed(values[ends[i] : min(ends[i] + most - lone, ends[i + 1])], min(mine, other), max(mine, other)))
-                        of.append((i, 0 if other == mine else 1 if mine < other else 2, len(keys[-1])))
-            if not of:
-                continue
-            row, side, entries = np.array(of, np.int64).T
-            central = np.array([dfs[a:b].sum() for a, b in zip(ends, ends[1:])]) / np.minimum(sizes, k)
-            for lo in range(0, len(of), 4096):
-                some = slice(lo, lo + 4096)
-                at = np.repeat(row[some], entries[some])
-                out = (cids[at], np.concatenate(keys[some]), np.repeat(side[some], entries[some]).astype(np.int32), central[at])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["cid", "value", "side", "central"])
+
+class _Block:
+    """Documents of a block that stand for their class, and the distinct values of their sketches by part and value."""
+
+    def __init__(self, docs: pa.Table, cids: np.ndarray, k: int, parts: int):
+        docs = docs.select(["rid", "n_shingles", "sketch"]).filter(np.isin(_numbers(docs.column("rid")), cids))
+        self.cids, self.sizes = _numbers(docs.column("rid")), _numbers(docs.column("n_shingles"))
+        self.lengths = np.minimum(self.sizes, k)
+        sketches = docs.column("sketch").combine_chunks()
+        self.values, self.at, self.counts = np.unique(sketches.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        self.part = (self.values.view(np.uint64) % np.uint64(parts)).astype(np.int64)  # the high bits of a sketch's values are small
+        self.by_part = np.argsort(self.part, kind="stable")
+
+
+def _ask(k: int, parts: int):
+    """A block's distinct values and how many of its classes hold each, one row for each part of all values."""
+
+    def rows(key: tuple, docs: pa.Table, classes: pa.Table) -> pa.Table:
+        block = _Block(docs, _numbers(classes.column("cid")), k, parts)
+        values, counts, part = (x[block.by_part] for x in (block.values, block.counts.astype(np.uint32), block.part))
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+        out = ([part[a] for a, _ in spans], [key[0].as_py()] * len(spans), [values[a:b].tobytes() for a, b in spans], [counts[a:b].tobytes() for a, b in spans])
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "held", "counts"])
+
+    return rows
+
+
+def _tell(key: tuple, asked: pa.Table) -> pa.Table:
+    """The classes of the corpus that hold each value, for each block that asked and in its order."""
+    held = [np.frombuffer(x, np.int64) for x in asked.column("held").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in asked.column("counts").to_pylist()])
+    _, at = np.unique(np.concatenate(held), return_inverse=True)
+    dfs = np.minimum(np.bincount(at, counts), 0xFFFFFFFF).astype(np.uint32)[at]
+    ends = np.cumsum([len(x) for x in held]).tolist()
+    told = [dfs[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+    return pa.table([asked.column("block"), asked.column("part"), pa.array(told, pa.binary()), pa.nulls(len(told), pa.int64())], ["block", "part", "dfs", "cid"])
+
+
+def _listed(percent: int, k: int, parts: int):
+    """The lists that a block's classes are in, from the classes (rows with a cid) and frequencies (the others) that it was told."""
+
+    def rows(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        block = _Block(docs, _numbers(told.column("cid").drop_null()), k, parts)
+        answers = told.filter(told.column("part").is_valid()).sort_by("part").column("dfs").to_pylist()
+        df = np.zeros(len(block.values), np.int64)
+        df[block.by_part] = np.frombuffer(b"".join(answers), np.uint32)
+        owner = np.repeat(np.arange(len(block.cids)), block.lengths)
+        df_of = df[block.at]
+        shared = np.flatnonzero(df_of > 1)
+        shared = shared[np.lexsort((block.at[shared], df_of[shared], owner[shared]))]  # each class's in order of their frequency
+        values, dfs, kept = block.values[block.at[shared]], df_of[shared], np.bincount(owner[shared], minlength=len(block.cids))
+        ends = np.concatenate([[0], np.cumsum(kept)])
+        sums = np.concatenate([[0], np.cumsum(dfs)])
+        central = (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(block.lengths, 1)
+        keys: list[np.ndarray] = []
+        of: list[tuple[int, int, int]] = []  # row, side, entries
+        for i, (n, a, b, lone) in enumerate(zip(block.sizes.tolist(), ends.tolist(), ends[1:].tolist(), (block.lengths - kept).tolist())):
+            mine = band(n)
+            for other, most in partner_bands(n, percent, k) if a < b else ():
+                if most > lone:
+                    keys.append(_mixed(values[a : min(a + most - lone, b)], min(mine, other), max(mine, other)))
+                    of.append((i, 0 if other == mine else 1 if mine < other else 2, len(keys[-1])))
+        row, side, entries = np.array(of, np.int64).reshape(-1, 3).T
+        at = np.repeat(row, entries)
+        out = (block.cids[at], np.concatenate([*keys, np.zeros(0, np.int64)]), np.repeat(side, entries).astype(np.int32), central[at])
+        return pa.table([pa.array(c) for c in out], ["cid", "value", "side", "central"])
 
     return rows
 
 
-def listed(reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """(cid, value, side, central): the lists (a value and a pair of size bands) that each class is in, and how common its values are."""
-    values = reps.select("cid", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    by_class = values.join(shared, "value").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))  # K values at most
-    joined = by_class.join(reps.select("cid", "n_shingles"), "cid").select("cid", "n_shingles", F.col("common.df").alias("df"), F.col("common.value").alias("value"))
-    return joined.mapInArrow(_listed(percent, k), "cid long, value long, side int, central double")
+def listed(docs: DataFrame, classes: DataFrame, parts: int, percent: int, k: int) -> DataFrame:
+    """(cid, value, side, central): the lists (a value and a pair of size bands) that each class is in, and how common its values are.
+
+    docs are bucketed by block and stay where they are: a block sends each of its values once, however many
+    classes hold it, and is told their frequencies.
+    """
+    blocks = docs.groupBy("block")
+    cids = classes.select(_block("cid", parts), "cid")
+    asked = blocks.cogroup(cids.groupBy("block")).applyInArrow(_ask(k, parts), "part long, block long, held binary, counts binary")
+    told = asked.groupBy("part").applyInArrow(_tell, "block long, part long, dfs binary, cid long")
+    told = told.unionByName(cids, allowMissingColumns=True)
+    return blocks.cogroup(told.groupBy("block")).applyInArrow(_listed(percent, k, parts), "cid long, value long, side int, central double")
+
+
+def _block(rid: str, parts: int) -> Column:
+    """Twice as many blocks as buckets, as several may share one."""
+    return F.pmod(F.xxhash64(rid), F.lit(2 * parts)).alias("block")
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -159,6 +214,24 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     return links
 
 
+class _Holders:
+    """Members by the values that they hold; those of member i are ranks[ends[i]:ends[i + 1]]."""
+
+    def __init__(self, ends: np.ndarray, ranks: np.ndarray):
+        self.ends, self.ranks = ends, ranks
+        self.holders = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[np.argsort(ranks, kind="stable")]
+        self.held = np.bincount(ranks)
+        self.first = np.cumsum(self.held) - self.held
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many of i's values each member holds; reads those who hold one, not all."""
+        mine = self.ranks[self.ends[i] : self.ends[i + 1]]
+        mine = mine[self.held[mine] > 1]
+        n = self.held[mine]
+        at = np.arange(n.sum()) + np.repeat(self.first[mine] - (np.cumsum(n) - n), n)
+        return np.bincount(self.holders[at], minlength=len(self.ends) - 1)
+
+
 class _Part:
     """Members of a list, or of two chunks of one: pairs across components that may link, as (part, a, b)."""
 
@@ -166,17 +239,17 @@ class _Part:
         number = lambda c: rows.column(c).to_numpy()
         arrays = lambda c: (rows.column(c).offsets.to_numpy().astype(np.int64), rows.column(c).values.to_numpy())
         self.part, self.value, self.cid, self.root, self.side, self.chunk, self.size = map(number, ("part", "value", "cid", "root", "side", "chunk", "n_shingles"))
-        (self.ends, values), (self.list_ends, self.lists) = arrays("sketch"), arrays("lists")
+        (self.ends, values), (list_ends, lists) = arrays("sketch"), arrays("lists")
         _, self.ranks = np.unique(values[self.ends[0] : self.ends[-1]].view(np.uint64), return_inverse=True)  # ranks keep the order of values
         self.ends = self.ends - self.ends[0]
+        self.sketches = _Holders(self.ends, self.ranks)
+        # lists before this one in which members meet too: a pair leaves once, from its first. Two of a size band share lists for other bands too, which don't count
+        lists, here = lists[list_ends[0] : list_ends[-1]], np.repeat(self.value, np.diff(list_ends))
+        before = (lists < here) & ((lists & 1) == (here & 1))
+        ends = np.concatenate([[0], np.cumsum(before)])[list_ends - list_ends[0]]
+        self.before = _Holders(ends, np.unique(lists[before], return_inverse=True)[1])
         self.percent, self.k = percent, k
 
-    def here(self, i: int, j: int) -> bool:
-        """Whether this list is the first in which i and j may meet: a pair leaves once. Two of a size band share lists for other bands too, which don't count."""
-        of = lambda x: self.lists[self.list_ends[x] : self.list_ends[x + 1]]
-        shared = np.intersect1d(of(i), of(j), assume_unique=True)
-        return shared[(shared & 1) == (self.side[i] != 0)][0] == self.value[i]
-
     def enough(self, i: int, others: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Which overlaps of sketches are at least needed()."""
         n = self.size[i] + self.size[others]
@@ -203,7 +276,6 @@ class _Part:
         root, size = self.root.copy(), self.size
         _, of, members = np.unique(root, return_inverse=True, return_counts=True)
         order = np.lexsort((self.cid, root, members[of]))  # the largest component last: its members are only partners
-        own = np.zeros(self.ranks.max(initial=0) + 1, bool)
         for at, i in enumerate(order.tolist()):
             others = order[at + 1 :]
             others = others[(root[others] != root[i]) & ((self.side[others] != self.side[i]) | (self.side[i] == 0))]
@@ -212,13 +284,11 @@ class _Part:
             others = others[(100 * size[others] >= self.percent * size[i]) & (100 * size[i] >= self.percent * size[others])]
             if not len(others):
                 continue
-            mine = self.ranks[self.ends[i] : self.ends[i + 1]]
-            own[mine] = True
-            sums = np.concatenate([[0], np.cumsum(own[self.ranks])])
-            own[mine] = False
-            common = sums[self.ends[1:]] - sums[self.ends[:-1]]
-            for j in others[self.enough(i, others, common[others])].tolist():
-                if root[i] != root[j] and self.near(i, j) and self.here(i, j):
+            others = others[self.enough(i, others, self.sketches.shared(i)[others])]
+            if not len(others):
+                continue
+            for j in others[self.before.shared(i)[others] == 0].tolist():
+                if root[i] != root[j] and self.near(i, j):
                     yield int(self.part[i]), int(self.cid[i]), int(self.cid[j])
                     if max(size[i], size[j]) <= self.k:  # whole sets: they do link
                         root[root == root[j]] = root[i]
@@ -372,18 +442,20 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: i
     docs = exact(docs)
     number = F.col(rid) if rid else F.monotonically_increasing_id()
     rows = docs.select(number.cast("long").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    everything = staged(map_rows(rows, _sketch, SKETCHES, words, k, False), "sketches")
+    parts = min(parts_for(docs), 100_000)  # Spark has no more buckets
+    sketched = map_rows(rows, _sketch, SKETCHES, words, k, False)
+    everything = staged(sketched.select("*", _block("rid", parts)), "sketches", by="block", parts=parts)
     classes = staged(everything.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("cid")), "classes")
-    s = staged(everything.drop("sketch"), "rows")
-    reps = staged(everything.join(classes.select("cid"), everything["rid"] == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "doc_id", "n_shingles", "sig", "sketch"), "representatives")
-    discard(everything)
-    drawn = staged(listed(reps, percent, k), "lists")
+    s = staged(everything.select("rid", "doc_id", "n_shingles", "sig"), "rows")
+    drawn = staged(listed(everything, classes, parts, percent, k), "lists")
     meeting = drawn.groupBy("value").agg(F.count("*").alias("m"), F.min("side").alias("s0"), F.max("side").alias("s1")).where("m > 1 and (s1 = 0 or s0 <> s1)").select("value")
     lists = staged(drawn.join(meeting, "value", "left_semi"), "lists")
     discard(drawn)
 
-    involved = staged(reps.join(lists.select("cid").distinct(), "cid", "left_semi"), "involved")
-    discard(reps)
+    in_lists = lists.select(_block("cid", parts), "cid").distinct()
+    reps = everything.withColumnRenamed("rid", "cid").join(in_lists, ["block", "cid"], "left_semi")
+    involved = staged(reps.select("cid", "doc_id", "n_shingles", "sig", "sketch"), "involved")
+    discard(everything)
     wanted = involved.select(F.col("doc_id").alias("wanted")).distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     hashed = map_rows(texts, _sketch, "sig binary, set array<long>", words, k, True)
