@@ -152,3 +152,14 @@ def test_sequences_hold_all_ids_with_little_padding(spark):
 def test_names_that_differ_in_case(spark):
     docs = spark.createDataFrame([(1, "one two", "other", 9)], "doc_id long, text string, Text string, DOC_ID long")
     assert texts_of(docs).collect() == [(1, "one two")]
+
+
+def test_cases_of_ascii_words_are_one_chunk():
+    """Of a lower-casing tokenizer; a word with one mark needs no pattern. Ids stay those of the tokenizer."""
+    made = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["The THE the. tHe, don't DON'T it's X1 a-b\nThe", "Thé İ The ẞ T̈ ÀB. the", ".", "a..", "$a a$ (a) a)", "\x1cA. \x85B"]
+    for text in texts:
+        assert np.frombuffer(made.ids(text), "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+    made = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    made.ids("The THE the. tHe,")
+    assert set(made.bare) == {"the", "the.", "the,", ".", ","}

@@ -32,6 +32,18 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTES = _byte_chars()
+_MARKS = frozenset(".,!?;:*$%&#|)]}")
+
+
+class _Little(dict):
+    """Ids as four bytes; there are no more than a vocabulary has."""
+
+    def __missing__(self, i: int) -> bytes:
+        self[i] = b = pack("<I", i)
+        return b
+
+
+_LITTLE = _Little()
 
 
 class _Chunks(dict):
@@ -52,6 +64,12 @@ class _Chunks(dict):
         return ids
 
 
+def _caseless(norm: dict) -> bool:
+    """Whether the Replace step of the normalizer has no letter in its pattern, which it reads before Lowercase."""
+    replaced = [n["pattern"] for n in norm["normalizers"] if n["type"] == "Replace"]
+    return not any(c.isalpha() for p in replaced for c in "".join(p.values()).replace("\\s", ""))
+
+
 class Encoder:
     """ids(text) as little-endian uint32 bytes, equal to encode(text, add_special_tokens=False).
 
@@ -75,13 +93,17 @@ class Encoder:
             self.ids, self.lower = self._by_words, True
         else:
             self.ids = self._whole
+        #: A-Z may be lowered first where nothing else in the normalizer tells cases apart.
+        self.ascii_lower = self.lower and _caseless(norm)
         self.bare, self.spaced = _Chunks(self._bare), _Chunks(self._spaced)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _by_words(self, text: str) -> bytes:
-        """White space is in no token: chunks lie between spaces and line ends."""
+        """White space is in no token: chunks lie between spaces and line ends. Of ASCII texts both cases of a word are one chunk."""
+        if self.ascii_lower and text.isascii():
+            text = text.lower()
         return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _by_spaces(self, text: str) -> bytes:
@@ -103,10 +125,14 @@ class Encoder:
             word = word.lower()
         if not word.isascii():
             word = "".join(map(_BYTES.__getitem__, word.encode()))
-        ids = [t.id for t in self.model.tokenize(before + word)]
-        return pack(f"<{len(ids)}I", *ids)
+        return b"".join([_LITTLE[t.id] for t in self.model.tokenize(before + word)])
 
     def _bare(self, chunk: str) -> bytes:
+        if chunk.isascii():  # most are letters alone, or with one mark: no need for the pattern
+            if chunk.isalpha():
+                return self._word(chunk, "")
+            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                return self.bare[chunk[:-1]] + self.bare[chunk[-1]]
         if not (m := _PLAIN.fullmatch(chunk)):
             return self._whole(chunk)
         word, marks, end, word2, marks2 = m.groups()
