@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemill.llm.katz import CUTOFF, END, START, distinct, good_turing, joined, katz, katz_scores, rounded, unpack, unpack_keys
+from tidemill.llm.katz import CUTOFF, END, START, Stats, distinct, good_turing, joined, katz, katz_scores, pack, rounded, unpack, unpack_keys
 
 
 def discounts_by_hand(of_counts, least=1):
@@ -172,6 +172,30 @@ def test_blocks_are_not_shuffled(spark):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # only the answers move
 
 
+def test_contexts_stay_where_they_were_counted(spark):
+    """Weights meet the places of contexts without moving them, blocks get none; the highest order is counted in ranges of buckets; own n-grams are told in bits."""
+    docs = spark.createDataFrame(_docs(9, 80), "doc_id long, text string").repartition(3)
+    tables = katz(docs, F.lit(False), block=300, bucket=500).tables
+    step = lambda t: {r.step for r in t.select("step").distinct().collect()}
+    below = next(t for t in tables if step(t) == {3})
+    assert "Exchange" not in below.groupBy("bucket").count()._jdf.queryExecution().executedPlan().toString()
+    for r in below.where("not model").collect():
+        assert len(r.b) <= 4 + -(-len(unpack(r.a, np.int64)) // 8) and len(unpack_keys(r["keys"])) == len(unpack(r.a, np.int64))
+    ranges = [{r.bucket for r in t.select("bucket").distinct().collect()} for t in tables if step(t) == {5}]
+    assert len(ranges) == 2 and max(ranges[0]) < min(ranges[1])
+
+
+def test_masses_are_sums_of_shares():
+    rng = np.random.default_rng(5)
+    stats, which, counts = Stats(2, [9, 3, 1, 1, 1, 1], discounts=good_turing([900, 300, 100, 50, 30, 20])), rng.integers(0, 40, 3000), rng.integers(1, 12, 3000)
+    got = stats.mass(which, counts, 50)
+    assert np.allclose(got, np.bincount(which, stats.share(counts), 50)) and (got[40:] == 0).all()
+    order = rng.permutation(3000)
+    assert (stats.mass(which[order], counts[order], 50) == got).all()
+    bits = rng.integers(0, 2, 77).astype(bool)
+    assert (unpack(pack(bits), np.bool_) == bits).all() and len(unpack(pack(bits[:0]), np.bool_)) == 0
+
+
 def test_better_than_unigrams_on_held_out_texts(spark):
     rows = [r for r in katz_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows) and len(rows) > 100

@@ -11,9 +11,11 @@ bucket. Blocks are stored by their number, so that answers come to them and they
 For each order n an exchange counts n-grams (held-out texts send zeros, and
 ask, and learn the places of their n-grams among the bucket's). Counts up to ``CUTOFF`` are discounted by Good-Turing estimates from the counts of
 counts; all n-grams are kept (``min_counts`` of a caller may
-leave rare ones out, which leaves their mass to the back-off). A second exchange, by context (named by its place, which is shorter than its key), adds up the discounted mass and
+leave rare ones out, which leaves their mass to the back-off). The highest order is counted in ``PASSES`` ranges of buckets, one after the other. A second exchange, by context, adds up the discounted mass and
 the lower-order probability of the words seen after each context, once for each n-gram (by the
-first block that holds it; the mass as whole numbers of n-grams by count), and gives the weight
+first block that holds it, which sends whole numbers: its count, the count of the n-gram without its first word, and
+how often the context without its first word was seen, which divides all of a context's lower counts), and gives the weight. It meets the
+places of contexts where the first exchange left them, as both have the same buckets:
 
     alpha(context) = (1 - sum of discounted shares) / (1 - sum of lower-order probabilities)
 
@@ -40,22 +42,29 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import map_rows, parts_for, staged, texts_of
 
 ORDER, MIN_COUNTS, CUTOFF, BLOCK, BUCKET = 3, (1, 1, 1), 5, 1 << 20, 2 << 20
-#: Sums of lower-order probabilities go as whole numbers of 1 / LOW: short, and added up exactly in any order.
-LOW = 1 << 44
+#: Ranges of buckets in which the highest order, which has the most n-grams, is counted: each sends its share of the keys.
+PASSES = 2
+#: How a block is told a context's scale: 0 is 1, LARGE is total / (total + 1), OTHER is sent.
+LARGE, OTHER = 1, 2
 START, END = np.uint64(xxhash.xxh3_64_intdigest(b" ")), np.uint64(xxhash.xxh3_64_intdigest(b""))
 
 BLOCKS = "block long, n_tokens long, doc_ids binary, no_id binary, held binary, sizes binary, vocabulary binary, tokens binary"
-SENT = "bucket int, block long, keys binary, a binary, b binary, c binary"
+SENT = "bucket int, block long, keys binary, a binary"
+ASKED = "bucket int, block long, followers binary, counts binary, lower binary, totals binary, scales binary, wanted binary"
 ANSWERS = "model boolean, block long, step int, bucket int, keys binary, a binary, b binary"
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Bytes of an array, plane by plane, compressed."""
+    """Bytes of an array, plane by plane, compressed; of booleans, bits after their number."""
+    if x.dtype == bool:
+        return len(x).to_bytes(4, "little") + np.packbits(x).tobytes()
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
+    if kind is np.bool_:
+        return np.unpackbits(np.frombuffer(data, np.uint8, offset=4), count=int.from_bytes(data[:4], "little")).astype(bool)
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
@@ -125,27 +134,34 @@ class Block:
         self.place = np.arange(n) - np.repeat(begin, self.sizes + 1)
         self.learn = np.repeat(~self.held, self.sizes + 1)
         self.starts = starts
+        self.run = self.grams = run
+        self.order = 1
         self.levels: list[Level] = []
-        grams = run
         for k in range(1, order + 1):
-            if k > 1:
-                longer = np.zeros(n, np.uint64)
-                longer[1:] = joined(grams[:-1], run[1:])
-                grams = longer
-            valid = np.flatnonzero(self.place >= k - 1)
-            keys, one, which = distinct(grams[valid])
+            valid, grams = self.long(k)
+            keys, one, which = distinct(grams)
             at = np.full(n, -1, np.int32)
             at[valid] = which
             self.levels.append(Level(keys, at, valid[one]))
 
-    def counts(self, level: Level) -> np.ndarray:
-        """Of each distinct n-gram in texts to learn from."""
-        return np.bincount(level.at[(level.at >= 0) & self.learn], minlength=len(level.keys)).astype(np.uint32)
+    def long(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where an n-gram of this order ends, and its key; orders must not fall from call to call."""
+        while self.order < order:
+            longer = np.zeros(len(self.run), np.uint64)
+            longer[1:] = joined(self.grams[:-1], self.run[1:])
+            self.grams, self.order = longer, self.order + 1
+        valid = np.flatnonzero(self.place >= order - 1)
+        return valid, self.grams[valid]
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Sorted keys by bucket: equal ranges of the hash."""
-    own = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Sorted keys by bucket."""
+    own = bucket_of(keys, buckets)
     ends = np.searchsorted(own, np.arange(buckets + 1))
     for b in np.unique(own).tolist():
         yield b, slice(int(ends[b]), int(ends[b + 1]))
@@ -166,6 +182,14 @@ class Stats:
         c = counts.astype(np.float64)
         return c * self.discounts[np.minimum(counts, CUTOFF + 1).astype(np.int64)]
 
+    def mass(self, which: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        """Sums of discounted counts by which (0 to n - 1), the same in any order: added as whole numbers, of n-grams for each small count."""
+        out = np.zeros(n)
+        for r in range(1, CUTOFF + 1):
+            out += np.bincount(which[counts == r], minlength=n) * (r * self.discounts[r])
+        large = counts > CUTOFF
+        return out + np.bincount(which[large], counts[large], n)
+
 
 def smoothed(of_counts: list[int]) -> tuple[float, float] | None:
     """Intercept and slope of the line through the logarithms of counts of counts over those of counts, each weighed by its count of counts.
@@ -213,14 +237,13 @@ def order_one(stats: Stats) -> tuple[float, float]:
 
 
 class Known:
-    """Answers to a block, by step: counts of order n at step 2n - 1, (alpha, scale) of contexts of order n + 1 at step 2n."""
+    """Answers to a block, by step: counts of order n at step 2n - 1, alpha and scale of contexts of order n + 1 at step 2n."""
 
     def __init__(self, block: Block, answers: list[dict], stats: list[Stats]):
         self.block, self.stats = block, stats
         self.counts: dict[int, np.ndarray] = {}
         self.own: dict[int, np.ndarray] = {}
         self.alpha: dict[int, np.ndarray] = {}
-        self.places: dict[int, dict[int, bytes]] = {}
         self.scale: dict[int, np.ndarray] = {}
         by_step: dict[int, list[dict]] = {}
         for a in answers:
@@ -229,12 +252,15 @@ class Known:
         for n in range(1, len(block.levels) + 1):
             self.counts[n] = answered(2 * n - 1, "a", np.int64)
             if all(r["b"] for r in by_step.get(2 * n - 1, [])):
-                self.own[n] = answered(2 * n - 1, "b", np.uint8).astype(bool)
-            self.places[n] = {r["bucket"]: r["keys"] for r in by_step.get(2 * n - 1, [])}
+                self.own[n] = answered(2 * n - 1, "b", np.bool_)
         for n in range(1, len(block.levels)):
-            self.scale[n] = answered(2 * n, "b", np.float64)
+            if 2 * n not in by_step:
+                continue
+            how, total = answered(2 * n, "b", np.uint8), self.counts[n]
+            self.scale[n] = np.where(how == LARGE, total / (total + 1.0), 1.0)
+            self.scale[n][how == OTHER] = answered(2 * n, "keys", np.float64)
             self.alpha[n] = np.zeros(len(self.scale[n]))
-            if len(self.scale[n]):
+            if all(r["a"] for r in by_step[2 * n]):
                 self.alpha[n][self.wanted(n + 1)] = answered(2 * n, "a", np.float64)
 
     def context_of(self, n: int) -> np.ndarray:
@@ -308,17 +334,23 @@ def _blocks(size: int):
     return rows
 
 
-def _ask_counts(n: int, buckets: int):
+def _ask_counts(n: int, buckets: int, first: int, end: int):
+    """Counts in texts to learn from, for the buckets from first to before end."""
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def rows(blocks: Iterable[tuple]) -> Iterator[tuple]:
         for row in blocks:
             row = dict(zip(names, row))
-            block = Block(row, n)
-            level = block.levels[-1]
-            counts = block.counts(level)
-            for b, s in bucket_slices(level.keys, buckets):
-                yield b, row["block"], pack_keys(level.keys[s]), pack(counts[s]), None, None
+            block = Block(row, 0)
+            valid, grams = block.long(n)
+            if end - first < buckets:
+                own = bucket_of(grams, buckets)
+                here = (own >= first) & (own < end)
+                valid, grams = valid[here], grams[here]
+            keys, _, which = distinct(grams)
+            counts = np.bincount(which[block.learn[valid]], minlength=len(keys)).astype(np.uint32)
+            for b, s in bucket_slices(keys, buckets):
+                yield b, row["block"], pack_keys(keys[s]), pack(counts[s])
 
     return rows
 
@@ -348,8 +380,8 @@ def _count(step: int, least: int, last: bool):
         there = np.flatnonzero(counts)[::-1]
         first = np.full(len(keys), -1)
         first[inverse[there]] = there  # the last one put stays, which is the first block's
-        own = np.zeros(len(counts), np.uint8)
-        own[first[first >= 0]] = 1
+        own = np.zeros(len(counts), bool)
+        own[first[first >= 0]] = True
         rare = np.bincount(np.minimum(totals, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
         start = int(totals[keys == START].sum()) if step == 1 else 0
         if 0 < start <= CUTOFF + 1:
@@ -362,7 +394,7 @@ def _count(step: int, least: int, last: bool):
         for r, s in zip(rows, slices):
             k = kept[inverse[s]]
             places = None if last else pack_keys(inverse[s].astype(np.uint64))
-            out.append((False, r["block"], step, bucket, places, pack(k), pack(own[s] * (k > 0).astype(np.uint8))))
+            out.append((False, r["block"], step, bucket, places, pack(k), None if step == 1 else pack(own[s] & (k > 0))))
         return _table(out, ANSWERS)
 
     return reduce
@@ -374,42 +406,52 @@ def _ask_weights(n: int, buckets: int, stats: list[Stats]):
         for row in block_row.to_pylist():
             block = Block(row, n)
             known = Known(block, answers.to_pylist(), stats)
-            lower = known.probabilities(n - 1)[block.levels[n - 2].at[block.levels[n - 1].place]]
-            own = known.own[n]
+            own = np.flatnonzero(known.own[n])
             context = known.context_of(n)[own]
-            keys = block.levels[n - 2].keys
-            counts = known.counts[n][own]
-            # the discounted mass as whole numbers: n-grams of each small count, and the sum of the large counts
-            sums = [np.bincount(context[counts == r], minlength=len(keys)) for r in range(1, CUTOFF + 1)]
-            large = counts > CUTOFF
-            sums.append(np.bincount(context[large], counts[large], len(keys)).astype(np.int64))
-            low = np.rint(np.bincount(context, lower[own], len(keys)) * LOW).astype(np.int64)
-            asked = known.counts[n - 1].astype(np.int64) << 1 | known.wanted(n)
-            some = np.any(sums, axis=0)
-            for b, s in bucket_slices(keys, buckets):
-                out.append((b, row["block"], known.places[n - 1][b], pack(np.concatenate([x[s] for x in sums]).astype(np.int64)), pack(low[s][some[s]]), pack(asked[s])))
-        return _table(out, SENT)
+            order = np.argsort(context)
+            own = own[order]
+            contexts = block.levels[n - 2]
+            followers = np.bincount(context, minlength=len(contexts.keys))
+            end = np.cumsum(followers)
+            # an n-gram that is kept is kept without its first word too, so its lower-order probability is a share
+            counts, lower = known.counts[n][own], known.counts[n - 1][contexts.at[block.levels[n - 1].place[own]]]
+            wanted = known.wanted(n)
+            for b, s in bucket_slices(contexts.keys, buckets):
+                totals = scales = None
+                if n > 2:
+                    shorter = block.levels[n - 3].at[contexts.place[s][followers[s] > 0]]
+                    totals, scales = pack(known.counts[n - 2][shorter]), pack(known.scale[n - 2][shorter])
+                mine = slice(end[s.start] - followers[s.start], end[s.stop - 1])
+                out.append((b, row["block"], pack(followers[s]), pack(counts[mine]), pack(lower[mine]), totals, scales, pack(wanted[s])))
+        return _table(out, ASKED)
 
     return rows
 
 
-def _weigh(step: int, stats: Stats):
-    def reduce(sent: pa.Table) -> pa.Table:
+def _weigh(step: int, stats: Stats, lower: Stats):
+    def reduce(sent: pa.Table, known: pa.Table) -> pa.Table:
         rows = sorted(sent.to_pylist(), key=lambda r: r["block"])
-        places = [unpack_keys(r["keys"]).astype(np.int64) for r in rows]
+        there = sorted(known.to_pylist(), key=lambda r: r["block"])
+        if [r["block"] for r in rows] != [r["block"] for r in there]:
+            raise ValueError("a block's contexts differ from those it counted")
+        places = [unpack_keys(r["keys"]).astype(np.int64) for r in there]
         ends = np.cumsum([len(x) for x in places]).tolist()
         slices = [slice(e - len(x), e) for e, x in zip(ends, places)]
         inverse = np.concatenate(places)
         n = int(inverse.max()) + 1
         put = lambda c, kind: np.concatenate([unpack(r[c], kind) for r in rows])
-        asked = put("c", np.int64)
-        wanted = (asked & 1).astype(bool)
+        wanted, followers = put("wanted", np.bool_), put("followers", np.int64)
         total = np.zeros(n, np.int64)
-        total[inverse] = asked >> 1
-        sums = np.concatenate([unpack(r["a"], np.int64).reshape(CUTOFF + 1, -1) for r in rows], axis=1)
-        low = np.bincount(inverse[sums.any(axis=0)], put("b", np.int64), n) / LOW
-        sums = np.array([np.bincount(inverse, x, n) for x in sums])
-        mass = (sums[:-1].T @ (np.arange(1, CUTOFF + 1) * stats.discounts[1 : CUTOFF + 1]) + sums[-1]) / np.maximum(total, 1)
+        total[inverse] = np.concatenate([unpack(r["a"], np.int64) for r in there])
+        which = np.repeat(inverse, followers)
+        mass = stats.mass(which, put("counts", np.int64), n) / np.maximum(total, 1)
+        low = lower.mass(which, put("lower", np.int64), n)
+        if lower.order == 1:
+            low *= order_one(lower)[0] / max(1, lower.tokens)
+        else:
+            share = np.zeros(n)
+            share[inverse[followers > 0]] = put("scales", np.float64) / put("totals", np.int64)
+            low *= share
         full = mass > 1 - 1e-9
         scale = np.where(full, total / (total + 1.0), 1.0)
         left = np.where(full, 1 / (total + 1.0), 1 - mass)
@@ -417,8 +459,12 @@ def _weigh(step: int, stats: Stats):
         alpha = np.where(all_seen, 0.0, left / np.where(all_seen, 1.0, 1 - low))
         scale = np.where(all_seen, 1 / np.where(all_seen, mass, 1.0), scale)
         bucket, kept = rows[0]["bucket"], total > 0
-        out = [(True, None, step, bucket, None, pack(rounded(alpha[kept])), pack(scale[kept]))]
-        out += [(False, r["block"], step, bucket, None, pack(alpha[inverse[s][wanted[s]]]), pack(scale[inverse[s]])) for r, s in zip(rows, slices)]
+        alpha = rounded(alpha)
+        how = np.where(all_seen, OTHER, np.where(full, LARGE, 0)).astype(np.uint8)
+        out = [(True, None, step, bucket, None, pack(alpha[kept]), pack(scale[kept]))]
+        for r, s in zip(rows, slices):
+            at = inverse[s]
+            out.append((False, r["block"], step, bucket, pack(scale[at[how[at] == OTHER]]), pack(alpha[at[wanted[s]]]), pack(how[at])))
         return _table(out, ANSWERS)
 
     return reduce
@@ -455,7 +501,7 @@ def _score(order: int, stats: list[Stats]):
 class Katz:
     """The model's tables and scores.
 
-    Rows with model = true: step 2n - 1 holds keys and counts of order n by bucket, step 2n alpha (to 36 binary digits; scores use all) and scale of the same n-grams as
+    Rows with model = true: step 2n - 1 holds keys and counts of order n by bucket, step 2n alpha (to 36 binary digits, as scores use it) and scale of the same n-grams as
     contexts, in the order of step 2n - 1's keys of that bucket (both 1 if nothing follows).
     """
 
@@ -480,25 +526,34 @@ def katz(docs: DataFrame, held_out: Column, order: int = ORDER, min_counts: tupl
     stats: list[Stats] = []
     tables: list[DataFrame] = []
 
-    def answers(placed: int = 0) -> DataFrame:
-        """To all blocks; places of n-grams of order placed alone, and which are a block's own of the next order."""
+    def answers(owned: int = 0) -> DataFrame:
+        """To all blocks: what scores need, or what order owned needs for its weights: which n-grams are a block's own, and no alphas."""
         known = tables[0]
         for t in tables[1:]:
             known = known.unionByName(t)
-        places = F.when(F.col("step") == 2 * placed - 1, F.col("keys")).alias("keys")
-        own = F.when((F.col("step") % 2 == 0) | (F.lit(placed > 0) & (F.col("step") == 2 * placed + 1)), F.col("b")).alias("b")
-        return known.where("not model").select("block", "step", "bucket", places, "a", own).groupBy("block")
+        alphas = F.when((F.col("step") % 2 == 1) | F.lit(owned == 0), F.col("a")).alias("a")
+        own = F.when((F.col("step") % 2 == 0) | (F.col("step") == 2 * owned - 1), F.col("b")).alias("b")
+        scales = F.when(F.col("step") % 2 == 0, F.col("keys")).alias("keys")
+        return known.where("not model").select("block", "step", "bucket", scales, alphas, own).groupBy("block")
 
+    placed = min(max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000)
     for n in range(1, order + 1):
         least = min_counts[min(n, len(min_counts)) - 1]
-        sent = map_rows(blocks, _ask_counts, SENT, n, buckets)
-        tables.append(staged(sent.groupBy("bucket").applyInArrow(_count(2 * n - 1, least, n == order), ANSWERS), f"katz-counts-{n}", "none"))
-        parts = [np.frombuffer(r["b"], np.int64) for r in tables[-1].where("model").select("b").toLocalIterator()]
+        passes = min(PASSES, buckets) if n == order else 1
+        made = []
+        for i in range(passes):
+            sent = map_rows(blocks, _ask_counts, SENT, n, buckets, buckets * i // passes, buckets * (i + 1) // passes)
+            made.append(staged(sent.groupBy("bucket").applyInArrow(_count(2 * n - 1, least, n == order), ANSWERS), f"katz-counts-{n}", "none", by="bucket", parts=placed, moved=False))
+        tables += made
+        parts = [np.frombuffer(r["b"], np.int64) for t in made for r in t.where("model").select("b").toLocalIterator()]
         sums = np.sum(parts, axis=0).tolist() if parts else [0] * (CUTOFF + 3)
         stats.append(Stats(n, sums[: CUTOFF + 1], sums[-2], sums[-1], good_turing(sums[: CUTOFF + 1], least)))
         if n > 1:
-            asked = blocks.groupBy("block").cogroup(answers(n - 1)).applyInArrow(_ask_weights(n, buckets, list(stats)), SENT)
-            tables.append(staged(asked.groupBy("bucket").applyInArrow(_weigh(2 * n - 2, stats[-1]), ANSWERS), f"katz-weights-{n}", "none"))
+            asked = blocks.groupBy("block").cogroup(answers(n)).applyInArrow(_ask_weights(n, buckets, list(stats)), ASKED)
+            contexts = below.where("not model").select("bucket", "block", "keys", "a").groupBy("bucket")
+            weights = asked.groupBy("bucket").cogroup(contexts).applyInArrow(_weigh(2 * n - 2, stats[-1], stats[-2]), ANSWERS)
+            tables.append(staged(weights, f"katz-weights-{n}", "none"))
+        below = made[0]  # of all orders but the highest there is one
     return Katz(tables, stats, blocks.groupBy("block").cogroup(answers()).applyInArrow(_score(order, list(stats)), SCORES))
 
 
