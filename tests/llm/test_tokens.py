@@ -10,7 +10,7 @@ import zstandard
 
 from tidemill.llm.common import texts_of
 from tidemill.llm.packing import LENGTH, FirstFit, pack_documents, sequences
-from tidemill.llm.token_file import BLOCK_IDS, _code_lengths, _tree, decode_block, encode_block, read_file, read_token_files, write_file, write_token_files
+from tidemill.llm.token_file import _ONE_EACH, _UP_TO, BLOCK_IDS, _code_lengths, _Model, _tree, decode_block, encode_block, read_file, read_token_files, write_file, write_token_files
 from tidemill.llm.tokens import Encoder
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -58,6 +58,22 @@ def test_blocks_take_fewer_bits_than_zstandard(spark):
     assert len(data) < len(zstandard.compress(block.astype("<u2").tobytes(), 19))
 
 
+def test_ends_of_branches_are_whole_numbers_in_order():
+    """Products add up what sums along rows do, exactly; visits are not counted by themselves."""
+    rng = np.random.default_rng(6)
+    parts = rng.integers(0, 65_000, (500, 16)).astype(np.float32)
+    want = np.cumsum(parts[:, 1:].astype(np.int64) + 1, axis=1)
+    got = parts @ _UP_TO + _ONE_EACH
+    assert (got[:, 0] == 0).all() and (got[:, 1:] == want).all()
+    model = _Model(3, 64)
+    for _ in range(20):
+        node, last = rng.integers(0, 3, 8), rng.integers(0, 4, 8).astype(np.uint64)
+        ends = model.predict(node, last, last * np.uint64(7))
+        assert (ends[:, 0] == 0).all() and (np.diff(ends) >= 1).all() and (ends == np.floor(ends)).all()
+        model.learn(rng.integers(1, 16, 8))
+    assert all(c[:, 0].sum() == 0 and c.sum() == 160 for c in model.counts)
+
+
 def test_code_lengths_make_a_full_prefix_code():
     """Every id that occurs has its own path, and no path begins with another; the code is no longer than 4-bit-aligned entropy plus one branch."""
     rng = np.random.default_rng(4)

@@ -46,10 +46,13 @@ NULL_ID = -(1 << 63)
 _MAGIC = b"TMC2"
 _U = np.uint64
 _TOP, _BOT, _FULL = _U(1 << 48), _U(1 << 32), _U((1 << 64) - 1)
-#: Branches of a node (1 to 15; place 0 of its row of counts holds its visits), and parts that a branch's probabilities are scaled to.
+#: Branches of a node (1 to 15; place 0 of its row of counts stays 0), and parts that a branch's probabilities are scaled to.
 _WAYS, _ROW, _PARTS = 15, 16, np.float32(1 << 16)
 #: Weight of the shorter context's prediction in counts, and the limit at which mixture counts are halved.
 _PRIOR, _MIX_LIMIT = np.float32(2.0), 1 << 15
+#: Products with these add up rows, and all branches up to each. They are exact: whole numbers under 2**24, in any order.
+_ALL, _UP_TO, _ONE_EACH = np.ones(_ROW, np.float32), np.triu(np.ones((_ROW, _ROW), np.float32)), np.arange(_ROW, dtype=np.float32)
+_UP_TO[0] = 0
 _ODD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 _CONFIDENCE = np.array([min(7, n.bit_length()) for n in range(256)], np.int64)
 
@@ -113,14 +116,15 @@ class _Model:
         bits = min(20, max(8, n.bit_length() + 1))
         self.shift = _U(64 - bits)
         self.counts = [np.zeros((rows, _ROW), np.float32) for rows in (nodes, 1 << bits, 1 << bits)]
+        self.room = np.empty((3, min(MAX_LANES, n), _ROW), np.float32)
         self.mix = [np.full(64, w) for w in (1.0, 2.0, 4.0)]
 
     def predict(self, node: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         """Ends of the branches' intervals, after a zero. c1, c2: hashes of the last id and of the last two."""
         step = node.view(_U) * _ODD[1]
         self.at = [node, *(((c + step) * _ODD[0] >> self.shift).view(np.int64) for c in (c1, c2))]
-        self.rows = [c.take(at, axis=0) for c, at in zip(self.counts, self.at)]
-        n0, n1, n2 = (row[:, 0].copy() for row in self.rows)
+        rows = [c.take(at, axis=0, out=room[: len(node)], mode="clip") for c, at, room in zip(self.counts, self.at, self.room)]
+        n0, n1, n2 = (row @ _ALL for row in rows)
         self.set = _CONFIDENCE.take(n1.astype(np.int64), mode="clip") * 8 + _CONFIDENCE.take(n2.astype(np.int64), mode="clip")
         total = self.mix[0] + self.mix[1] + self.mix[2]
         w0, w1, w2 = ((m / total).astype(np.float32).take(self.set) for m in self.mix)
@@ -129,21 +133,23 @@ class _Model:
         self.weights, self.dividers = (w0, w1, w2), (1 / (n0 + np.float32(_WAYS * 0.25)), d1, d2)
         u1 = w1 + w2 * _PRIOR * d2
         u0 = w0 + u1 * _PRIOR * d1
-        sums = self.rows[0] + np.float32(0.25)
+        sums = rows[0]
+        sums += np.float32(0.25)
         sums *= (u0 * self.dividers[0] * _PARTS)[:, None]
-        for row, factor in ((self.rows[1], u1 * d1), (self.rows[2], w2 * d2)):
-            sums += row * (factor * _PARTS)[:, None]
-        parts = sums.astype(np.int32)
-        parts += 1
-        parts[:, 0] = 0
-        return np.cumsum(parts, axis=1, dtype=np.int32)
+        for row, factor in ((rows[1], u1 * d1), (rows[2], w2 * d2)):
+            row *= (factor * _PARTS)[:, None]
+            sums += row
+        ends = np.floor(sums, out=sums) @ _UP_TO
+        ends += _ONE_EACH
+        return ends
 
     def learn(self, branch: np.ndarray) -> None:
-        place = np.arange(len(branch)) * _ROW + branch
-        p = (self.rows[0].reshape(-1).take(place) + np.float32(0.25)) * self.dividers[0]
+        places = [at * _ROW + branch for at in self.at]
+        taken = [c.reshape(-1).take(place) for c, place in zip(self.counts, places)]
+        p = (taken[0] + np.float32(0.25)) * self.dividers[0]
         shares = [self.weights[0] * p]
         for k in (1, 2):
-            p = (self.rows[k].reshape(-1).take(place) + _PRIOR * p) * self.dividers[k]
+            p = (taken[k] + _PRIOR * p) * self.dividers[k]
             shares.append(self.weights[k] * p)
         whole = shares[0] + shares[1] + shares[2]
         for mix, share in zip(self.mix, shares):
@@ -151,9 +157,8 @@ class _Model:
         if (big := self.mix[0] + self.mix[1] + self.mix[2] > _MIX_LIMIT).any():
             for mix in self.mix:
                 mix[big] *= 0.5
-        for counts, at in zip(self.counts, self.at):
-            np.add.at(counts.reshape(-1), at * _ROW + branch, np.float32(1))
-            np.add.at(counts.reshape(-1), at * _ROW, np.float32(1))
+        for counts, place in zip(self.counts, places):
+            np.add.at(counts.reshape(-1), place, np.float32(1))
 
 
 class _Encoder:
@@ -214,8 +219,8 @@ class _Decoder(_Encoder):
             self.shift(np.arange(len(sizes)), self.low)
 
     def choose(self, lane, lo, ra, ends, branch: None) -> np.ndarray:
-        v = np.minimum((self.code[lane] - lo) // ra, (ends[:, -1] - 1).astype(_U)).astype(np.int32)
-        return (ends <= v[:, None]).sum(axis=1)
+        v = np.minimum((self.code[lane] - lo) // ra, (ends[:, -1] - 1).astype(_U)).astype(np.float32)
+        return (ends > v[:, None]).argmax(axis=1)
 
     def shift(self, lane: np.ndarray, lo: np.ndarray) -> None:
         at = self.read[lane]
